@@ -24,3 +24,40 @@ def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverbed.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, n_removed, removed_lines (comma-joined numbers), text without them."""
+    from riverbed.llm.substring import drop_repeats
+
+    out = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed_lines"), "text")
+
+
+@query
+def op4_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece, placed in sequences of at most 1024 ids."""
+    import public_tokenizers
+
+    from riverbed.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: number and digests of its ids and of the bytes decoded from them."""
+    import public_tokenizers
+
+    from riverbed.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: base counts and the verdict of the quality rules."""
+    from riverbed.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
