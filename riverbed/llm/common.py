@@ -112,11 +112,11 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs without ASCII white space) of all rows: a 64-bit hash that ignores the case of A-Z, first byte, end, row."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs without bytes that between marks, by default ASCII white space) of all rows: a 64-bit hash that ignores the case of A-Z, first byte, end, row."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(inside)
@@ -154,5 +154,17 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, size: int = 5) -> tuple[np.nd
     return mix(total[take]), rows[take]
 
 
+def word_hash(word: str) -> int:
+    """The hash that words() gives a word."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(words(data, np.array([0, len(data)]), np.zeros(256, bool))[0][0])
+
+
+def sampled(df: DataFrame, most: int, column: str = "doc_id") -> DataFrame:
+    """At most about most rows of df: those whose hashed column is small; all rows if there are no more than that."""
+    n = df.count()
+    return df if n <= most else df.filter(F.pmod(F.xxhash64(F.lit(17), column), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
 def hash_to_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

@@ -61,3 +61,19 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverbed.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
+@query
+def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: numbers of spans, digest of the fixed patterns' spans, all spans."""
+    from riverbed.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: places of license phrases, and labels of phrases and of similar templates."""
+    from riverbed.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
