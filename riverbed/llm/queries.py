@@ -77,3 +77,32 @@ def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverbed.llm.licenses import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score; learnt from the rows that are not held out."""
+    from riverbed.llm.langid import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    langs, prototypes = fit(docs.filter(~held_out(4, 2)))
+    return identify(docs, langs, prototypes).withColumn("held_out", held_out(4, 2)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op5_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted; learnt from the labels that are not held out."""
+    from riverbed.llm.langid import held_out
+    from riverbed.llm.toxicity import fit, labelled_sample, score
+
+    docs = table(spark, sf_dir, "documents")
+    machine = fit(labelled_sample(docs, table(spark, sf_dir, "labels").filter(~held_out(5, 0))))
+    return score(docs, machine).withColumn("held_out", held_out(5, 0)).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op6_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept."""
+    from riverbed.llm.vectors import range_join
+
+    return range_join(table(spark, sf_dir, "embeddings"))
