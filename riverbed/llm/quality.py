@@ -73,44 +73,60 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(share(p), share(q), lambda a, b: part(a, b) + part(b, a))) / 2))
 
 
-def quality(docs: DataFrame, max_char_distance: float = 0.3, max_word_distance: float = 0.6, min_chars: int = 200, min_words: int = 50, scratch: Scratch | None = None) -> DataFrame:
+def _judged(docs: DataFrame, max_char_distance: float, max_word_distance: float, min_chars: int, min_words: int, scratch: Scratch) -> DataFrame:
+    """row (the struct of a row of docs) and q (the struct of what quality() tells of it)."""
+    c = counts(F.col("row.text"))
+    rows = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"))
+    measured = ("word_chars", "n_symbols", "n_dup_lines", "upper", "digit", "mark", "blank", "n_chars")
+    n_words = F.size(F.filter(F.split(F.coalesce(F.col("row.text"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
+    hits = let(c["padded"], lambda s: F.array(*[occurrences(s, f" {k} ") for k in c["known"]]))
+
+    def histograms(t: DataFrame) -> DataFrame:
+        rest = F.col("n_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("n_symbols") - F.col("blank")
+        hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
+        chars = F.array("upper", "digit", "mark", "n_symbols", "blank", F.greatest(rest, F.lit(0).cast("long")))
+        return t.withColumns({"chars": chars, "common": F.concat("hits", F.array(F.greatest(F.col("n_words") - hit, F.lit(0).cast("long"))))})
+
+    plain = rows.select(F.col("row.lang").alias("lang"), *[c[k].alias(k) for k in measured if k not in ("word_chars", "n_dup_lines")], n_words.alias("n_words"), hits.alias("hits"))
+    n = len(c["known"]) + 1
+    sums = histograms(plain).groupBy("lang").agg(*[F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(len(CLASSES))], *[F.sum(F.col("common")[k]).alias(f"w{k}") for k in range(n)])
+    # one row for each language; Spark broadcasts the saved table if it is small and shuffles otherwise
+    norms = scratch.save(sums.select(F.col("lang").alias("norm_lang"), F.array(*[f"c{k}" for k in range(len(CLASSES))]).alias("char_norm"), F.array(*[f"w{k}" for k in range(n)]).alias("word_norm")))
+    both = let(c["words"], lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    full = rows.select("row", *[c[k].alias(k) for k in measured], both.alias("w"), hits.alias("hits")).select("row", *measured, "w.n_words", "w.n_repeat_words", "hits")
+    near = histograms(full).join(norms, F.col("row.lang").eqNullSafe(F.col("norm_lang")), "left")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    told = near.select(
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        F.when(F.col("n_chars") >= min_chars, distance(F.col("chars"), F.col("char_norm"))).alias("char_distance"),
+        F.when(F.col("n_words") >= min_words, distance(F.col("common"), F.col("word_norm"))).alias("word_distance"),
+    )
+    far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
+    told = told.withColumn("kept", ~F.col("base_failed") & ~far)
+    return told.select("row", F.struct(*told.columns[1:]).alias("q"))
+
+
+LIMITS = {"max_char_distance": 0.3, "max_word_distance": 0.6, "min_chars": 200, "min_words": 50}
+
+
+def quality(docs: DataFrame, scratch: Scratch | None = None, **limits) -> DataFrame:
     """Base counts and a verdict for every row of docs, which has doc_id, text and lang.
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (under 50 words, or more than half of them in
     repeated windows of three words), char_distance and word_distance (Jensen-Shannon distances between the text's histograms of
     character classes and of common words and those of all texts of its language), kept. A text whose base rules hold is dropped if a
-    distance exceeds its limit; a distance counts only for texts of min_chars characters, or min_words words, else it is null.
+    distance exceeds its limit; a distance counts only for texts of min_chars characters, or min_words words, else it is null. limits
+    override LIMITS.
 
     A null text counts as empty; a null lang is a language of its own; repeated rows are judged one by one and count in the
     references as often as they stand. References of all languages are sums over all rows. Only these three columns are
     read. An empty table gives no rows.
     """
-    scratch = scratch or Scratch(docs.sparkSession)
-    c = counts(F.col("text"))
-    one = docs.select("doc_id", "lang", "text")
-    listed = one.select(
-        "doc_id", "lang", *[c[k].alias(k) for k in ("word_chars", "n_symbols", "n_dup_lines", "upper", "digit", "mark", "blank", "n_chars")],
-        let(c["words"], lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
-        let(c["padded"], lambda s: F.array(*[occurrences(s, f" {k} ") for k in c["known"]])).alias("hits"),
-    )
-    rest = F.col("n_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("n_symbols") - F.col("blank")
-    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
-    table = scratch.save(
-        listed.select(
-            "doc_id", "lang", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "n_chars",
-            F.array("upper", "digit", "mark", "n_symbols", "blank", F.greatest(rest, F.lit(0).cast("long"))).alias("chars"),
-            F.concat("hits", F.array(F.greatest(F.col("w.n_words") - hit, F.lit(0).cast("long")))).alias("common"),
-        )
-    )
-    n = len(c["known"]) + 1
-    sums = table.groupBy("lang").agg(*[F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(len(CLASSES))], *[F.sum(F.col("common")[k]).alias(f"w{k}") for k in range(n)])
-    norms = sums.select(F.col("lang").alias("_lang"), F.array(*[f"c{k}" for k in range(len(CLASSES))]).alias("char_norm"), F.array(*[f"w{k}" for k in range(n)]).alias("word_norm"))
-    both = table.join(norms, table["lang"].eqNullSafe(norms["_lang"]), "left")
-    judged = both.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        F.when(F.col("n_chars") >= min_chars, distance(F.col("chars"), F.col("char_norm"))).alias("char_distance"),
-        F.when(F.col("n_words") >= min_words, distance(F.col("common"), F.col("word_norm"))).alias("word_distance"),
-    )
-    far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~far)
+    judged = _judged(docs.select("doc_id", "text", "lang"), **(LIMITS | limits), scratch=scratch or Scratch(docs.sparkSession))
+    return judged.select("row.doc_id", "q.*")
+
+
+def keep_good(docs: DataFrame, scratch: Scratch | None = None, **limits) -> DataFrame:
+    """The rows of docs that quality() keeps, with all their columns."""
+    judged = _judged(docs, **(LIMITS | limits), scratch=scratch or Scratch(docs.sparkSession))
+    return judged.filter("q.kept").select("row.*")
