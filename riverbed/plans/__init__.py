@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ()
+MODULES = ("metrics", "traces", "relations", "texts")
 
 
 def load_all() -> None:
