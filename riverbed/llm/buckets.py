@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverbed.llm.common import Scratch, bytes_of, shingles, slices, words
+from riverbed.llm.common import Scratch, bytes_of, mix, odd, shingles, slices, words
 from riverbed.llm.components import components
 
 
@@ -63,29 +63,92 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, size: int, mul
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def cross_links(texts: list[str], parts: np.ndarray, threshold: float, size: int, multiset: bool) -> list[tuple[int, int]]:
+    """Pairs of rows that join different parts by similar texts: a forest over the parts, found by comparing all rows of different parts.
+
+    Counts of shared shingles come from products of the rows' incidence matrices, over columns that two rows share, in chunks.
+    """
+    n = len(texts)
+    h, _, _, r = words(*bytes_of(pa.array(texts, pa.large_string())))
+    s, r = shingles(h, r, size)
+    order = np.lexsort((s, r))
+    s, r = s[order], r[order]
+    new = np.r_[True, (s[1:] != s[:-1]) | (r[1:] != r[:-1])] if len(s) else np.zeros(0, bool)
+    if multiset:  # the k-th copy of a shingle is an element of its own
+        at = np.flatnonzero(new)
+        s = mix(s + (np.arange(len(s)) - np.repeat(at, np.diff(np.r_[at, len(s)]))).astype(np.uint64) * odd(3))
+    else:
+        s, r = s[new], r[new]
+    total = np.bincount(r, minlength=n).astype(np.float64)
+    _, column, counts = np.unique(s, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    on = shared[column]
+    column, r = (np.cumsum(shared) - 1)[column[on]], r[on]
+    order = np.argsort(column, kind="stable")
+    column, r = column[order], r[order]
+    both = np.zeros((n, n), np.float32)
+    for first in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(column, [first, first + 4096])
+        some = np.zeros((n, 4096), np.float32)
+        some[r[lo:hi], column[lo:hi] - first] = 1
+        both += some @ some.T
+    good = (both > 0) & (both >= threshold * (total[:, None] + total[None, :] - both) - 1e-6) & (parts[:, None] != parts[None, :])
+    root = {p: p for p in parts.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(np.triu(good))):
+        p, q = find(int(parts[x])), find(int(parts[y]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((int(x), int(y)))
+    return out
+
+
+def _cross(rest: DataFrame, texts: DataFrame, threshold: float, size: int, multiset: bool, most_bytes: int = 4 << 20, most_rows: int = 1024) -> DataFrame:
+    """Links (a, b) between different parts of the same bucket, given (key, uid, part).
+
+    A bucket is cut into blocks of bounded bytes and rows, and every two blocks meet in a group of their own. A group tells which parts it
+    joins, not which pairs are similar.
+    """
+    rows = rest.join(texts, "uid")
+    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.sum(F.octet_length("text")) / most_bytes), F.ceil(F.count("*") / most_rows)).cast("int").alias("blocks"))
+    block = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    met = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "part", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        uid = group["uid"].to_numpy()
+        found = cross_links(group["text"].to_pylist(), group["part"].to_numpy(), threshold, size, multiset)
+        a, b = (np.array([uid[p[k]] for p in found], np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def link(scratch: Scratch, units: DataFrame, texts_of, threshold: float, size: int = 5, multiset: bool = False) -> DataFrame:
     """(node, root) of the units that a chain of verified links joins.
 
-    units: uid long (unique) and bands array<long>; texts_of: gives (uid, text) for a DataFrame of uids. Every bucket first checks
-    its members against its smallest and its largest one, a number of pairs that is linear in the bucket. Those that pass
-    form components. Only buckets that still hold several components go on, and there the pairs between different components are
-    checked: links within a component can add nothing, so no colliding pair that matters is left out.
+    units: uid long (unique) and bands array<long>; texts_of: gives (uid, text) for a DataFrame of uids. Every bucket first checks its
+    members against one of them, that which meets most others in its buckets: a number of pairs that is linear in the
+    bucket. Those that pass form components. Only buckets that still hold several components go on; there rows of different components are
+    compared, block by block. Links within a component can add nothing, so no colliding pair that matters is left out.
     """
     rows = units.select("uid", F.explode("bands").alias("key"))
-    ends = rows.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("lo < hi")
-    shared = scratch.save(rows.join(ends, "key"))
-    pairs = scratch.save(
-        shared.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("uid").alias("b")), F.struct(F.col("uid").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b").filter("a < b").distinct()
-    )
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.save(rows.join(counts, "key"))
+    central = shared.groupBy("uid").agg(F.sum("n").alias("met"))
+    hubs = shared.join(central, "uid").groupBy("key").agg(F.max(F.struct("met", (-F.col("uid")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("hub"))
+    pairs = shared.join(hubs, "key").filter("uid <> hub").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct()
     texts = scratch.save(texts_of(shared.select("uid").distinct()))
     edges = scratch.save(_verify(pairs, texts, threshold, size, multiset))
     found = components(scratch, edges)
     placed = shared.join(found, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("part"))
     torn = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).filter("p < q and n > 2").select("key")
-    rest = scratch.save(placed.join(torn, "key"))
-    if rest.isEmpty():
-        return found
-    x, y = rest.select("key", F.col("uid").alias("a"), F.col("part").alias("p")), rest.select("key", F.col("uid").alias("b"), F.col("part").alias("q"))
-    more = x.join(y, "key").filter("p <> q and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = scratch.save(_verify(more, texts, threshold, size, multiset))
+    more = scratch.save(_cross(placed.join(torn, "key"), texts, threshold, size, multiset))
     return found if more.isEmpty() else components(scratch, edges.unionByName(more))

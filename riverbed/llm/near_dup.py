@@ -96,7 +96,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     row of each component is kept: kept is doc_id = component_id.
 
     Null or wordless texts are linked with nothing. Rows with a null doc_id are linked with nothing, have component_id null and are kept. Rows that repeat a
-    doc_id are one document if their texts are linked; all rows of the kept doc_id say kept. Only doc_id and text are read, so
+    doc_id count as one document, whose texts are in one component; all rows of the kept doc_id say kept. Only doc_id and text are read, so
     other columns may have any names. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
 
     def texts_of(uids: DataFrame) -> DataFrame:
         wanted = units.select("uid", "doc_id", "key").join(uids, "uid", "left_semi")
-        return docs.join(wanted, ["doc_id", "key"]).select("uid", "text").dropDuplicates(["uid"])
+        return docs.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("uid", "text")
 
     linked = link(scratch, units, texts_of, threshold, size, multiset=True)
     grouped = units.select("uid", "key").join(linked, F.col("uid") == F.col("node"), "left").select("key", F.coalesce("root", "uid").alias("part"))
@@ -133,3 +133,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     out = keyed.select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     none = docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(none)
+
+
+def drop_near_duplicates(docs: DataFrame, scratch: Scratch | None = None, **how) -> DataFrame:
+    """One row of docs, with all its columns, for each component of near_duplicates(), and all rows with a null doc_id."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    told = scratch.save(near_duplicates(docs, scratch=scratch, **how))
+    left = docs.join(told.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    again = scratch.save(told.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
