@@ -70,7 +70,9 @@ def distance(p: Column, q: Column) -> Column:
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
     share = lambda x: let(x, lambda v: F.transform(v, lambda c: F.try_divide(c.cast("double"), total(F.transform(v, lambda y: y.cast("double"))))))
-    return F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(share(p), share(q), lambda a, b: part(a, b) + part(b, a))) / 2))
+    some = lambda x: F.exists(x, lambda v: v > 0)
+    divergence = total(F.zip_with(share(p), share(q), lambda a, b: part(a, b) + part(b, a))) / 2
+    return F.when(some(p) & some(q), F.sqrt(F.greatest(F.lit(0.0), divergence)))
 
 
 def _judged(docs: DataFrame, max_char_distance: float, max_word_distance: float, min_chars: int, min_words: int, scratch: Scratch) -> DataFrame:
@@ -106,7 +108,7 @@ def _judged(docs: DataFrame, max_char_distance: float, max_word_distance: float,
     return told.select("row", F.struct(*told.columns[1:]).alias("q"))
 
 
-LIMITS = {"max_char_distance": 0.3, "max_word_distance": 0.6, "min_chars": 200, "min_words": 50}
+LIMITS = {"max_char_distance": 0.3, "max_word_distance": 0.5, "min_chars": 200, "min_words": 50}
 
 
 def quality(docs: DataFrame, scratch: Scratch | None = None, **limits) -> DataFrame:
