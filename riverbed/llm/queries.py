@@ -106,3 +106,12 @@ def op6_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverbed.llm.vectors import range_join
 
     return range_join(table(spark, sf_dir, "embeddings"))
+
+
+def _oracles() -> dict[str, str]:
+    from riverbed.llm.oracles import COMPONENTS, quality_sql
+
+    return {"op6_pivot_range_join": COMPONENTS, "op10_divergence_rules": quality_sql()}
+
+
+ORACLES.update(_oracles())
