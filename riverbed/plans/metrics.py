@@ -46,11 +46,11 @@ def q_distribution_empty(spark, sf_dir):
 
 @query("q_gap_distribution", """
 WITH g AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE AS gap FROM events)
-SELECT user_id, count(gap) AS n, round(quantile_cont(gap, 0.5), 1) AS p50, round(quantile_cont(gap, 0.95), 1) AS p95, max(gap) AS max FROM g GROUP BY 1""")
+SELECT user_id, count(gap) AS n, round(quantile_cont(gap, 0.5), 3) AS p50, round(quantile_cont(gap, 0.95), 3) AS p95, max(gap) AS max FROM g GROUP BY 1""")
 def q_gap_distribution(spark, sf_dir):
     e = events(spark, sf_dir, "event_id", "user_id")
     gap = (F.col("us") - F.lag("us").over(by(["user_id"], ["us", "event_id"]))).cast("double")
-    return e.withColumn("gap", gap).groupBy("user_id").agg(*M.distribution("gap", 1))
+    return e.withColumn("gap", gap).groupBy("user_id").agg(*M.distribution("gap", 3))
 
 
 @query("q_value_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
