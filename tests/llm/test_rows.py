@@ -258,3 +258,12 @@ def test_toxicity_held_out(spark):
     toxic, clean = [s for s, y in known if y], [s for s, y in known if not y]
     assert np.mean([a > b for a in toxic for b in clean]) > 0.85
     assert np.mean([s >= 0.5 for s in clean]) < 0.02
+
+
+def test_registered_queries():
+    import __spark_entry__ as entry
+
+    names = list(entry.queries())
+    for k in range(1, 11):
+        assert sum(n.startswith(f"op{k}_") for n in names) == 1
+    assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
