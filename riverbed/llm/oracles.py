@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riverbed.llm.quality import BLANKS, COMMON_WORDS, LIMITS, SYMBOLS
+from riverbed.llm.quality import BLANKS, KNOWN, LIMITS, SYMBOLS
 
 COMPONENTS = """
 WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
@@ -19,26 +19,25 @@ def _q(s: str) -> str:
 
 
 def quality_sql() -> str:
-    known = sorted({w for ws in COMMON_WORDS.values() for w in ws})
     count = lambda text, part: f"((length({text}) - length(replace({text}, {part}, ''))) // length({part}))"
     blank = " + ".join(count("t", f"chr({ord(b)})") for b in BLANKS)
     symbol = " + ".join(count("t", _q(s)) for s in SYMBOLS)
     strip = lambda p: f"(length(t) - length(regexp_replace(t, {_q(p)}, '', 'g')))"
-    hits = ", ".join(count("padded", _q(f" {w} ")) for w in known)
+    hits = ", ".join(f"len(list_filter(w, lambda x: lower(x) = {_q(w)}))" for w in KNOWN)
     share = lambda x: f"list_transform({x}, lambda c: c::DOUBLE / nullif(list_sum({x}), 0))"
     part = "CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0.0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0.0 END"
     far = lambda p, q: f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0.0, list_sum(list_transform(list_zip({share(p)}, {share(q)}), lambda z: {part})) / 2)) END"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
 b AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS lines,
-  ' ' || replace(replace(lower(t), chr(10), '  '), ' ', '  ') || ' ' AS padded, {blank} AS blank, {symbol} AS n_symbols,
+  {blank} AS blank, {symbol} AS n_symbols,
   {strip(chr(92) + "p{Lu}+")} AS upper_n, {strip(chr(92) + "p{Nd}+")} AS digit, {strip("[.,;:!?'\"()" + chr(92) + "[" + chr(92) + "]{}_" + chr(92) + "-]+")} AS mark FROM d),
 g AS (SELECT r, p, w[p] AS x, w[p + 1] AS y, w[p + 2] AS z FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM b)),
 s AS (SELECT r, x, y, z FROM g GROUP BY ALL HAVING count(*) > 1),
 c AS (SELECT r, count(DISTINCT p + j) AS n FROM (SELECT g.r, g.p, unnest([0, 1, 2]) AS j FROM g JOIN s USING (r, x, y, z)) GROUP BY r),
 h AS (SELECT b.*, [{hits}] AS hit, coalesce(c.n, 0) AS n_repeat_words, len(w) AS n_words, length(t) AS n_chars FROM b LEFT JOIN c USING (r)),
 f AS (SELECT *, [upper_n, digit, mark, n_symbols, blank, greatest(n_chars - upper_n - digit - mark - n_symbols - blank, 0)] AS chars, list_append(hit, greatest(n_words - list_sum(hit), 0)::BIGINT) AS common FROM h),
-n AS (SELECT lang AS l, [{", ".join(f"sum(chars[{k}])" for k in range(1, 7))}] AS char_norm, [{", ".join(f"sum(common[{k}])" for k in range(1, len(known) + 2))}] AS word_norm FROM f GROUP BY 1),
+n AS (SELECT lang AS l, [{", ".join(f"sum(chars[{k}])" for k in range(1, 7))}] AS char_norm, [{", ".join(f"sum(common[{k}])" for k in range(1, len(KNOWN) + 2))}] AS word_norm FROM f GROUP BY 1),
 o AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   CASE WHEN n_chars >= {LIMITS["min_chars"]} THEN {far("chars", "char_norm")} END AS char_distance, CASE WHEN n_words >= {LIMITS["min_words"]} THEN {far("common", "word_norm")} END AS word_distance
   FROM f JOIN n ON lang IS NOT DISTINCT FROM l)

@@ -16,6 +16,7 @@ COMMON_WORDS = {
 }
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
+KNOWN = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 CLASSES = ["upper", "digit", "mark", "symbol", "blank", "other"]
 
 
@@ -31,28 +32,41 @@ def occurrences(text: Column, part: str) -> Column:
 def repeated_words(words: Column, size: int = 3) -> Column:
     """How many words lie in a window of size words that the list holds more than once.
 
-    Windows are sorted by their hash, neighbours with equal hashes are repeats; then the union of the repeats' places is measured.
+    If some hash of a window repeats, windows are sorted by hash and neighbours with equal hashes are repeats; then the union of
+    the repeats' places is measured.
     """
-    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.struct(F.xxhash64(*[w[i + k] for k in range(size)]).alias("h"), i.alias("p")))
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[w[i + k] for k in range(size)]))
+    windows = lambda h: F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))
     repeats = lambda s: F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]).eqNullSafe(True) | (F.get(s, i + 1)["h"] == x["h"]).eqNullSafe(True))
     span = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(size), F.coalesce(F.get(p, i + 1) - x, F.lit(size)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    places = lambda w: let(F.array_sort(windows(w)), lambda s: let(F.array_sort(F.transform(repeats(s), lambda x: x["p"])), span))
-    return let(words, lambda w: F.when(F.size(w) < size, F.lit(0).cast("long")).otherwise(places(w)))
+    places = lambda h: let(F.array_sort(windows(h)), lambda s: let(F.array_sort(F.transform(repeats(s), lambda x: x["p"])), span))
+    none = F.lit(0).cast("long")
+    found = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(places(h))
+    return let(words, lambda w: F.when(F.size(w) < size, none).otherwise(let(hashes(w), found)))
+
+
+def common_hits(words: Column) -> Column:
+    """How often each of the KNOWN words stands among the words, case ignored.
+
+    The known words of a text become a string of one letter each, in which letters are counted.
+    """
+    first = 0x4E00
+    names = F.array(*map(F.lit, KNOWN))
+    letter = lambda w: F.substring(F.lit("".join(chr(first + k) for k in range(len(KNOWN)))), F.array_position(names, F.lower(w)).cast("int"), 1)
+    letters = F.array_join(F.transform(F.filter(words, lambda w: F.lower(w).isin(KNOWN)), letter), "")
+    return let(letters, lambda s: F.array(*[occurrences(s, chr(first + k)) for k in range(len(KNOWN))]))
 
 
 def counts(text: Column) -> dict[str, Column]:
     """The base counts of a text and its histograms, by name."""
     text = F.coalesce(text, F.lit(""))
-    blank = sum((occurrences(text, b) for b in BLANKS[1:]), occurrences(text, BLANKS[0]))
-    symbols = sum((occurrences(text, s) for s in SYMBOLS[1:]), occurrences(text, SYMBOLS[0]))
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.translate(x, BLANKS, " "))) > 0)
     strip = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
-    padded = F.concat(F.lit(" "), F.replace(F.replace(F.lower(text), F.lit("\n"), F.lit("  ")), F.lit(" "), F.lit("  ")), F.lit(" "))
-    known = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+    blank = occurrences(text, " ") + occurrences(text, "\n") + strip("[\\t\\x0B\\f\\r]+")
+    symbols = strip("[" + SYMBOLS + "]+")
     return {
         "words": words,
-        "word_chars": (F.length(text) - blank).cast("long"),
         "n_symbols": symbols,
         "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
         "upper": strip("\\p{Lu}+"),
@@ -60,8 +74,6 @@ def counts(text: Column) -> dict[str, Column]:
         "mark": strip("[.,;:!?'\"()\\[\\]{}_\\-]+"),
         "blank": blank,
         "n_chars": F.length(text).cast("long"),
-        "padded": padded,
-        "known": known,
     }
 
 
@@ -69,7 +81,7 @@ def distance(p: Column, q: Column) -> Column:
     """The Jensen-Shannon distance (base 2, from 0 to 1) of two histograms of counts; null if one is empty."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
-    share = lambda x: let(x, lambda v: F.transform(v, lambda c: F.try_divide(c.cast("double"), total(F.transform(v, lambda y: y.cast("double"))))))
+    share = lambda x: let(x, lambda v: let(total(F.transform(v, lambda y: y.cast("double"))), lambda t: F.transform(v, lambda c: F.try_divide(c.cast("double"), t))))
     some = lambda x: F.exists(x, lambda v: v > 0)
     divergence = total(F.zip_with(share(p), share(q), lambda a, b: part(a, b) + part(b, a))) / 2
     return F.when(some(p) & some(q), F.sqrt(F.greatest(F.lit(0.0), divergence)))
@@ -79,9 +91,9 @@ def _judged(docs: DataFrame, max_char_distance: float, max_word_distance: float,
     """row (the struct of a row of docs) and q (the struct of what quality() tells of it)."""
     c = counts(F.col("row.text"))
     rows = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"))
-    measured = ("word_chars", "n_symbols", "n_dup_lines", "upper", "digit", "mark", "blank", "n_chars")
-    n_words = F.size(F.filter(F.split(F.coalesce(F.col("row.text"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
-    hits = let(c["padded"], lambda s: F.array(*[occurrences(s, f" {k} ") for k in c["known"]]))
+    measured = ("n_symbols", "n_dup_lines", "upper", "digit", "mark", "blank", "n_chars")
+    fresh = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), common_hits(w).alias("hits"))
+    whole = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), common_hits(w).alias("hits"), repeated_words(w).alias("n_repeat_words"))
 
     def histograms(t: DataFrame) -> DataFrame:
         rest = F.col("n_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("n_symbols") - F.col("blank")
@@ -89,17 +101,16 @@ def _judged(docs: DataFrame, max_char_distance: float, max_word_distance: float,
         chars = F.array("upper", "digit", "mark", "n_symbols", "blank", F.greatest(rest, F.lit(0).cast("long")))
         return t.withColumns({"chars": chars, "common": F.concat("hits", F.array(F.greatest(F.col("n_words") - hit, F.lit(0).cast("long"))))})
 
-    plain = rows.select(F.col("row.lang").alias("lang"), *[c[k].alias(k) for k in measured if k not in ("word_chars", "n_dup_lines")], n_words.alias("n_words"), hits.alias("hits"))
-    n = len(c["known"]) + 1
+    plain = rows.select(F.col("row.lang").alias("lang"), *[c[k].alias(k) for k in measured if k != "n_dup_lines"], let(c["words"], fresh).alias("w")).select("*", "w.*")
+    n = len(KNOWN) + 1
     sums = histograms(plain).groupBy("lang").agg(*[F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(len(CLASSES))], *[F.sum(F.col("common")[k]).alias(f"w{k}") for k in range(n)])
     # one row for each language; Spark broadcasts the saved table if it is small and shuffles otherwise
     norms = scratch.save(sums.select(F.col("lang").alias("norm_lang"), F.array(*[f"c{k}" for k in range(len(CLASSES))]).alias("char_norm"), F.array(*[f"w{k}" for k in range(n)]).alias("word_norm")))
-    both = let(c["words"], lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    full = rows.select("row", *[c[k].alias(k) for k in measured], both.alias("w"), hits.alias("hits")).select("row", *measured, "w.n_words", "w.n_repeat_words", "hits")
+    full = rows.select("row", *[c[k].alias(k) for k in measured], let(c["words"], whole).alias("w")).select("row", *measured, "w.*")
     near = histograms(full).join(norms, F.col("row.lang").eqNullSafe(F.col("norm_lang")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     told = near.select(
-        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "row", "n_words", (F.col("n_chars") - F.col("blank")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.when(F.col("n_chars") >= min_chars, distance(F.col("chars"), F.col("char_norm"))).alias("char_distance"),
         F.when(F.col("n_words") >= min_words, distance(F.col("common"), F.col("word_norm"))).alias("word_distance"),
     )
