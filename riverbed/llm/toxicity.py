@@ -19,15 +19,14 @@ _slots: dict[str, tuple[int, ...]] = {}
 
 
 def slots(text: str, buckets: int) -> set[int]:
-    """Hashed terms of a text: its words in lower case, and the first five letters of longer words."""
+    """Hashed terms of a text: its words in lower case, and the first four and five letters of longer words."""
     if len(_slots) > 300_000:
         _slots.clear()
     out: set[int] = set()
     for w in set(_WORD.findall(text.lower())):
         s = _slots.get(w)
         if s is None:
-            b = w.encode("utf-8", "surrogatepass")
-            s = (zlib.crc32(b),) if len(w) <= 5 else (zlib.crc32(b), zlib.crc32(b"^" + w[:5].encode("utf-8", "surrogatepass")))
+            s = tuple(zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in (w, *("^" + w[:k] for k in (4, 5) if len(w) > k)))
             _slots[w] = s
         out.update(s)
     return {x % buckets for x in out}
