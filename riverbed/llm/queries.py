@@ -109,9 +109,9 @@ def op6_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> dict[str, str]:
-    from riverbed.llm.oracles import COMPONENTS, quality_sql
+    from riverbed.llm.oracles import COMPONENTS, licenses_sql, quality_sql
 
-    return {"op6_pivot_range_join": COMPONENTS, "op10_divergence_rules": quality_sql()}
+    return {"op6_pivot_range_join": COMPONENTS, "op7_license_join": licenses_sql(), "op10_divergence_rules": quality_sql()}
 
 
 ORACLES.update(_oracles())
