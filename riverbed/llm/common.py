@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,7 +24,9 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:  # a single machine, as in tests
-            root = "file://" + tempfile.mkdtemp(prefix="riverbed-")
+            local = tempfile.mkdtemp(prefix="riverbed-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            root = "file://" + local
         self.root = f"{root.rstrip('/')}/riverbed-{uuid.uuid4().hex}"
         self.count = 0
 
