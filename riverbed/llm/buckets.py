@@ -79,7 +79,7 @@ def cross_links(texts: list[str], parts: np.ndarray, threshold: float, size: int
         s = mix(s + (np.arange(len(s)) - np.repeat(at, np.diff(np.r_[at, len(s)]))).astype(np.uint64) * odd(3))
     else:
         s, r = s[new], r[new]
-    total = np.bincount(r, minlength=n).astype(np.float64)
+    total = np.bincount(r, minlength=n).astype(np.float32)
     _, column, counts = np.unique(s, return_inverse=True, return_counts=True)
     shared = counts > 1
     on = shared[column]
@@ -87,9 +87,9 @@ def cross_links(texts: list[str], parts: np.ndarray, threshold: float, size: int
     order = np.argsort(column, kind="stable")
     column, r = column[order], r[order]
     both = np.zeros((n, n), np.float32)
-    for first in range(0, int(shared.sum()), 4096):
-        lo, hi = np.searchsorted(column, [first, first + 4096])
-        some = np.zeros((n, 4096), np.float32)
+    for first in range(0, int(shared.sum()), 2048):
+        lo, hi = np.searchsorted(column, [first, first + 2048])
+        some = np.zeros((n, 2048), np.float32)
         some[r[lo:hi], column[lo:hi] - first] = 1
         both += some @ some.T
     good = (both > 0) & (both >= threshold * (total[:, None] + total[None, :] - both) - 1e-6) & (parts[:, None] != parts[None, :])
@@ -110,7 +110,7 @@ def cross_links(texts: list[str], parts: np.ndarray, threshold: float, size: int
     return out
 
 
-def _cross(rest: DataFrame, texts: DataFrame, threshold: float, size: int, multiset: bool, most_bytes: int = 4 << 20, most_rows: int = 1024) -> DataFrame:
+def _cross(rest: DataFrame, texts: DataFrame, threshold: float, size: int, multiset: bool, most_bytes: int = 4 << 20, most_rows: int = 512) -> DataFrame:
     """Links (a, b) between different parts of the same bucket, given (key, uid, part).
 
     A bucket is cut into blocks of bounded bytes and rows, and every two blocks meet in a group of their own. A group tells which parts it

@@ -58,7 +58,7 @@ def _encoder(path: str) -> tuple[Cache, Cache]:
                     start = end
             return out
 
-        _caches[path] = Cache(heads, 50_000), Cache(tails, 400_000)
+        _caches[path] = Cache(heads, 20_000), Cache(tails, 120_000)
     return _caches[path]
 
 
