@@ -57,24 +57,33 @@ def common_hits(words: Column) -> Column:
     return let(letters, lambda s: F.array(*[occurrences(s, chr(first + k)) for k in range(len(KNOWN))]))
 
 
-def counts(text: Column) -> dict[str, Column]:
-    """The base counts of a text and its histograms, by name."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.translate(x, BLANKS, " "))) > 0)
-    strip = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
-    blank = occurrences(text, " ") + occurrences(text, "\n") + strip("[\\t\\x0B\\f\\r]+")
-    symbols = strip("[" + SYMBOLS + "]+")
-    return {
-        "words": words,
-        "n_symbols": symbols,
-        "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "upper": strip("\\p{Lu}+"),
-        "digit": strip("\\p{Nd}+"),
-        "mark": strip("[.,;:!?'\"()\\[\\]{}_\\-]+"),
-        "blank": blank,
-        "n_chars": F.length(text).cast("long"),
-    }
+def measured(rows: DataFrame) -> DataFrame:
+    """rows (with row, the struct of a row of documents) and its base counts, histograms of characters (chars) and words (common).
+
+    Characters that most texts consist of are taken out first, so that the other patterns read what little is left.
+    """
+    n = lambda c: F.length(c).cast("long")
+    strip = lambda pattern: (F.length("rare") - F.length(F.regexp_replace("rare", pattern, ""))).cast("long")
+    trimmed = F.btrim("_text", F.lit(BLANKS))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    texts = rows.withColumn("_text", F.coalesce("row.text", F.lit("")))
+    cut = texts.select(
+        "row", n("_text").alias("n_chars"), occurrences(F.col("_text"), " ").alias("spaces"), F.regexp_replace("_text", "[a-z ]+", "").alias("rare"), words.alias("words"),
+        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+    )
+    counted = cut.select(
+        "row", "n_chars", "n_dup_lines", F.size("words").cast("long").alias("n_words"), common_hits(F.col("words")).alias("hits"), repeated_words(F.col("words")).alias("n_repeat_words"),
+        strip("[" + SYMBOLS + "]+").alias("n_symbols"), strip("\\p{Lu}+").alias("upper"), strip("\\p{Nd}+").alias("digit"), strip("[.,;:!?'\"()\\[\\]{}_\\-]+").alias("mark"),
+        (F.col("spaces") + strip("[\\n\\t\\x0B\\f\\r]+")).alias("blank"),
+    )
+    rest = F.col("n_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("n_symbols") - F.col("blank")
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
+    chars = F.array("upper", "digit", "mark", "n_symbols", "blank", F.greatest(rest, F.lit(0).cast("long")))
+    return counted.select(
+        "row", "n_words", "n_chars", (F.col("n_chars") - F.col("blank")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
+        chars.alias("chars"), F.concat("hits", F.array(F.greatest(F.col("n_words") - hit, F.lit(0).cast("long")))).alias("common"),
+    )
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -87,30 +96,22 @@ def distance(p: Column, q: Column) -> Column:
     return F.when(some(p) & some(q), F.sqrt(F.greatest(F.lit(0.0), divergence)))
 
 
-def _judged(docs: DataFrame, max_char_distance: float, max_word_distance: float, min_chars: int, min_words: int, scratch: Scratch) -> DataFrame:
-    """row (the struct of a row of docs) and q (the struct of what quality() tells of it)."""
-    c = counts(F.col("row.text"))
-    rows = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"))
-    measured = ("n_symbols", "n_dup_lines", "upper", "digit", "mark", "blank", "n_chars")
-    fresh = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), common_hits(w).alias("hits"))
-    whole = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), common_hits(w).alias("hits"), repeated_words(w).alias("n_repeat_words"))
-
-    def histograms(t: DataFrame) -> DataFrame:
-        rest = F.col("n_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("n_symbols") - F.col("blank")
-        hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
-        chars = F.array("upper", "digit", "mark", "n_symbols", "blank", F.greatest(rest, F.lit(0).cast("long")))
-        return t.withColumns({"chars": chars, "common": F.concat("hits", F.array(F.greatest(F.col("n_words") - hit, F.lit(0).cast("long"))))})
+def _judged(docs: DataFrame, keep: list[str], max_char_distance: float, max_word_distance: float, min_chars: int, min_words: int, scratch: Scratch) -> DataFrame:
+    """row (the struct of the columns keep of a row of docs) and q (the struct of what quality() tells of it).
 
-    plain = rows.select(F.col("row.lang").alias("lang"), *[c[k].alias(k) for k in measured if k != "n_dup_lines"], let(c["words"], fresh).alias("w")).select("*", "w.*")
+    Texts are measured once: the counts are saved beside the kept columns, and both the references and the verdicts read them.
+    """
+    rows = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"))
+    told = measured(rows).select(F.col("row.lang").alias("lang"), F.struct(*[F.col("row")[c].alias(c) for c in keep]).alias("row"), *MEASURED)
+    known = scratch.save(told)
     n = len(KNOWN) + 1
-    sums = histograms(plain).groupBy("lang").agg(*[F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(len(CLASSES))], *[F.sum(F.col("common")[k]).alias(f"w{k}") for k in range(n)])
+    sums = known.groupBy("lang").agg(*[F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(len(CLASSES))], *[F.sum(F.col("common")[k]).alias(f"w{k}") for k in range(n)])
     # one row for each language; Spark broadcasts the saved table if it is small and shuffles otherwise
     norms = scratch.save(sums.select(F.col("lang").alias("norm_lang"), F.array(*[f"c{k}" for k in range(len(CLASSES))]).alias("char_norm"), F.array(*[f"w{k}" for k in range(n)]).alias("word_norm")))
-    full = rows.select("row", *[c[k].alias(k) for k in measured], let(c["words"], whole).alias("w")).select("row", *measured, "w.*")
-    near = histograms(full).join(norms, F.col("row.lang").eqNullSafe(F.col("norm_lang")), "left")
+    near = known.join(norms, F.col("lang").eqNullSafe(F.col("norm_lang")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     told = near.select(
-        "row", "n_words", (F.col("n_chars") - F.col("blank")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.when(F.col("n_chars") >= min_chars, distance(F.col("chars"), F.col("char_norm"))).alias("char_distance"),
         F.when(F.col("n_words") >= min_words, distance(F.col("common"), F.col("word_norm"))).alias("word_distance"),
     )
@@ -119,6 +120,7 @@ def _judged(docs: DataFrame, max_char_distance: float, max_word_distance: float,
     return told.select("row", F.struct(*told.columns[1:]).alias("q"))
 
 
+MEASURED = ["n_words", "n_chars", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common"]
 LIMITS = {"max_char_distance": 0.3, "max_word_distance": 0.5, "min_chars": 200, "min_words": 50}
 
 
@@ -135,11 +137,11 @@ def quality(docs: DataFrame, scratch: Scratch | None = None, **limits) -> DataFr
     references as often as they stand. References of all languages are sums over all rows. Only these three columns are
     read. An empty table gives no rows.
     """
-    judged = _judged(docs.select("doc_id", "text", "lang"), **(LIMITS | limits), scratch=scratch or Scratch(docs.sparkSession))
+    judged = _judged(docs.select("doc_id", "text", "lang"), ["doc_id"], **(LIMITS | limits), scratch=scratch or Scratch(docs.sparkSession))
     return judged.select("row.doc_id", "q.*")
 
 
 def keep_good(docs: DataFrame, scratch: Scratch | None = None, **limits) -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns."""
-    judged = _judged(docs, **(LIMITS | limits), scratch=scratch or Scratch(docs.sparkSession))
+    judged = _judged(docs, docs.columns, **(LIMITS | limits), scratch=scratch or Scratch(docs.sparkSession))
     return judged.filter("q.kept").select("row.*")
