@@ -1,4 +1,4 @@
-"""Repeated passages: MinHash banding of paragraphs, an exact Jaccard check, and removal of all but the first of each component."""
+"""Repeated passages: MinHash banding of paragraphs, an exact Jaccard check, and removal of all but the first of each component; then removal of equal runs of words wherever they stand."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riverbed.llm.buckets import link, tune_bands
-from riverbed.llm.common import Scratch, bytes_of, mix, odd, shingles, slices, words
+from riverbed.llm.common import Scratch, bytes_of, mix, odd, powers, shingles, slices, words
 from riverbed.llm.near_dup import band_column, fold_bands
 
 
@@ -108,13 +108,138 @@ def without_lines(text: Column, numbers: Column) -> Column:
     return F.when(numbers.isNull(), text).otherwise(left)
 
 
-def drop_repeats(docs: DataFrame, **how) -> DataFrame:
-    """All rows and columns of docs, text without its repeated paragraphs, and removed_lines array<int> (null: none) after them.
+#: Equal runs of RUN words are repeats. Each RUN words hold RUN - GRAM + 1 runs of GRAM words, and the least of their hashes stands for them.
+RUN, GRAM = 50, 25
+
+
+def runs_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of size words, those across two rows among them."""
+    n = len(hashes)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    p, inverse = powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * p[:n], out=sums[1:], dtype=np.uint64)
+    return mix((sums[size:] - sums[:-size]) * inverse[: n - size + 1])
+
+
+def least_of(x: np.ndarray, size: int) -> np.ndarray:
+    """The least of each size neighbours."""
+    step = 1
+    while 2 * step <= size:
+        x = np.minimum(x[:-step], x[step:])
+        step *= 2
+    rest = size - step
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def run_starts(row: np.ndarray) -> np.ndarray:
+    """Numbers of the words (with their rows, ascending) at which a run of RUN words starts that ends in the same row."""
+    return np.flatnonzero(row[: max(0, len(row) - RUN + 1)] == row[RUN - 1 :]) if len(row) >= RUN else np.zeros(0, np.int64)
+
+
+def without_runs(text: str, starts: np.ndarray) -> str:
+    """The text without the words of the runs of RUN words that start at these words; of the white space on both sides one stays, the one with a line break if there is one."""
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    _, begin, end, _ = words(data, np.array([0, len(data)]))
+    gone = np.zeros(len(begin) + 1, np.int64)
+    np.add.at(gone, starts, 1)
+    np.add.at(gone, starts + RUN, -1)
+    gone = np.cumsum(gone)[:-1] > 0
+    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+    out, done = [], 0
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        s, e = int(begin[a]), int(end[b - 1])
+        before = int(end[a - 1]) if a else 0
+        after = int(begin[b]) if b < len(begin) else len(raw)
+        if a and (b == len(begin) or (b"\n" in raw[e:after] and b"\n" not in raw[before:s])):
+            s = before
+        else:
+            e = after
+        out.append(raw[done:s])
+        done = e
+    return b"".join([*out, raw[done:]]).decode()
+
+
+def drop_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs, a saved table, without every run of RUN words that stands earlier too, in another text or before it in the same one.
+
+    Words are compared as in shingles, the case of A-Z ignored; line breaks are white space like any other. Of equal runs the
+    first by (doc_id, digest of the text, word) stays. No length, place or number of repeats is left out: equal runs of RUN words have equal
+    least hashes of GRAM words, so all runs whose least hash stands only once are unique, and the others are compared whole, by
+    two 64-bit hashes. Rows with a null doc_id or text pass; rows that repeat doc_id and text count as one.
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("_digest", F.xxhash64("text"))
+    some = keyed.filter("doc_id is not null and text is not null").select("doc_id", "_digest", "text")
+
+    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                h, _, _, row = words(*bytes_of(part.column("text")))
+                at = run_starts(row)
+                if not len(at):
+                    continue
+                least = least_of(runs_of(h, GRAM), RUN - GRAM + 1)[at]
+                new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (row[at[1:]] != row[at[:-1]])])
+                begin = np.searchsorted(row, row[at[new]])
+                n = np.diff(np.r_[new, len(at)])
+                of = pa.array(row[at[new]])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(of), part.column("_digest").take(of), pa.array(least[new].view(np.int64)), pa.array((at[new] - begin).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["doc_id", "_digest", "least", "start", "n"],
+                )
+
+    prints = scratch.save(some.mapInArrow(fingerprint, "doc_id long, _digest long, least long, start int, n int"))
+    # neighbouring runs of words with one least hash are a single row; where they are more than RUN, the text repeats itself
+    often = prints.groupBy("least").agg(F.sum(F.when(F.col("n") > RUN, 2).otherwise(1)).alias("times")).filter("times > 1").select("least")
+    hot = prints.join(often, "least").groupBy("doc_id", "_digest").agg(F.collect_set(F.struct("start", "n")).alias("_hot"))
+    held = scratch.save(keyed.join(hot, ["doc_id", "_digest"], "left").select(*columns, "_digest", "_hot"))
+    scratch.drop(prints)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                h, _, _, row = words(*bytes_of(part.column("text")))
+                begin = np.searchsorted(row, np.arange(part.num_rows))
+                at = [begin[k] + np.arange(x["start"], x["start"] + x["n"]) for k, xs in enumerate(part.column("_hot").to_pylist()) for x in xs]
+                at = np.concatenate(at) if at else np.zeros(0, np.int64)
+                of = pa.array(row[at])
+                one, two = runs_of(h, RUN)[at], runs_of(mix(h + odd(RUN)), RUN)[at]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(of), part.column("_digest").take(of), pa.array((at - begin[row[at]]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                    ["doc_id", "_digest", "at", "one", "two"],
+                )
+
+    whole = scratch.save(held.filter("_hot is not null").select("doc_id", "_digest", "text", "_hot").mapInArrow(compare, "doc_id long, _digest long, at int, one long, two long"))
+    place = F.struct("doc_id", "_digest", "at")
+    apart = lambda a, b: f"not ({a}.doc_id = {b}doc_id and {a}._digest = {b}_digest and {b}at - {a}.at < {RUN})"
+    firsts = whole.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(apart("first", "last.")).select("one", "two", "first")
+    again = whole.join(firsts, ["one", "two"]).filter(apart("first", "")).groupBy("doc_id", "_digest").agg(F.collect_set("at").alias("_at"))
+    schema = held.select(*columns).schema
+    text = columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = batch.columns[:-1]
+            new = [t if at is None else without_runs(t, np.array(sorted(at))) for t, at in zip(left[text].to_pylist(), batch.column("_at").to_pylist())]
+            left[text] = pa.array(new, batch.schema.field(text).type)
+            yield pa.RecordBatch.from_arrays(left, columns)
+
+    touched = held.filter("_hot is not null").join(again, ["doc_id", "_digest"], "left").select(*columns, "_at")
+    return held.filter("_hot is null").select(*columns).unionAll(touched.mapInArrow(cut, schema))
+
+
+def drop_repeats(docs: DataFrame, scratch: Scratch | None = None, **how) -> DataFrame:
+    """All rows and columns of docs, text without its repeated paragraphs and then without repeated runs of RUN words (see drop_runs);
+    removed_lines array<int> (null: none), the numbers of the repeated paragraphs, comes after them.
 
     Needs doc_id and text; how as in repeated_paragraphs. A column of docs named removed_lines is replaced.
     """
-    numbers = repeated_paragraphs(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("number")).alias("removed_lines"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    numbers = repeated_paragraphs(docs, scratch=scratch, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("number")).alias("removed_lines"))
     docs = docs.drop("removed_lines")
     joined = docs.join(numbers, docs["doc_id"] == numbers["_id"], "left")
     kept = [without_lines(docs["text"], numbers["removed_lines"]).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*kept, numbers["removed_lines"])
+    return drop_runs(scratch.save(joined.select(*kept, numbers["removed_lines"])), scratch)

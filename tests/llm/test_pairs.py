@@ -12,7 +12,7 @@ from riverbed.llm.buckets import cross_links, tune_bands
 from riverbed.llm.common import Scratch
 from riverbed.llm.components import components
 from riverbed.llm.near_dup import bag_minhash, drop_near_duplicates, near_duplicates
-from riverbed.llm.substring import drop_repeats, repeated_paragraphs
+from riverbed.llm.substring import drop_repeats, repeated_paragraphs, without_runs
 from riverbed.llm.vectors import range_join
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -170,6 +170,49 @@ def test_repeated_paragraphs_edge_cases(spark):
     assert drop_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def brute_runs(rows, size=50):
+    """Words of each text that no run of size words covers which stands earlier too."""
+    seen, left = {}, {}
+    for d, t in sorted(rows):
+        w = t.lower().split()
+        gone = set()
+        for k in range(len(w) - size + 1):
+            e, at = seen.setdefault(tuple(w[k : k + size]), (d, k))
+            if e != d or k - at >= size:
+                gone |= set(range(k, k + size))
+        left[d] = [x for k, x in enumerate(w) if k not in gone]
+    return left
+
+
+def test_repeated_runs_wherever_they_stand(spark):
+    rng = random.Random(21)
+    passages = [prose(rng, n) for n in (50, 51, 64, 90, 130)]
+    rows = []
+    for k in range(40):
+        w = prose(rng, rng.randrange(200, 260))
+        if k % 4:
+            p = passages[k % 5]
+            p = p if k % 3 else [x.upper() for x in p]
+            at = rng.choice([0, 70, len(w)])
+            w[at:at] = p[: 49 if k % 11 == 0 else None]
+        step = [10**6, 8, 12, 20][k % 4]  # one line, or lines under 25 words
+        rows.append((k, "\n".join(" ".join(w[j : j + step]) for j in range(0, len(w), step))))
+    twice = prose(rng, 60)
+    rows += [(50, " ".join(prose(rng, 80) + twice + prose(rng, 40) + twice + prose(rng, 80))), (51, "x " * 170), (52, " ".join(["y"] * 99))]
+    out = {r["doc_id"]: r["text"] for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_runs(rows)
+    assert {d: t.lower().split() for d, t in out.items()} == want
+    assert sum(len(want[d]) < len(t.split()) for d, t in rows) > 20
+    assert all(out[d] == t for d, t in rows if len(want[d]) == len(t.split()))
+
+
+def test_white_space_where_a_run_was():
+    p = " ".join(f"p{k}" for k in range(50))
+    cut = lambda t, k: without_runs(t, np.array([k]))
+    assert cut(f"a {p} b", 1) == "a b" and cut(f"a {p}\nb", 1) == "a\nb" and cut(f"a\n{p} b", 1) == "a\nb"
+    assert cut(f"a\n{p}", 1) == "a" and cut(f"{p}\nb", 0) == "b" and cut(p, 0) == ""
+
+
 @pytest.mark.parametrize("how", [{}, {"cell_rows": 20, "block_rows": 16}])
 def test_vectors(spark, how):
     rng = np.random.default_rng(4)
