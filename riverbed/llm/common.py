@@ -45,6 +45,12 @@ class Scratch:
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def end(self) -> None:
+        """Deletes all tables of this Scratch and lets Spark delete the shuffle files that nothing refers to any more."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.spark._jvm.System.gc()
+
 
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that columns with clashing names never meet those of an operator."""

@@ -163,7 +163,7 @@ def without_runs(text: str, starts: np.ndarray) -> str:
 
 
 def drop_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs, a saved table, without every run of RUN words that stands earlier too, in another text or before it in the same one.
+    """docs, a table saved in scratch that is deleted here, without every run of RUN words that stands earlier too, in another text or before it in the same one.
 
     Words are compared as in shingles, the case of A-Z ignored; line breaks are white space like any other. Of equal runs the
     first by (doc_id, digest of the text, word) stays. No length, place or number of repeats is left out: equal runs of RUN words have equal
@@ -196,7 +196,8 @@ def drop_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     often = prints.groupBy("least").agg(F.sum(F.when(F.col("n") > RUN, 2).otherwise(1)).alias("times")).filter("times > 1").select("least")
     hot = prints.join(often, "least").groupBy("doc_id", "_digest").agg(F.collect_set(F.struct("start", "n")).alias("_hot"))
     held = scratch.save(keyed.join(hot, ["doc_id", "_digest"], "left").select(*columns, "_digest", "_hot"))
-    scratch.drop(prints)
+    scratch.drop(prints, docs)
+    docs.sparkSession._jvm.System.gc()  # Spark deletes shuffle files of lost plans, and these hold all texts
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,8 +239,11 @@ def drop_repeats(docs: DataFrame, scratch: Scratch | None = None, **how) -> Data
     Needs doc_id and text; how as in repeated_paragraphs. A column of docs named removed_lines is replaced.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    numbers = repeated_paragraphs(docs, scratch=scratch, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("number")).alias("removed_lines"))
+    lines = Scratch(docs.sparkSession)
+    numbers = repeated_paragraphs(docs, scratch=lines, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("number")).alias("removed_lines"))
     docs = docs.drop("removed_lines")
     joined = docs.join(numbers, docs["doc_id"] == numbers["_id"], "left")
     kept = [without_lines(docs["text"], numbers["removed_lines"]).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return drop_runs(scratch.save(joined.select(*kept, numbers["removed_lines"])), scratch)
+    left = scratch.save(joined.select(*kept, numbers["removed_lines"]))
+    lines.end()
+    return drop_runs(left, scratch)
