@@ -85,19 +85,50 @@ def fit(docs: DataFrame, sample_docs: int = 5000) -> np.ndarray:
     return out.reshape(-1)
 
 
-def markov_spans(text: str, known: list[tuple[str, int, int, str]], ratio: np.ndarray, min_chars: int, min_mean: float) -> list[tuple[str, int, int, str]]:
-    """Tokens of min_chars or more that overlap no known span and whose mean log-likelihood ratio is min_mean or more."""
+def stretches(start: int, end: int, spans: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
+    """What spans leave of a token."""
+    left = []
+    for s, e in sorted((s, e) for _, s, e, _ in spans if s < end and e > start):
+        if s > start:
+            left.append((start, s))
+        start = max(start, e)
+    return [*left, (start, end)] if start < end else left
+
+
+def sums(parts: list[str], ratio: np.ndarray) -> np.ndarray:
+    """The summed log-likelihood ratio of each string; the ratio of a pair that spans two of them is zero."""
+    codes = _CODE[np.frombuffer("\x7f".join(parts).encode("ascii"), np.uint8)]
+    total = np.r_[0.0, np.cumsum(ratio[codes[:-1] * STATES + codes[1:]])]
+    ends = np.cumsum([len(x) + 1 for x in parts]) - 2
+    return total[ends] - total[ends - [len(x) - 1 for x in parts]]
+
+
+def markov_spans(text: str, known: list[tuple[str, int, int, str]], ratio: np.ndarray, min_chars: int, min_mean: float, min_sum: float) -> list[tuple[str, int, int, str]]:
+    """What known spans leave of tokens, if its mean log-likelihood ratio is min_mean or more; with fewer than min_chars characters, if its sum is min_sum or more.
+
+    Where a stretch as a whole falls short, its parts between = are scored one by one.
+    """
+    need = lambda n: min_mean * (n - 1) if n >= min_chars else min_sum
+    least = min(min_chars, max(2, 1 + int(np.ceil(min_sum / max(ratio.max(), 1e-9)))))  # no shorter string can reach the sum
+    places = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{%d,}" % least, text)]
+    if known:
+        places = [x for s, e in places for x in stretches(s, e, known) if x[1] - x[0] >= least]
     found = []
-    for m in re.finditer(r"[A-Za-z0-9+/_.=-]{%d,}" % min_chars, text):
-        if outside(m.start(), m.end(), known) and ratio[transitions(m[0])].mean() >= min_mean:
-            found.append(("markov", m.start(), m.end(), m[0]))
+    while places:
+        parts, again = [text[s:e] for s, e in places], []
+        for (s, e), part, total in zip(places, parts, sums(parts, ratio).tolist()):
+            if total >= need(e - s):
+                found.append(("markov", s, e, part))
+            elif "=" in part:
+                again += [(s + m.start(), s + m.end()) for m in re.finditer("[^=]{%d,}" % least, part)]
+        places = again
     return found
 
 
-def all_spans(text: str, ratio: np.ndarray, min_chars: int = 20, min_mean: float = 1.0) -> list[tuple[str, int, int, str]]:
+def all_spans(text: str, ratio: np.ndarray, min_chars: int = 20, min_mean: float = 1.0, min_sum: float = 12.0) -> list[tuple[str, int, int, str]]:
     """All spans by start, then kind."""
     base = base_spans(text)
-    return sorted(base + markov_spans(text, base, ratio, min_chars, min_mean), key=lambda x: (x[1], KINDS.index(x[0])))
+    return sorted(base + markov_spans(text, base, ratio, min_chars, min_mean, min_sum), key=lambda x: (x[1], KINDS.index(x[0])))
 
 
 def joined(spans: list[tuple[str, int, int, str]]) -> str:
