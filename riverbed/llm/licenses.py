@@ -65,7 +65,7 @@ class Index:
     """
 
     def __init__(self, templates: dict[str, str], threshold: float, frequency: dict[int, int]):
-        self.labels, self.sets, self.order, self.need = list(templates), [], [], []
+        self.labels, self.sets, self.order, self.need, self.width = list(templates), [], [], [], []
         index: dict[int, list[tuple[int, int]]] = {}
         for t, text in enumerate(templates.values()):
             ordered = sorted(tokens(text), key=lambda x: (frequency.get(x, 0), x))
@@ -73,6 +73,9 @@ class Index:
             self.sets.append(set(ordered))
             self.order.append({x: k for k, x in enumerate(ordered)})
             self.need.append(need)
+            data = np.frombuffer(text.encode(), np.uint8)
+            n = len(words(data, np.array([0, len(data)]), BETWEEN)[0])
+            self.width.append(n + max(2, n // 4))
             for k, x in enumerate(ordered[: len(ordered) - need + 1]):
                 index.setdefault(x, []).append((t, k))
         self.index = index
@@ -99,12 +102,49 @@ class Index:
                 if shared >= need:
                     yield b, t, shared / size
 
+    def best(self, t: int, some: list[int]) -> int:
+        """The most distinct words of template t that stand in so many neighbouring words as it has, and a quarter or two more."""
+        places = [(k, x) for k, x in enumerate(some) if x in self.sets[t]]
+        count: dict[int, int] = {}
+        best = lo = 0
+        for k, x in places:
+            count[x] = count.get(x, 0) + 1
+            while places[lo][0] <= k - self.width[t]:
+                old = places[lo][1]
+                count[old] -= 1
+                if not count[old]:
+                    del count[old]
+                lo += 1
+            best = max(best, len(count))
+        return best
+
+    def search_wrapped(self, h: np.ndarray, line: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(row, template, containment) for templates that neighbouring lines hold together: every window of words is tried, unless a line without words is in it."""
+        if not len(h) or not len(self.prefix):
+            return
+        new = np.r_[True, (row[1:] != row[:-1]) | (line[1:] > line[:-1] + 1)]
+        part = np.cumsum(new) - 1
+        begin = np.r_[np.flatnonzero(new), len(h)]
+        at = np.minimum(np.searchsorted(self.prefix, h), len(self.prefix) - 1)
+        for p in np.unique(part[self.prefix[at] == h]).tolist():
+            lo, hi = begin[p], begin[p + 1]
+            if line[lo] == line[hi - 1]:
+                continue
+            some = h[lo:hi].tolist()
+            have = set(some)
+            for t in {t for x in have & self.index.keys() for t, _ in self.index[x]}:
+                if len(have & self.sets[t]) >= self.need[t]:
+                    shared = self.best(t, some)
+                    if shared >= self.need[t]:
+                        yield int(row[lo]), t, shared / len(self.sets[t])
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs (doc_id, text).
 
     n_base counts all places where a phrase stands, first_word and last_word are the smallest and largest of them in words from
-    0 (else null). A block is a line; a template matches a block that holds at least threshold of its distinct words. labels are those of
+    0 (else null). A block is a line, or neighbouring words over several lines with no
+    line without words among them, as many as the template has and a quarter (two at least) more; a template matches a block that holds at least threshold of its distinct words. labels are those of
     phrases and templates; score is the largest containment of a match, 1 if a phrase stands there, else 0.
 
     A null text counts as empty. Null doc_ids and repeated rows pass like any other; only doc_id and text are read. Templates and phrases are
@@ -141,6 +181,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
                     r = int(line_row[b])
                     labels[r].add(index.labels[t])
                     score[r] = max(score[r], c)
+                for r, t, c in index.search_wrapped(h, block, row):
+                    labels[r].add(index.labels[t])
+                    score[r] = max(score[r], c)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array([len(p) for p in places], pa.int64()),

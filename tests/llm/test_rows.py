@@ -187,6 +187,20 @@ def test_licenses(spark, docs, odd):
     assert licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    wrapped = [(name, textwrap.wrap(t, 40)) for name, t in licenses.TEMPLATES.items() if len(t) > 100]
+    rows = [(k, "\n".join(["Some text.", "", *(p + x for x in lines), "", "More text."])) for k, (_, lines, p) in enumerate((n, ls, p) for n, ls in wrapped for p in ("", "# ", " * ", "// "))]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(len(rows)):
+        assert wrapped[k // 4][0] in got[k]["labels"].split(",") and got[k]["score"] == 1.0
+    far = [(name, [x + " " + " ".join(f"w{j}" for j in range(60)) for x in lines]) for name, lines in wrapped]
+    apart = [(k, "\n\n".join(lines)) for k, (_, lines) in enumerate(wrapped)] + [(10 + k, "\n".join(lines)) for k, (_, lines) in enumerate(far)]
+    for r in licenses.scan(spark.createDataFrame(apart, "doc_id long, text string")).collect():
+        assert wrapped[r["doc_id"] % 10][0] not in r["labels"].split(",")
+
+
 def plain_quality(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
