@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riverbed.llm.common import Scratch, bytes_of, mix, odd, shingles, slices, words
 from riverbed.llm.components import components
@@ -56,7 +57,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, size: int, mul
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_a"):
+            for part in slices(batch, "text_a", "text_b"):
                 keep = pa.array(similar_texts(part, threshold, size, multiset))
                 yield part.select(["a", "b"]).filter(keep)
 
@@ -131,24 +132,29 @@ def _cross(rest: DataFrame, texts: DataFrame, threshold: float, size: int, multi
     return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def link(scratch: Scratch, units: DataFrame, texts_of, threshold: float, size: int = 5, multiset: bool = False) -> DataFrame:
-    """(node, root) of the units that a chain of verified links joins.
+def link(scratch: Scratch, units: DataFrame, texts_of, threshold: float, size: int = 5, multiset: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the units that a chain of verified links joins, and (key, uid, hub) of the units that share a band.
 
-    units: uid long (unique) and bands array<long>; texts_of: gives (uid, text) for a DataFrame of uids. Every bucket first checks its
-    members against one of them, that which meets most others in its buckets: a number of pairs that is linear in the
-    bucket. Those that pass form components. Only buckets that still hold several components go on; there rows of different components are
+    units: uid long (equal only for units of one class) and bands array<long>; texts_of: gives (uid, text) for a DataFrame of uids. Every bucket first
+    checks its members against its smallest one: a number of pairs that is linear in the bucket. Those that pass form
+    components. Only buckets that still hold several components go on; there rows of different components are
     compared, block by block. Links within a component can add nothing, so no colliding pair that matters is left out.
+
+    A bucket's members are found by one shuffle of (key, uid): a running first value, and whether another row follows, need no
+    buffer that holds a bucket. RuntimeError if components() gives up.
     """
     rows = units.select("uid", F.explode("bands").alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = scratch.save(rows.join(counts, "key"))
-    central = shared.groupBy("uid").agg(F.sum("n").alias("met"))
-    hubs = shared.join(central, "uid").groupBy("key").agg(F.max(F.struct("met", (-F.col("uid")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("hub"))
-    pairs = shared.join(hubs, "key").filter("uid <> hub").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct()
+    by_key = Window.partitionBy("key").orderBy("uid")
+    running = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = rows.select("key", "uid", F.first("uid").over(running).alias("hub"), F.lead("uid").over(by_key).alias("next"))
+    shared = scratch.save(told.filter("uid <> hub or uid <> next").select("key", "uid", "hub"))
+    scratch.sweep()
     texts = scratch.save(texts_of(shared.select("uid").distinct()))
+    pairs = shared.filter("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
     edges = scratch.save(_verify(pairs, texts, threshold, size, multiset))
+    scratch.sweep()
     found = components(scratch, edges)
     placed = shared.join(found, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("part"))
     torn = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).filter("p < q and n > 2").select("key")
     more = scratch.save(_cross(placed.join(torn, "key"), texts, threshold, size, multiset))
-    return found if more.isEmpty() else components(scratch, edges.unionByName(more))
+    return (found if more.isEmpty() else components(scratch, edges.unionByName(more))), shared

@@ -24,6 +24,8 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:  # a single machine, as in tests
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             local = tempfile.mkdtemp(prefix="riverbed-")
             atexit.register(shutil.rmtree, local, ignore_errors=True)
             root = "file://" + local
@@ -35,7 +37,7 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         schema = df.schema
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
@@ -49,6 +51,10 @@ class Scratch:
         """Deletes all tables of this Scratch and lets Spark delete the shuffle files that nothing refers to any more."""
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.sweep()
+
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
         self.spark._jvm.System.gc()
 
 
@@ -76,9 +82,9 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each part holds about limit bytes of text, whole rows only."""
-    _, offsets = bytes_of(batch.column(column))
+def slices(batch: pa.RecordBatch, *names: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that each part holds about limit bytes in the named columns (text if none is named), whole rows only."""
+    offsets = sum(bytes_of(batch.column(c))[1] for c in names or ("text",))
     row = 0
     while row < batch.num_rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riverbed.llm.common import bytes_of, slices, word_hash, words
-from riverbed.llm.substring import paragraphs
 
 # Fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -32,6 +31,14 @@ BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
+def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All lines of a batch's texts as consecutive byte ranges: bytes, offsets, row of each line."""
+    data, offsets = bytes_of(batch.column("text"))
+    starts = np.unique(np.r_[offsets[:-1], np.flatnonzero(data == 10) + 1])
+    starts = starts[starts < len(data)]
+    return data, np.r_[starts, len(data)], np.searchsorted(offsets, starts, "right") - 1
+
+
 def tokens(text: str) -> list[int]:
     """Distinct word hashes of a template."""
     data = np.frombuffer(text.encode(), np.uint8)
@@ -46,7 +53,7 @@ def token_frequencies(docs: DataFrame, vocabulary: list[int]) -> dict[int, int]:
         total = np.zeros(len(known), np.int64)
         for batch in batches:
             for part in slices(batch):
-                data, offsets, _, _ = paragraphs(part)
+                data, offsets, _ = lines_of(part)
                 h, _, _, block = words(data, offsets, BETWEEN)
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 on = known[at] == h
@@ -175,7 +182,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
                             places[row[k]].append(k - int(begin[row[k]]))
                             base[row[k]].add(label)
                             score[row[k]] = 1.0
-                _, line_offsets, line_row, _ = paragraphs(part)
+                _, line_offsets, line_row = lines_of(part)
                 block = np.searchsorted(line_offsets, starts, "right") - 1
                 for b, t, c in index.search(h, block):
                     r = int(line_row[b])

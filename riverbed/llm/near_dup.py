@@ -114,33 +114,40 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), band_column(keys, has)], ["doc_id", "key", "bands"])
 
     signed = scratch.save(docs.filter("doc_id is not null").mapInArrow(sign, "doc_id long, key string, bands array<long>"))
-    first = signed.filter("size(bands) > 0").groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("s")).select("key", "s.doc_id", "s.bands")
-    units = scratch.save(first.withColumn("uid", F.monotonically_increasing_id()))
+    first = signed.filter("size(bands) > 0").groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("s"))
+    # a unit is a text, named by its smallest doc_id; units of one name belong to one document
+    units = scratch.save(first.select("key", F.col("s.doc_id").alias("uid"), "s.bands"))
 
     def texts_of(uids: DataFrame) -> DataFrame:
-        wanted = units.select("uid", "doc_id", "key").join(uids, "uid", "left_semi")
-        return docs.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("uid", "text")
+        wanted = units.select("uid", "key").join(uids, "uid", "left_semi")
+        return docs.join(wanted, (docs["doc_id"] == wanted["uid"]) & (docs["key"] == wanted["key"])).select("uid", docs["key"], "text").dropDuplicates(["uid", "key"]).select("uid", "text")
 
-    linked = link(scratch, units, texts_of, threshold, size, multiset=True)
+    linked, _ = link(scratch, units, texts_of, threshold, size, multiset=True)
     grouped = units.select("uid", "key").join(linked, F.col("uid") == F.col("node"), "left").select("key", F.coalesce("root", "uid").alias("part"))
-    member = signed.select("doc_id", "key", (F.size("bands") > 0).alias("has"))
-    placed = scratch.save(member.join(grouped, "key", "left"))
-    # a repeated doc_id with two texts joins their components
-    roots = placed.filter("has").groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    again = placed.filter("has").join(roots, "part").select(F.col("doc_id").alias("b"), F.col("component_id").alias("a")).filter("a < b")
-    final = components(scratch, again)
-    keyed = placed.select("doc_id").join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
-    out = keyed.select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    placed = scratch.save(signed.select("doc_id", "key").join(grouped, "key", "left"))  # wordless texts have no unit and no part
+    told = placed.groupBy("doc_id").agg(F.min("part").alias("part"), F.max("part").alias("other"))
+    # a repeated doc_id with several texts joins their components
+    several = told.filter("part < other").select("doc_id", F.col("part").alias("b"))
+    again = components(scratch, placed.join(several, "doc_id").select(F.col("part").alias("a"), "b"))
+    told = told.join(again, F.col("part") == F.col("node"), "left").select(F.col("doc_id").alias("_id"), F.coalesce("root", "part", "doc_id").alias("component_id"))
+    out = placed.select("doc_id").join(told, F.col("doc_id") == F.col("_id")).select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     none = docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(none)
 
 
 def drop_near_duplicates(docs: DataFrame, scratch: Scratch | None = None, **how) -> DataFrame:
-    """One row of docs, with all its columns, for each component of near_duplicates(), and all rows with a null doc_id."""
+    """One row of docs, with all its columns, for each component of near_duplicates(), and all rows with a null doc_id.
+
+    Of the rows that repeat a kept doc_id the one with a word and the smallest MD5 of its text stays; if these are equal, the
+    first as JSON.
+    """
     scratch = scratch or Scratch(docs.sparkSession)
     told = scratch.save(near_duplicates(docs, scratch=scratch, **how))
-    left = docs.join(told.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    left = docs.join(told.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
     again = scratch.save(told.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
     if again.isEmpty():
         return left
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    row = F.struct(*[left[c] for c in docs.columns])
+    order = F.struct(F.coalesce(F.trim("text") == "", F.lit(True)), F.md5("text"), F.to_json(row))
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row")).select("row.*")
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)

@@ -28,11 +28,13 @@ def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, n_removed, removed_lines (comma-joined numbers), text without them."""
+    """One row per document: doc_id, n_removed (words), removed (first:end of words, comma-joined), text without them."""
     from riverbed.llm.substring import drop_repeats
 
     out = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed_lines"), "text")
+    spans = F.filter(F.split("removed", ","), lambda x: x != "")
+    n = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + F.substring_index(x, ":", -1).cast("long") - F.substring_index(x, ":", 1).cast("long"))
+    return out.select("doc_id", n.alias("n_removed"), "removed", "text")
 
 
 @query

@@ -6,13 +6,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riverbed.llm.buckets import cross_links, tune_bands
-from riverbed.llm.common import Scratch
+from riverbed.llm.common import Scratch, bytes_of, mix, odd, words
 from riverbed.llm.components import components
 from riverbed.llm.near_dup import bag_minhash, drop_near_duplicates, near_duplicates
-from riverbed.llm.substring import drop_repeats, repeated_paragraphs, without_runs
+from riverbed.llm.substring import REACH, RUN, drop_repeats, paragraphs, similar_paragraphs, without_words
 from riverbed.llm.vectors import range_join
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -128,62 +129,107 @@ def test_cross_links_match_all_pairs():
     assert classes(range(len(rows)), found) == want
 
 
-def brute_repeats(rows, least=25):
-    units = [(d, n, {*shingle_counts(line)}) for d, t in rows if t for n, line in enumerate(t.split("\n")) if len(re.findall(r"[^\x20\x09-\x0D]+", line)) >= least]
-    names = [u[:2] for u in units]
-    root = classes(names, [(units[a][:2], units[b][:2]) for a, b in itertools.combinations(range(len(units)), 2) if len(units[a][2] & units[b][2]) >= 0.8 * len(units[a][2] | units[b][2])])
-    return {u: r for u, r in root.items() if u != r}
+def plain_words(text):
+    return [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
 
 
-def test_repeated_paragraphs(spark):
+def plain_paragraphs(text, reach=REACH):
+    """(first word, number of words) of each paragraph, by the rule of paragraphs(), one word at a time."""
+    h = words(*bytes_of(pa.array([text or ""])))[0]
+    n = len(h)
+    pair = [None] + [int(mix(h[k - 1 : k] * odd(9) + mix(h[k : k + 1]))[0]) for k in range(1, n)]
+    starts = [0] if n else []
+    for k in range(reach + 1, n - reach):
+        if all(pair[k] < pair[j] for j in range(k - reach, k)) and all(pair[k] <= pair[j] for j in range(k + 1, k + reach + 1)):
+            starts.append(k)
+    return [(s, e - s) for s, e in zip(starts, [*starts[1:], n])]
+
+
+def brute_repeats(rows, size=5):
+    """{(doc_id, first word): (words, first doc_id, first word there)} of all paragraphs that repeat an earlier one."""
+    units = {}
+    for d, t in rows:
+        w = plain_words(t)
+        for s, n in plain_paragraphs(t):
+            if n >= size:
+                units[d, s] = (n, {tuple(w[k : k + size]) for k in range(s, s + n - size + 1)})
+    links = [(a, b) for (a, (_, x)), (b, (_, y)) in itertools.combinations(sorted(units.items()), 2) if len(x & y) >= 0.8 * len(x | y)]
+    return {u: (units[u][0], *r) for u, r in classes(sorted(units), links).items() if u != r}
+
+
+def brute_run_places(rows, size=RUN):
+    """{doc_id: places of the words that a run of size words covers which stands earlier too}."""
+    seen, gone = {}, defaultdict(set)
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        w = plain_words(t)
+        for k in range(len(w) - size + 1):
+            e, at = seen.setdefault(tuple(w[k : k + size]), (d, k))
+            if e != d or k - at >= size:
+                gone[d] |= set(range(k, k + size))
+    return gone
+
+
+def brute_left(rows):
+    """The texts that drop_repeats leaves, for rows without a repeated doc_id."""
+    gone = brute_run_places([r for r in rows if r[1]])
+    for (d, s), (n, *_) in brute_repeats(rows).items():
+        gone[d] |= set(range(s, s + n))
+    left = {}
+    for d, t in rows:
+        places = sorted(gone[d])
+        spans = [{"start": k, "n": 1} for k in places]
+        left[d] = without_words(t, spans)[0] if spans else t
+    return left, {d for d, x in gone.items() if x}
+
+
+def repeat_docs():
     rng = random.Random(8)
-    common = [prose(rng, n) for n in (30, 55, 80, 120)]
+    common = [prose(rng, n) for n in (30, 52, 80, 120, 300)]
     rows = []
     for k in range(60):
-        lines = [" ".join(prose(rng, rng.randrange(5, 70))) for _ in range(4)]
+        w = prose(rng, rng.randrange(60, 280))
         if k % 2:
-            p = list(common[k % 4])
+            p = list(common[k % 5])
             if k % 3 == 0:
-                p[rng.randrange(len(p))] = "changed"
-            lines.insert(rng.randrange(5), " ".join(p))
-        if k % 10 == 0:
-            lines += [lines[0], "short line", "short line", ""]
-        rows.append((k, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "\n\n")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, number string")
-    got = {(r["doc_id"], r["number"]): (r["first_doc_id"], r["first_number"]) for r in repeated_paragraphs(df).collect()}
-    want = brute_repeats(rows)
-    assert got == want and len(want) > 20
-    out = drop_repeats(df)
-    gone = defaultdict(set)
-    for d, n in want:
-        gone[d].add(n)
-    texts = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert texts == {d: t if t is None or not gone[d] else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]) for d, t in rows}
-
-
-def test_repeated_paragraphs_edge_cases(spark):
+                for _ in range(1 + len(p) // 100):
+                    p[rng.randrange(len(p))] = "changed"
+            at = rng.choice([0, 25, 50, len(w)])
+            w[at:at] = p if k % 4 else [x.upper() for x in p]  # in the middle of a line, or over several
+        step = [10**6, 8, 12, 20][k % 4]
+        rows.append((k, "\n".join(" ".join(w[j : j + step]) for j in range(0, len(w), step))))
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "two words"), (104, "two words"), (105, "now there are five words"), (106, "now there are five words"), (107, "x " * 5000), (108, "x " * 300), (109, "x" * 100_000)]
+    return rows
+
+
+def test_paragraphs_do_not_depend_on_lines():
+    rng = random.Random(6)
+    text = " ".join(prose(rng, 700))
+    got = paragraphs(*[words(*bytes_of(pa.array([text, "a b", "", text.replace(" ", "\n")])))[k] for k in (0, 3)])
+    want = plain_paragraphs(text)
+    assert list(zip(*(x.tolist() for x in got))) == want + [(700, 2)] + [(702 + s, n) for s, n in want] and len(want) > 8
+    assert all(n > REACH for _, n in want)
+
+
+def test_similar_paragraphs(spark):
+    rows = repeat_docs()
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, number string, start int")
+    got = {(r["doc_id"], r["start"]): (r["n"], r["first_doc_id"], r["first_start"]) for r in similar_paragraphs(df).collect()}
+    assert got == brute_repeats(rows) and len(got) > 20
+    want, touched = brute_left(rows)
+    out = drop_repeats(df).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == want
+    assert {r["doc_id"] for r in out if r["removed"]} == touched
+
+
+def test_similar_paragraphs_edge_cases(spark):
     line = " ".join(prose(random.Random(2), 60))
     rows = [(1, line, None, None, None), (1, line, None, None, None), (2, "a\n" + line, "en", "s", 3), (None, line, None, None, None)]
-    out = drop_repeats(spark.createDataFrame(rows, DOCS)).collect()
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == sorted([(0, line), (1, line), (1, line), (2, "a")])
+    out = drop_repeats(spark.createDataFrame(rows, DOCS).withColumnRenamed("source", "removed")).collect()
+    got = sorted(((r["doc_id"] or 0, r["text"], r["removed"]) for r in out), key=lambda x: x[0])
+    assert got[:3] == [(0, line, ""), (1, line, ""), (1, line, "")] and got[3] == (2, "", "0:61")  # a paragraph that differs by a word goes as a whole
     assert drop_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def brute_runs(rows, size=50):
-    """Words of each text that no run of size words covers which stands earlier too."""
-    seen, left = {}, {}
-    for d, t in sorted(rows):
-        w = t.lower().split()
-        gone = set()
-        for k in range(len(w) - size + 1):
-            e, at = seen.setdefault(tuple(w[k : k + size]), (d, k))
-            if e != d or k - at >= size:
-                gone |= set(range(k, k + size))
-        left[d] = [x for k, x in enumerate(w) if k not in gone]
-    return left
-
-
 def test_repeated_runs_wherever_they_stand(spark):
     rng = random.Random(21)
     passages = [prose(rng, n) for n in (50, 51, 64, 90, 130)]
@@ -200,15 +246,13 @@ def test_repeated_runs_wherever_they_stand(spark):
     twice = prose(rng, 60)
     rows += [(50, " ".join(prose(rng, 80) + twice + prose(rng, 40) + twice + prose(rng, 80))), (51, "x " * 170), (52, " ".join(["y"] * 99))]
     out = {r["doc_id"]: r["text"] for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = brute_runs(rows)
-    assert {d: t.lower().split() for d, t in out.items()} == want
-    assert sum(len(want[d]) < len(t.split()) for d, t in rows) > 20
-    assert all(out[d] == t for d, t in rows if len(want[d]) == len(t.split()))
+    want, touched = brute_left(rows)
+    assert out == want and len(touched) > 20
 
 
 def test_white_space_where_a_run_was():
     p = " ".join(f"p{k}" for k in range(50))
-    cut = lambda t, k: without_runs(t, np.array([k]))
+    cut = lambda t, k: without_words(t, [{"start": k, "n": 30}, {"start": k + 20, "n": 30}])[0]
     assert cut(f"a {p} b", 1) == "a b" and cut(f"a {p}\nb", 1) == "a\nb" and cut(f"a\n{p} b", 1) == "a\nb"
     assert cut(f"a\n{p}", 1) == "a" and cut(f"{p}\nb", 0) == "b" and cut(p, 0) == ""
 

@@ -4,7 +4,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from riverbed.llm import quality, secrets
-from tests.llm.test_pairs import DOCS, brute_near, brute_repeats
+from tests.llm.test_pairs import DOCS, brute_left, brute_near
 from tests.llm.test_rows import plain_quality
 
 
@@ -65,10 +65,7 @@ def plain_pipeline(table, ratio):
             kept[i] = t
     first = brute_near(list(kept.items()))
     kept = {i: t for i, t in kept.items() if first[i] == i}
-    gone = defaultdict(set)
-    for d, n in brute_repeats(list(kept.items())):
-        gone[d].add(n)
-    kept = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in kept.items()}
+    kept, gone = brute_left(list(kept.items()))
     for i, t in kept.items():
         hidden = [False] * len(t)
         for _, s, e, _ in secrets.all_spans(t, ratio):
