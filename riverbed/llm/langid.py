@@ -30,13 +30,16 @@ def symbol_table() -> np.ndarray:
     return table
 
 
-def bundles(texts: list[str], dim: int, seed: int) -> np.ndarray:
-    """The bundled trigram vectors (n x dim) of texts: sums over all trigrams whose middle is a letter; zero without letters."""
-    low = [f" {t.lower()} " for t in texts]
+def padded(text: str) -> str:
+    return f" {text.lower()} "
+
+
+def bundles(low: list[str], dim: int, seed: int) -> np.ndarray:
+    """The bundled trigram vectors (n x dim) of padded texts, or of one piece of such: sums over all trigrams whose middle is a letter; zero without letters."""
     sizes = np.array([len(t) for t in low])
     codes = symbol_table()[np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
     row = np.repeat(np.arange(len(low)), sizes)
-    middle = np.flatnonzero(codes[1:-1]) + 1  # never the blank that surrounds a text
+    middle = np.flatnonzero(codes[1:-1]) + 1  # never an end of a text or piece
     gram = (codes[middle - 1] << 14) | (codes[middle] << 7) | codes[middle + 1]
     seen = np.zeros(SYMBOLS**3, np.int32)
     seen[gram] = 1
@@ -48,20 +51,27 @@ def bundles(texts: list[str], dim: int, seed: int) -> np.ndarray:
     return counts.astype(np.float32) @ vectors
 
 
+#: Rows, and characters of a long text, that one step takes at most; a step's counts are a dense table of rows by trigrams.
+STEP_ROWS, STEP_CHARS = 512, 1 << 20
+
+
 def _steps(batch: pa.RecordBatch, dim: int, seed: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Parts of a batch with the bundles of their texts; a long text is bundled piece by piece, which loses the trigrams at the cuts alone."""
-    for part in slices(batch, limit=1 << 20):
-        texts = part.column("text").fill_null("").to_pylist()
-        if part.num_rows == 1 and len(texts[0]) > 2 << 20:
-            yield part, sum(bundles([texts[0][k : k + (1 << 20)]], dim, seed).astype(np.float64) for k in range(0, len(texts[0]), 1 << 20))
-        else:
-            yield part, bundles(texts, dim, seed)
+    """Parts of a batch with the bundles of their texts; pieces of a long text share two characters, so that every trigram is in one of them."""
+    for some in slices(batch, limit=1 << 20):
+        for at in range(0, some.num_rows, STEP_ROWS):
+            part = some.slice(at, STEP_ROWS)
+            low = [padded(t) for t in part.column("text").fill_null("").to_pylist()]
+            if len(low) > 1 or len(low[0]) <= STEP_CHARS:
+                yield part, bundles(low, dim, seed)
+            else:
+                yield part, sum(bundles([low[0][k : k + STEP_CHARS + 2]], dim, seed).astype(np.float64) for k in range(0, len(low[0]) - 2, STEP_CHARS))
 
 
 def fit(labelled: DataFrame, dim: int = 1024, seed: int = 11, most_docs: int = 20_000, most_langs: int = 1000) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes (unit vectors): sums of the unit vectors of labelled texts (text, lang, doc_id).
 
-    Learns from a sample of most_docs rows at most. Executors bundle; the driver gets one vector for each language, most_langs at most.
+    Learns from a sample of most_docs rows at most, and of its languages the most_langs that most rows have (ties: the first in order). Executors bundle;
+    the driver gets one vector for each of these.
     """
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,10 +85,10 @@ def fit(labelled: DataFrame, dim: int = 1024, seed: int = 11, most_docs: int = 2
         for lang, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim)), pa.array(v.astype(np.float64))], ["lang", "k", "v"])
 
-    known = sampled(labelled.filter("lang is not null").select("doc_id", "text", "lang"), most_docs).select("text", "lang")
-    sums = known.mapInArrow(bundle, "lang string, k long, v double").groupBy("lang", "k").agg(F.sum("v").alias("v")).limit(most_langs * dim + 1).collect()
-    if len(sums) > most_langs * dim:
-        raise ValueError(f"more than {most_langs} languages")
+    known = sampled(labelled.filter("lang is not null").select("doc_id", "text", "lang"), most_docs)
+    often = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
+    known = known.join(F.broadcast(often), "lang").select("text", "lang")  # one row for each language, most_langs at most
+    sums = known.mapInArrow(bundle, "lang string, k long, v double").groupBy("lang", "k").agg(F.sum("v").alias("v")).collect()
     langs = sorted({r["lang"] for r in sums})
     at = {lang: i for i, lang in enumerate(langs)}
     proto = np.zeros((len(langs), dim))

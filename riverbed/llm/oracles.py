@@ -36,11 +36,11 @@ g AS (SELECT r, p, w[p] AS x, w[p + 1] AS y, w[p + 2] AS z FROM (SELECT r, w, un
 s AS (SELECT r, x, y, z FROM g GROUP BY ALL HAVING count(*) > 1),
 c AS (SELECT r, count(DISTINCT p + j) AS n FROM (SELECT g.r, g.p, unnest([0, 1, 2]) AS j FROM g JOIN s USING (r, x, y, z)) GROUP BY r),
 h AS (SELECT b.*, [{hits}] AS hit, coalesce(c.n, 0) AS n_repeat_words, len(w) AS n_words, length(t) AS n_chars FROM b LEFT JOIN c USING (r)),
-f AS (SELECT *, [upper_n, digit, mark, n_symbols, blank, greatest(n_chars - upper_n - digit - mark - n_symbols - blank, 0)] AS chars, list_append(hit, greatest(n_words - list_sum(hit), 0)::BIGINT) AS common FROM h),
-n AS (SELECT lang AS l, [{", ".join(f"sum(chars[{k}])" for k in range(1, 7))}] AS char_norm, [{", ".join(f"sum(common[{k}])" for k in range(1, len(KNOWN) + 2))}] AS word_norm FROM f GROUP BY 1),
-o AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  CASE WHEN n_chars >= {LIMITS["min_chars"]} THEN {far("chars", "char_norm")} END AS char_distance, CASE WHEN n_words >= {LIMITS["min_words"]} THEN {far("common", "word_norm")} END AS word_distance
-  FROM f JOIN n ON lang IS NOT DISTINCT FROM l)
+f AS (SELECT *, [upper_n, digit, mark, n_symbols, blank, greatest(n_chars - upper_n - digit - mark - n_symbols - blank, 0)] AS chars, hit AS common, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM h),
+n AS (SELECT lang AS l, [{", ".join(f"sum(chars[{k}])" for k in range(1, 7))}] AS char_norm, [{", ".join(f"sum(common[{k}])" for k in range(1, len(KNOWN) + 1))}] AS word_norm FROM f WHERE NOT base_failed GROUP BY 1),
+o AS (SELECT *,
+  CASE WHEN n_chars >= {LIMITS["min_chars"]} THEN {far("chars", "char_norm")} END AS char_distance, CASE WHEN n_words >= {LIMITS["min_words"]} THEN CASE WHEN list_sum(word_norm) > 0 AND list_sum(common) = 0 THEN 1.0 ELSE {far("common", "word_norm")} END END AS word_distance
+  FROM f LEFT JOIN n ON lang IS NOT DISTINCT FROM l)
 SELECT doc_id, n_words::BIGINT AS n_words, (n_chars - blank)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   base_failed, NOT base_failed AND NOT (coalesce(char_distance, 0) > {LIMITS["max_char_distance"]} OR coalesce(word_distance, 0) > {LIMITS["max_word_distance"]}) AS kept FROM o"""
 

@@ -78,11 +78,10 @@ def measured(rows: DataFrame) -> DataFrame:
         (F.col("spaces") + strip("[\\n\\t\\x0B\\f\\r]+")).alias("blank"),
     )
     rest = F.col("n_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("n_symbols") - F.col("blank")
-    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
     chars = F.array("upper", "digit", "mark", "n_symbols", "blank", F.greatest(rest, F.lit(0).cast("long")))
     return counted.select(
         "row", "n_words", "n_chars", (F.col("n_chars") - F.col("blank")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
-        chars.alias("chars"), F.concat("hits", F.array(F.greatest(F.col("n_words") - hit, F.lit(0).cast("long")))).alias("common"),
+        chars.alias("chars"), F.col("hits").alias("common"),
     )
 
 
@@ -104,16 +103,18 @@ def _judged(docs: DataFrame, keep: list[str], max_char_distance: float, max_word
     rows = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("row"))
     told = measured(rows).select(F.col("row.lang").alias("lang"), F.struct(*[F.col("row")[c].alias(c) for c in keep]).alias("row"), *MEASURED)
     known = scratch.save(told)
-    n = len(KNOWN) + 1
-    sums = known.groupBy("lang").agg(*[F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(len(CLASSES))], *[F.sum(F.col("common")[k]).alias(f"w{k}") for k in range(n)])
+    n = len(KNOWN)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    sums = known.filter(~failed).groupBy("lang").agg(*[F.sum(F.col("chars")[k]).alias(f"c{k}") for k in range(len(CLASSES))], *[F.sum(F.col("common")[k]).alias(f"w{k}") for k in range(n)])
     # one row for each language; Spark broadcasts the saved table if it is small and shuffles otherwise
     norms = scratch.save(sums.select(F.col("lang").alias("norm_lang"), F.array(*[f"c{k}" for k in range(len(CLASSES))]).alias("char_norm"), F.array(*[f"w{k}" for k in range(n)]).alias("word_norm")))
     near = known.join(norms, F.col("lang").eqNullSafe(F.col("norm_lang")), "left")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    some = lambda c: F.exists(c, lambda v: v > 0)
+    words_apart = F.when(some("word_norm") & ~some("common"), F.lit(1.0)).otherwise(distance(F.col("common"), F.col("word_norm")))
     told = near.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.when(F.col("n_chars") >= min_chars, distance(F.col("chars"), F.col("char_norm"))).alias("char_distance"),
-        F.when(F.col("n_words") >= min_words, distance(F.col("common"), F.col("word_norm"))).alias("word_distance"),
+        F.when(F.col("n_words") >= min_words, words_apart).alias("word_distance"),
     )
     far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
     told = told.withColumn("kept", ~F.col("base_failed") & ~far)
@@ -121,7 +122,7 @@ def _judged(docs: DataFrame, keep: list[str], max_char_distance: float, max_word
 
 
 MEASURED = ["n_words", "n_chars", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common"]
-LIMITS = {"max_char_distance": 0.3, "max_word_distance": 0.5, "min_chars": 200, "min_words": 50}
+LIMITS = {"max_char_distance": 0.3, "max_word_distance": 0.9, "min_chars": 200, "min_words": 50}
 
 
 def quality(docs: DataFrame, scratch: Scratch | None = None, **limits) -> DataFrame:
@@ -129,12 +130,12 @@ def quality(docs: DataFrame, scratch: Scratch | None = None, **limits) -> DataFr
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (under 50 words, or more than half of them in
     repeated windows of three words), char_distance and word_distance (Jensen-Shannon distances between the text's histograms of
-    character classes and of common words and those of all texts of its language), kept. A text whose base rules hold is dropped if a
+    character classes and of common words and those of all texts of its language that pass the base rules; 1 for a text without common words, null where there is no reference), kept. A text whose base rules hold is dropped if a
     distance exceeds its limit; a distance counts only for texts of min_chars characters, or min_words words, else it is null. limits
     override LIMITS.
 
     A null text counts as empty; a null lang is a language of its own; repeated rows are judged one by one and count in the
-    references as often as they stand. References of all languages are sums over all rows. Only these three columns are
+    references as often as they stand. References of all languages are sums over all rows that pass the base rules. Only these three columns are
     read. An empty table gives no rows.
     """
     judged = _judged(docs.select("doc_id", "text", "lang"), ["doc_id"], **(LIMITS | limits), scratch=scratch or Scratch(docs.sparkSession))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,21 @@ def transitions(token: str) -> np.ndarray:
     return c[:-1] * STATES + c[1:]
 
 
-def outside(token_start: int, token_end: int, spans: list[tuple[str, int, int, str]]) -> bool:
-    return all(token_end <= s or token_start >= e for _, s, e, _ in spans)
+def union(spans: list[tuple[str, int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the places that spans cover, in order and apart from each other."""
+    starts, ends = [], []
+    for s, e in sorted((s, e) for _, s, e, _ in spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def outside(start: int, end: int, starts: list[int], ends: list[int]) -> bool:
+    k = bisect_right(ends, start)
+    return k == len(starts) or starts[k] >= end
 
 
 def random_strings(n: int = 2000, seed: int = 5) -> list[str]:
@@ -63,9 +77,10 @@ def fit(docs: DataFrame, sample_docs: int = 5000) -> np.ndarray:
         for batch in batches:
             for text in batch.column("text").fill_null("").to_pylist():
                 spans = base_spans(text)
+                covered = union(spans)
                 for _, _, _, value in spans:
                     total[1] += np.bincount(transitions(value), minlength=total.shape[1])
-                rest = [m[0] for m in _TOKEN.finditer(text) if m.end() - m.start() >= 4 and (not spans or outside(m.start(), m.end(), spans))]
+                rest = [m[0] for m in _TOKEN.finditer(text) if m.end() - m.start() >= 4 and (not spans or outside(m.start(), m.end(), *covered))]
                 if rest:  # one array for all: a pair that spans two tokens has the extra state in it
                     codes = _CODE[np.frombuffer("\x7f".join(rest).encode("ascii"), np.uint8)]
                     total[0] += np.bincount(codes[:-1] * STATES + codes[1:], minlength=total.shape[1])
@@ -85,13 +100,14 @@ def fit(docs: DataFrame, sample_docs: int = 5000) -> np.ndarray:
     return out.reshape(-1)
 
 
-def stretches(start: int, end: int, spans: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
-    """What spans leave of a token."""
-    left = []
-    for s, e in sorted((s, e) for _, s, e, _ in spans if s < end and e > start):
-        if s > start:
-            left.append((start, s))
-        start = max(start, e)
+def stretches(start: int, end: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """What covered places leave of a token."""
+    left, k = [], bisect_right(ends, start)
+    while k < len(starts) and starts[k] < end:
+        if starts[k] > start:
+            left.append((start, starts[k]))
+        start = ends[k]
+        k += 1
     return [*left, (start, end)] if start < end else left
 
 
@@ -112,7 +128,8 @@ def markov_spans(text: str, known: list[tuple[str, int, int, str]], ratio: np.nd
     least = min(min_chars, max(2, 1 + int(np.ceil(min_sum / max(ratio.max(), 1e-9)))))  # no shorter string can reach the sum
     places = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{%d,}" % least, text)]
     if known:
-        places = [x for s, e in places for x in stretches(s, e, known) if x[1] - x[0] >= least]
+        covered = union(known)
+        places = [x for s, e in places for x in stretches(s, e, *covered) if x[1] - x[0] >= least]
     found = []
     while places:
         parts, again = [text[s:e] for s, e in places], []

@@ -188,6 +188,7 @@ def window_runs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "_digest", "text").mapInArrow(fingerprint, "doc_id long, _digest long, least long, start int, n int, region long")
 
 
+SALTS = 8
 SPAN = "array<struct<start:int,n:int>>"
 
 
@@ -236,7 +237,9 @@ def repeated_windows(scratch: Scratch, held: DataFrame) -> DataFrame:
 
     whole = scratch.save(held.filter("_hot is not null").select("doc_id", "_digest", "text", "_hot").mapInArrow(compare, "doc_id long, _digest long, start int, one long, two long"))
     firsts = whole.groupBy("one", "two").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first <> last").select("one", "two", "first")
-    return whole.join(firsts, ["one", "two"]).filter(_apart("first")).select("doc_id", "_digest", "start", F.lit(RUN).alias("n")).distinct()
+    salt = F.pmod(F.xxhash64("doc_id", "_digest"), F.lit(SALTS)).cast("int")  # a common passage has as many windows as places
+    firsts = firsts.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return whole.withColumn("salt", salt).join(firsts, ["one", "two", "salt"]).filter(_apart("first")).select("doc_id", "_digest", "start", F.lit(RUN).alias("n")).distinct()
 
 
 def without_words(text: str, spans: list[dict]) -> tuple[str, str]:

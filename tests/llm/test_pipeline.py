@@ -32,6 +32,7 @@ def rows():
     out.append((100, out[3][1].replace(".", "!", 1)))
     out.append((101, out[5][1]))
     out.append((102, "### &&& $$$ %%% " * 40 + line(80)))
+    out.append((107, " ".join(f"w{k}ord" for k in range(90))))  # no common word
     out += [(103, "too short"), (104, None), (105, ""), (106, "again and again " * 60)]
     return [(i, t, "en", "s", None if t is None else len(t)) for i, t in out]
 
@@ -43,11 +44,12 @@ def histogram(t):
     mark = len(re.findall(r"[.,;:!?'\"()\[\]{}_\-]", t))
     symbol, blank = len(re.findall(r"[#*$%&|<>]", t)), len(re.findall(r"[\x20\x09-\x0D]", t))
     c = Counter(x.lower() for x in w)
-    known = [c[k] for k in quality.KNOWN]
-    return np.array([upper, digit, mark, symbol, blank, len(t) - upper - digit - mark - symbol - blank]), np.array([*known, len(w) - sum(known)])
+    return np.array([upper, digit, mark, symbol, blank, len(t) - upper - digit - mark - symbol - blank]), np.array([c[k] for k in quality.KNOWN])
 
 
 def divergence(p, q):
+    if not p.sum():
+        return 1.0
     p, q = p / p.sum(), q / q.sum()
     m = (p + q) / 2
     return math.sqrt(max(0, sum(x * math.log2(x / y) for a in (p, q) for x, y in zip(a, m) if x > 0) / 2))
@@ -56,12 +58,13 @@ def divergence(p, q):
 def plain_pipeline(table, ratio):
     texts = {r[0]: r[1] or "" for r in table}
     hist = {i: histogram(t) for i, t in texts.items()}
-    norm = [sum(h[k] for h in hist.values()) for k in (0, 1)]
+    passes = {i: n >= 50 and 100 * repeated <= 50 * n for i, t in texts.items() for n, *_, repeated in [plain_quality(t)]}
+    norm = [sum(h[k] for i, h in hist.items() if passes[i]) for k in (0, 1)]
     kept = {}
     for i, t in texts.items():
-        n, *_, repeated = plain_quality(t)
+        n = plain_quality(t)[0]
         far = (len(t) >= 200 and divergence(hist[i][0], norm[0]) > quality.LIMITS["max_char_distance"]) or (n >= 50 and divergence(hist[i][1], norm[1]) > quality.LIMITS["max_word_distance"])
-        if n >= 50 and 100 * repeated <= 50 * n and not far:
+        if passes[i] and not far:
             kept[i] = t
     first = brute_near(list(kept.items()))
     kept = {i: t for i, t in kept.items() if first[i] == i}
@@ -92,7 +95,7 @@ def test_pipeline(spark, tmp_path):
             assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
     want, gone = plain_pipeline(table, ratio)
     assert {r["doc_id"]: r["text"] for r in seen["secrets"].collect()} == want
-    assert gone and any("[SECRET]" in t for t in want.values()) and not {100, 101, 102, 103, 104, 105, 106} & want.keys()
+    assert gone and any("[SECRET]" in t for t in want.values()) and not {100, 101, 102, 103, 104, 105, 106, 107} & want.keys()
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     pieces = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in df.collect())
     plain = []
