@@ -68,3 +68,47 @@ def turn_score(starts: Column, ends: Column, origin: Column, short: float = 1.0,
     n = F.size(starts)
     took = (n > 0) & ~((n <= few) & (F.element_at(ends, -1) - F.element_at(starts, 1) < short))
     return F.struct(took.cast("int").alias("took_turn"), F.when(took, clamp_low(F.element_at(starts, 1) - origin, 0.0)).alias("latency"))
+
+
+def gain(samples: Column, level: float = 0.05, ceiling: float = 0.9) -> Column:
+    """The factor that brings samples to a level (root mean square) without passing a ceiling (peak); 1 for silence, null without samples."""
+    r = rms(samples)
+    return F.when(r == 0, 1.0).otherwise(F.least(level / r, ceiling / peak(samples)))
+
+
+def half_even(x: Column) -> Column:
+    """Rounded to an integer, halves to the even one."""
+    return F.bround(x.cast("double"), 0).cast("long")
+
+
+def utc_text(micros_since_1970: Column) -> Column:
+    """Date and time in UTC, as 2024-01-31 12:00:00 UTC; the session's time zone does not matter."""
+    day, second = F.floor(micros_since_1970 / 86_400_000_000), F.pmod(F.floor(micros_since_1970 / 1_000_000), F.lit(86_400))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    date = F.date_format(F.date_from_unix_date(day.cast("int")), "yyyy-MM-dd")
+    return F.concat(date, F.lit(" "), two(F.floor(second / 3600)), F.lit(":"), two(F.floor(second % 3600 / 60)), F.lit(":"), two(second % 60), F.lit(" UTC"))
+
+
+def turn_origin(task: Column, times: Column) -> Column:
+    """Where a score counts from: the first time of a turn-taking task, the second of an interruption, none of a pause."""
+    return F.when(task == "smooth_turn_taking", F.get(times, F.lit(0))).when(task == "user_interruption", F.get(times, F.lit(1)))
+
+
+def raw_latency(first: Column, origin: Column) -> Column:
+    """From origin to the first word, whether or not the turn counts; may be negative."""
+    return first - origin
+
+
+def lag_ms(released: Column, started: Column, processed: Column, rate: int = SAMPLE_RATE) -> Column:
+    """Milliseconds between the time that samples up to processed take and their release."""
+    return (released - started - processed / rate) * 1000
+
+
+def state_lag_ms(main_lag: Column, released: Column, available: Column) -> Column:
+    """A main lag less the time that a state was available before its release."""
+    return main_lag - (released - available) * 1000
+
+
+def crop_frames(frames: Column, rate: Column, input_rate: Column) -> Column:
+    """How many frames at one rate last as long as frames at another, halves to even."""
+    return half_even(frames * rate / input_rate)

@@ -15,8 +15,8 @@ def asof(df: DataFrame, keys: list[str], order: list[str], value: Column, matche
     One sort of the key's rows serves both sides; there is no join and no pair is made.
     """
     w = by(keys, order)
-    if forward:
-        return F.first(F.when(matches, value), ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    if forward:  # backward in the opposite order: a frame that grows row by row, where one to the end would be read anew for every row
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return F.last(F.when(matches, value), ignorenulls=True).over(so_far(w))
 
 
@@ -35,9 +35,17 @@ def index_join(df: DataFrame, build: DataFrame, key: str) -> DataFrame:
 
 
 def trace_diff(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Entries of two aligned traces that differ or that one of them lacks."""
-    l, r = left.select(*keys, F.col(value).alias("left_value")), right.select(*keys, F.col(value).alias("right_value"))
-    return l.join(r, keys, "full_outer").filter(~F.col("left_value").eqNullSafe(F.col("right_value")))
+    """Entries of two aligned traces that differ or that one of them lacks, also where the other's value is null."""
+    l, r = (df.select(*keys, F.col(value).alias(f"{side}_value"), F.lit(True).alias(f"_{side}")) for df, side in ((left, "left"), (right, "right")))
+    differs = F.col("_left").isNull() | F.col("_right").isNull() | ~F.col("left_value").eqNullSafe(F.col("right_value"))
+    return l.join(r, keys, "full_outer").filter(differs).drop("_left", "_right")
+
+
+def zip_rows(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of the same position (from 0) in both sides of a key; what the longer side has beyond is left out."""
+    w = by(keys, [order])
+    place = lambda df: df.withColumn("position", (F.row_number().over(w) - 1).cast("long")).drop(order)
+    return place(left).join(place(right), [*keys, "position"])
 
 
 def coverage(planned: DataFrame, actual: DataFrame, key: str) -> DataFrame:

@@ -2,42 +2,69 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BOUNDARY = "[.!?。！？；;\\n]"
+#: A sentence mark with the white space after it, or at the end of the text.
+BOUNDARY = r"[.!?](?:\s+|$)"
+_MARK = re.compile(BOUNDARY)
+TRIMMED = r"^\s+|\s+$"
+
+
+def cut(text: Column, limit: int, final: bool = True) -> Column:
+    """Length of a text's first segment: through the first boundary and its white space if that is within limit; else a text over limit
+    is cut after limit characters or before the last blank that allows; else the whole text if it is final, else null."""
+    mark = F.regexp_instr(text, F.lit(BOUNDARY))
+    end = mark - 1 + F.length(F.regexp_substr(text, F.lit(BOUNDARY)))
+    blank = F.lit(limit + 1) - F.instr(F.reverse(F.substr(text, F.lit(1), F.lit(limit + 1))), " ")  # characters before the last blank
+    has = F.contains(F.substr(text, F.lit(1), F.lit(limit + 1)), F.lit(" ")) & (blank > 0)
+    whole = F.length(text) if final else F.lit(None)
+    return F.when((mark > 0) & (end <= limit), end).when(F.length(text) > limit, F.when(has, blank).otherwise(F.lit(limit))).otherwise(whole).cast("int")
 
 
-def cut(text: Column, limit: int) -> Column:
-    """Length of a text's first segment: up to the first boundary mark within the limit, else the last blank within it, else the limit."""
-    head = F.substr(text, F.lit(1), F.lit(limit))
-    mark = F.regexp_instr(head, F.lit(BOUNDARY))
-    space = F.lit(limit) + 1 - F.instr(F.reverse(F.substr(text, F.lit(1), F.lit(limit))), " ")
-    return F.when(mark > 0, mark).when(F.length(text) <= limit, F.length(text)).when((space > 1) & (space <= limit), space).otherwise(F.lit(limit)).cast("int")
+def first_segment(df: DataFrame, text: str, limit: int, final: bool = True) -> DataFrame:
+    """Adds segment, without white space around it, and rest_length; without a segment: null and the whole text's length."""
+    n = cut(F.col(text), limit, final)
+    return df.withColumn("segment", F.regexp_replace(F.substr(F.col(text), F.lit(1), n), TRIMMED, "")).withColumn("rest_length", (F.length(text) - F.coalesce(n, F.lit(0))).cast("long"))
 
 
-def first_segment(df: DataFrame, text: str, limit: int) -> DataFrame:
-    """Adds segment and rest_length."""
-    n = cut(F.col(text), limit)
-    return df.withColumn("segment", F.substr(F.col(text), F.lit(1), n)).withColumn("rest_length", (F.length(text) - n).cast("long"))
+def segment_ends(text: str, limit: int, first: int, final: bool = True) -> list[int]:
+    """Where cut() ends one segment after another; first is the limit until one that is not blank has come."""
+    marks = [m.span() for m in _MARK.finditer(text)]
+    begins = [b for b, _ in marks]
+    ends, at, room = [], 0, first
+    while at < len(text):
+        k = bisect_left(begins, at)
+        if k < len(marks) and marks[k][1] - at <= room:
+            end = marks[k][1]
+        elif len(text) - at > room:
+            blank = text.rfind(" ", at, at + room + 1)
+            end = blank if blank > at else at + room
+        elif final:
+            end = len(text)
+        else:
+            break
+        if text[at:end].strip():
+            room = limit
+        ends.append(end)
+        at = end
+    return ends
 
 
-def segments(df: DataFrame, text: str, limit: int, least: int) -> DataFrame:
-    """All segments in order (pos from 0): a text is cut at boundary marks and blanks into runs of whole words.
+def segments(df: DataFrame, text: str, limit: int, first: int | None = None) -> DataFrame:
+    """All segments that are not blank, in order (pos from 0). Each cut depends on the one before, so a small kernel runs along each text, over Arrow batches."""
+    start = limit if first is None else first
 
-    Words go into a segment until a boundary mark ends one of them once the segment has least characters, or the next word would
-    take it beyond the limit. A fold over the words of a text, within its row.
-    """
-    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    @F.pandas_udf("array<string>")
+    def split(column: pd.Series) -> pd.Series:
+        def one(t: str) -> list[str]:
+            ends = segment_ends(t, limit, start)
+            return [s for s in (t[a:b].strip() for a, b in zip([0, *ends], ends)) if s]
 
-    def step(acc: Column, w: Column) -> Column:
-        grown = F.when(acc["open"] == "", w).otherwise(F.concat(acc["open"], F.lit(" "), w))
-        full = (acc["open"] != "") & (F.length(grown) > limit)
-        now = F.when(full, w).otherwise(grown)
-        done = F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        ends = now.rlike("[.!?。！？；;]$") & (F.length(now) >= least)
-        return F.struct(F.when(ends, F.concat(done, F.array(now))).otherwise(done).alias("done"), F.when(ends, F.lit("")).otherwise(now).alias("open"))
+        return column.fillna("").map(one)
 
-    folded = F.aggregate(words, zero, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
-    return df.select(*[c for c in df.columns if c != text], F.posexplode(folded).alias("pos", "segment"))
+    return df.select(*[c for c in df.columns if c != text], F.posexplode(split(F.col(text))).alias("pos", "segment"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("metrics", "traces", "relations", "texts")
+MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars")
 
 
 def load_all() -> None:

@@ -171,10 +171,9 @@ def q_distinct_supervision(spark, sf_dir):
 
 
 @query("q_report_rows", """
-SELECT user_id, string_agg('| ' || event_id || ' | ' || replace(event_type || '|' || props, '|', '/') || ' |', chr(10) ORDER BY epoch_us(ts), event_id) AS report FROM events GROUP BY 1""")
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, '| ' || event_id || ' | ' || replace(event_type || '|' || props, '|', '／') || ' |' AS line FROM events""")
 def q_report_rows(spark, sf_dir):
-    """A markdown table body for each user, pipes escaped, in order of time."""
+    """The lines of a markdown table for each user, pipes replaced by their full-width form, in order of time; a line is a row, so no report is one string."""
     e = events(spark, sf_dir)
-    line = F.concat(F.lit("| "), F.col("event_id").cast("string"), F.lit(" | "), F.replace(F.concat_ws("|", "event_type", "props"), F.lit("|"), F.lit("/")), F.lit(" |"))
-    rows = F.array_sort(F.collect_list(F.struct("us", "event_id", line.alias("line"))))
-    return e.groupBy("user_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("report"))
+    line = F.concat(F.lit("| "), F.col("event_id").cast("string"), F.lit(" | "), F.replace(F.concat_ws("|", "event_type", "props"), F.lit("|"), F.lit("／")), F.lit(" |"))
+    return e.select("user_id", F.row_number().over(by(["user_id"], ["us", "event_id"])).cast("long").alias("position"), line.alias("line"))

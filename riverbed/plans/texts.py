@@ -20,18 +20,31 @@ def q_frames(spark, sf_dir):
     return d.select("doc_id", F.inline(C.frame_windows(F.col("n_chars"))))
 
 
-@query("q_first_segment", r"""
-WITH h AS (SELECT doc_id, text, left(text, 240) AS head FROM documents),
-c AS (SELECT doc_id, text, head, length(regexp_extract(head, '^[^.!?。！？；;\n]*[.!?。！？；;\n]')) AS mark, length(head) + 1 - nullif(strpos(reverse(head), ' '), 0) AS space FROM h),
-n AS (SELECT doc_id, text, CASE WHEN mark > 0 THEN mark WHEN length(text) <= 240 THEN length(text) WHEN space > 1 THEN space ELSE 240 END AS n FROM c)
-SELECT doc_id, left(text, n) AS segment, length(text) - n AS rest_length FROM n""")
+SEGMENT = r"""CASE WHEN mark > 0 AND mark <= lim THEN mark
+    WHEN length(rest) > lim THEN CASE WHEN strpos(left(rest, lim + 1), ' ') > 0 AND lim + 1 - strpos(reverse(left(rest, lim + 1)), ' ') > 0 THEN lim + 1 - strpos(reverse(left(rest, lim + 1)), ' ') ELSE lim END
+    ELSE length(rest) END"""
+MARK = r"""CASE WHEN regexp_matches(rest, '[.!?](?:\s+|$)') THEN length(regexp_extract(rest, '(?s)^.*?[.!?](?:\s+|$)')) ELSE 0 END"""
+TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query("q_first_segment", f"""
+WITH m AS (SELECT doc_id, text AS rest, 240 AS lim, {MARK.replace("rest", "text")} AS mark FROM documents), n AS (SELECT doc_id, rest, {SEGMENT} AS n FROM m)
+SELECT doc_id, {TRIM.format("left(rest, n)")} AS segment, length(rest) - n AS rest_length FROM n""")
 def q_first_segment(spark, sf_dir):
+    """The first segment of at most 240 characters: a sentence with its white space, else what a blank allows."""
     return T.first_segment(table(spark, sf_dir, "documents", "doc_id", "text"), "text", 240).select("doc_id", "segment", "rest_length")
 
 
-@query("q_segments")
+@query("q_segments", f"""
+WITH RECURSIVE s(doc_id, step, lim, segment, rest) AS (
+  SELECT doc_id, 0, 20, '', text FROM documents
+  UNION ALL
+  SELECT doc_id, step + 1, CASE WHEN segment <> '' THEN 40 ELSE lim END, segment, rest FROM (
+    SELECT doc_id, step, lim, {TRIM.format("left(rest, n)")} AS segment, substr(rest, n + 1) AS rest FROM (
+      SELECT *, {SEGMENT} AS n FROM (SELECT *, {MARK.replace("rest", "left(rest, 2000)")} AS mark FROM s WHERE rest <> ''))))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1)::INTEGER AS pos, segment FROM s WHERE segment <> ''""")
 def q_segments(spark, sf_dir):
-    """All segments of 20 to 40 characters, cut at marks and blanks."""
+    """All segments of each text, at most 20 characters until the first that is not blank, then 40."""
     return T.segments(table(spark, sf_dir, "documents", "doc_id", "text"), "text", 40, 20)
 
 

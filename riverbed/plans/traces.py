@@ -181,7 +181,16 @@ def q_violations_joint(spark, sf_dir):
     return gate(b, ["event_id"], rules).withColumnRenamed("failure", "label")
 
 
-@query("q_consume_deltas")
+@query("q_consume_deltas", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s(user_id, n, event_id, busy, pending, action) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, false, 0::BIGINT, NULL::VARCHAR FROM events
+  UNION ALL
+  SELECT e.user_id, e.n, e.event_id, CASE WHEN k = 'purchase' AND NOT busy THEN pending > 0 WHEN k IN ('error', 'click') THEN false ELSE busy END,
+    CASE WHEN k = 'view' THEN pending + 1 WHEN k = 'purchase' AND NOT busy THEN 0 ELSE pending END,
+    CASE WHEN k = 'view' THEN 'delta' WHEN k = 'purchase' AND busy THEN 'busy' WHEN k = 'purchase' AND pending > 0 THEN 'start' WHEN k = 'purchase' THEN 'empty' WHEN k IN ('error', 'click') AND busy THEN 'cancel' WHEN k IN ('error', 'click') THEN 'idle' ELSE 'ignored' END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT user_id, event_id, action FROM s WHERE n > 0""")
 def q_consume_deltas(spark, sf_dir):
     """Decisions of the delta consumer over each user's events: a fold in order, the batch twin of the streaming one."""
     from riverbed.streaming.consumer import consume

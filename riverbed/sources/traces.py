@@ -55,3 +55,19 @@ def manifest_violations(spark: SparkSession, glob: str, expected: DataFrame) ->
     both = found.join(expected, "name", "full_outer")
     label = F.when(F.col("got").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").when(F.col("got") != F.col("sha256"), "digest")
     return both.select("name", label.alias("label")).filter("label is not null")
+
+
+def read_number(spark: SparkSession, path: str) -> int | None:
+    """The whole number that a small text file holds, such as an exit code; None if it is missing or holds something else."""
+    if not _exists(spark, path):
+        return None
+    lines = spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("v")).select(F.when(F.col("v").rlike(r"\A-?[0-9]+\z"), F.col("v").cast("long")))
+    return lines.first()[0]
+
+
+def listing(spark: SparkSession, glob: str) -> DataFrame:
+    """The files of a pattern with position (from 0 in order of names), name and size; only names are read, not contents."""
+    from pyspark.sql.window import Window
+
+    found = spark.read.format("binaryFile").load(glob).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size"))
+    return found.select((F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("position"), "name", "size")
