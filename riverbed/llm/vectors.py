@@ -39,6 +39,36 @@ def cells(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndar
     return home, copies
 
 
+def choose_pivots(sample: np.ndarray, labels: np.ndarray, n: int, cell_rows: int, most: int, radius: float) -> np.ndarray:
+    """The pivots, of two kinds and several numbers, with which a sample needs least: pairs to compare and copies to make, carried on to n points.
+
+    Candidates are the points farthest from each other, and points in dense places (those with most neighbours within twice the
+    radius, each out of reach of those before). One pivot, that is one cell, wins where the space has no parts that the radius can tell apart.
+    """
+    if not len(sample):
+        return np.zeros((0, 1))
+    some = sample[: 1024]
+    close = ((some @ some.T) >= 1 - 2 * radius**2).sum(axis=1)
+    dense: list[int] = []
+    for k in np.argsort(-close, kind="stable").tolist():
+        if len(dense) < most and all(some[k] @ some[j] < 1 - 2 * radius**2 for j in dense):
+            dense.append(k)
+    scale, best = n / len(sample), (np.inf, sample[:1])
+    for candidates in (some[dense], farthest_first(sample, min(most, len(sample)))):
+        k = 1
+        while k <= min(len(candidates), max(1, n // cell_rows)):
+            home, copies = cells(sample, candidates[:k], radius)
+            pairs = 0.0
+            for label in np.unique(labels):
+                on = labels == label
+                pairs += (np.bincount(home[on], minlength=k) * copies[on].sum(axis=0)).sum() * scale * scale
+            cost = pairs + copies.sum() * scale * cell_rows / 16  # a copy costs as much as some comparisons
+            if cost < best[0]:
+                best = cost, candidates[:k]
+            k *= 2
+    return best[1]
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
@@ -49,10 +79,11 @@ def range_join(vectors: DataFrame, least_cosine: float = 0.98, cell_rows: int =
 
     Two vectors are linked if their labels and lengths are equal, labels not null, and their cosine in double precision is
     least_cosine or more, that is if the unit vectors are within sqrt(2 - 2 * least_cosine). Equal vectors of a label are one
-    point with a weight. About n / cell_rows pivots, chosen from a sample of sample_rows points, cut the space into cells; each
+    point with a weight. Up to n / cell_rows pivots, chosen on a sample of sample_rows points, cut the space into cells; each
     cell gets its own points and those that a neighbour across its border may need, and is joined on its own: every link of a
-    point is counted in its home. A cell with many points is joined block by block, so no task grows with it. Blocks tell
-    how many links a point has and which points they connect, not the links.
+    point is counted in its home. A cell with many points is joined block by block, every two blocks once, so no task grows with it. Blocks tell
+    how many links a point has and which points they connect, not the links. Where no pivots help (points in all directions and a
+    large radius), a label is one cell, and the comparisons grow with the square of its points.
 
     Vectors that are null, empty or zero, or hold a null or non-finite component, have no links; nor has a row with a null vec_id, whose
     component_id is null and which is kept. Repeated rows are vectors of their own with the same vec_id. component_id is the
@@ -82,9 +113,11 @@ def range_join(vectors: DataFrame, least_cosine: float = 0.98, cell_rows: int =
     grouped = valid.groupBy("label", "key").agg(F.min(F.struct("vec_id", "unit")).alias("s"), F.count("*").alias("weight"))
     points = scratch.save(grouped.select("label", "key", F.col("s.vec_id").alias("vec_id"), F.col("s.unit").alias("unit"), "weight").withColumn("uid", F.monotonically_increasing_id()))
     n = points.count()
-    sample = [np.array(r["unit"]) for r in sampled(points.select("uid", "unit"), sample_rows, "uid").select("unit").collect()]
-    length = max({len(v) for v in sample}, key=[len(v) for v in sample].count, default=0)
-    pivots = farthest_first(np.stack([v for v in sample if len(v) == length]), max(1, min(most_pivots, n // cell_rows))) if sample else np.zeros((0, 1))
+    sample = [(np.array(r["unit"]), r["label"]) for r in sampled(points.select("uid", "unit", "label"), sample_rows, "uid").collect()]
+    sizes = [len(v) for v, _ in sample]
+    length = max(set(sizes), key=sizes.count, default=0)
+    some = [(v, y) for v, y in sample if len(v) == length]
+    pivots = choose_pivots(np.array([v for v, _ in some]), np.array([y for _, y in some]), n, cell_rows, most_pivots, radius)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,25 +139,24 @@ def range_join(vectors: DataFrame, least_cosine: float = 0.98, cell_rows: int =
     placed = scratch.save(placed)
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     block = placed.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_home = F.transform(others, lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
-    as_member = F.transform(others, lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
-    met = block.withColumn("ij", F.explode(F.array_distinct(F.when(F.col("home"), F.concat(as_home, as_member)).otherwise(as_member))))
-    met = met.select("label", "cell", "ij.i", "ij.j", "uid", "weight", "unit", (F.col("home") & (F.col("block") == F.col("ij.i"))).alias("asks"), (F.col("block") == F.col("ij.j")).alias("answers"))
-
-    def join(group: pa.Table) -> pa.Table:
-        uid, weight, unit = group["uid"].to_numpy(), group["weight"].to_numpy(), _matrix(group["unit"])
-        x, y = (np.flatnonzero(group[c].to_numpy(zero_copy_only=False)) for c in ("asks", "answers"))
-        near = (unit[x] @ unit[y].T >= least_cosine) & (uid[x][:, None] != uid[y][None, :])
-        links = np.zeros(len(uid), np.int64)
-        links[x] = near @ weight[y]
-        root, far = uid.copy(), np.iinfo(np.int64).max
-        while near.any():
-            before = root.copy()
-            np.minimum.at(root, x, np.where(near, root[y][None, :], far).min(axis=1))
-            np.minimum.at(root, y, np.where(near, root[x][:, None], far).min(axis=0))
-            if (before == root).all():
-                break
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    met = block.withColumn("ij", F.explode(pair)).select("label", "cell", "ij.i", "ij.j", "uid", "weight", "unit", "home", "block")
+
+    def join(key: tuple, group: pa.Table) -> pa.Table:
+        uid, weight, unit, of = group["uid"].to_numpy(), group["weight"].to_numpy(), _matrix(group["unit"]), group["block"].to_numpy()
+        home = group["home"].to_numpy(zero_copy_only=False)
+        i, j = (k.as_py() for k in key[2:])
+        links, root, far = np.zeros(len(uid), np.int64), uid.copy(), np.iinfo(np.int64).max
+        for asks, answers in {(i, j), (j, i)}:
+            x, y = np.flatnonzero(home & (of == asks)), np.flatnonzero(of == answers)
+            near = (unit[x] @ unit[y].T >= least_cosine) & (uid[x][:, None] != uid[y][None, :])
+            links[x] += near @ weight[y]
+            while near.any():
+                before = root.copy()
+                np.minimum.at(root, x, np.where(near, root[y][None, :], far).min(axis=1))
+                np.minimum.at(root, y, np.where(near, root[x][:, None], far).min(axis=0))
+                if (before == root).all():
+                    break
         on = (links > 0) | (root != uid)
         return pa.table({"uid": uid[on], "root": root[on], "links": links[on]})
 
