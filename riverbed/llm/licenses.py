@@ -12,52 +12,83 @@ from pyspark.sql import functions as F
 
 from riverbed.llm.common import bytes_of, slices, word_hash, words
 
-# Fixed values.
+# Phrases with their labels, notices of one sentence, headers of files, and whole license texts.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 TEMPLATES = {
     "apache-notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+    "apache-header": """Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "apache-grant": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain
+        the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+        BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+        HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+        OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "cc-notice": "Licensed under CC BY-NC 4.0.",
     "cc-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "gpl-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of
+        the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+        FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see
+        https://www.gnu.org/licenses/.""",
+    "gpl-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in
+        all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
+        BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+        ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "mit-notice": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including
+        without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+        the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF
+        ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "zlib": """This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to
+        anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be
+        misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+        Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.""",
 }
+#: A template of fewer distinct words must be there in full.
+SHORT = 15
 
 #: A word is a run of digits, ASCII letters and characters beyond ASCII.
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
-def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All lines of a batch's texts as consecutive byte ranges: bytes, offsets, row of each line."""
-    data, offsets = bytes_of(batch.column("text"))
-    starts = np.unique(np.r_[offsets[:-1], np.flatnonzero(data == 10) + 1])
-    starts = starts[starts < len(data)]
-    return data, np.r_[starts, len(data)], np.searchsorted(offsets, starts, "right") - 1
+def template_words(text: str) -> list[bytes]:
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, starts, ends, _ = words(data, np.array([0, len(data)]), BETWEEN)
+    return [data[s:e].tobytes().lower() for s, e in zip(starts, ends)]
 
 
-def tokens(text: str) -> list[int]:
-    """Distinct word hashes of a template."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    return sorted(set(words(data, np.array([0, len(data)]), BETWEEN)[0].tolist()))
+def needed(size: int, threshold: float) -> int:
+    """How many of a template's distinct words a block must hold."""
+    return size if size < SHORT else math.ceil(threshold * size - 1e-9)
+
+
+def width(n: int) -> int:
+    """Words of a block, for a template of n words: a quarter more, two at least."""
+    return n + max(2, n // 4)
 
 
 def token_frequencies(docs: DataFrame, vocabulary: list[int]) -> dict[int, int]:
-    """In how many blocks (lines) of the corpus each token of the vocabulary stands; executors count, the driver gets one row for each token."""
+    """In how many texts of the corpus each word hash of the vocabulary stands; executors count, the driver gets one row for each."""
     known = np.array(sorted(vocabulary), np.uint64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(known), np.int64)
         for batch in batches:
             for part in slices(batch):
-                data, offsets, _ = lines_of(part)
-                h, _, _, block = words(data, offsets, BETWEEN)
+                h, _, _, row = words(*bytes_of(part.column("text")), BETWEEN)
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 on = known[at] == h
-                pairs = np.unique(block[on] * len(known) + at[on])
+                pairs = np.unique(row[on] * len(known) + at[on])
                 total += np.bincount(pairs % len(known), minlength=len(known))
         yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], ["token", "n"])
 
@@ -66,92 +97,78 @@ def token_frequencies(docs: DataFrame, vocabulary: list[int]) -> dict[int, int]:
 
 
 class Index:
-    """Templates whose tokens are in order of rising frequency, indexed by those in their prefixes.
+    """Templates as sets of ranks in the order of rising frequency over all template words, indexed by their prefixes.
 
-    A block that holds need = ceil(threshold * size) of a template's tokens must hold one of its size - need + 1 rarest ones.
+    A block that holds need of a template's words must hold one of its size - need + 1 rarest ones.
     """
 
     def __init__(self, templates: dict[str, str], threshold: float, frequency: dict[int, int]):
-        self.labels, self.sets, self.order, self.need, self.width = list(templates), [], [], [], []
-        index: dict[int, list[tuple[int, int]]] = {}
-        for t, text in enumerate(templates.values()):
-            ordered = sorted(tokens(text), key=lambda x: (frequency.get(x, 0), x))
-            need = math.ceil(threshold * len(ordered) - 1e-9)
+        texts = [template_words(t) for t in templates.values()]
+        spelled = {word_hash(w.decode()): w for t in texts for w in t}
+        order = sorted(spelled, key=lambda x: (frequency.get(x, 0), x))
+        rank = {x: k for k, x in enumerate(order)}
+        self.spelled = [spelled[x] for x in order]
+        self.known = np.array(sorted(order), np.uint64)
+        self.rank = np.array([rank[int(x)] for x in self.known], np.int64)
+        self.labels, self.sets, self.need, self.width = list(templates), [], [], []
+        self.index: dict[int, list[tuple[int, int]]] = {}
+        for t, text in enumerate(texts):
+            ordered = sorted({rank[word_hash(w.decode())] for w in text})
             self.sets.append(set(ordered))
-            self.order.append({x: k for k, x in enumerate(ordered)})
-            self.need.append(need)
-            data = np.frombuffer(text.encode(), np.uint8)
-            n = len(words(data, np.array([0, len(data)]), BETWEEN)[0])
-            self.width.append(n + max(2, n // 4))
-            for k, x in enumerate(ordered[: len(ordered) - need + 1]):
-                index.setdefault(x, []).append((t, k))
-        self.index = index
-        self.prefix = np.array(sorted(index), np.uint64)
-
-    def search(self, h: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(block, template, containment) for blocks (ascending) of words h, one for each pair whose containment reaches the threshold."""
-        if not len(h) or not len(self.prefix):
+            self.need.append(needed(len(ordered), threshold))
+            self.width.append(width(len(text)))
+            for k, x in enumerate(ordered[: len(ordered) - self.need[t] + 1]):
+                self.index.setdefault(x, []).append((t, k))
+        self.prefix = np.zeros(len(order) + 1, bool)
+        self.prefix[list(self.index)] = True
+
+    def search(self, data: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(row, template, containment) of all blocks that reach the threshold, for words with hashes h and their bytes; rows ascend. A block is any run of width words of a row."""
+        if not len(h) or not len(self.known):
             return
-        at = np.minimum(np.searchsorted(self.prefix, h), len(self.prefix) - 1)
-        hits = np.flatnonzero(self.prefix[at] == h)
-        for b in np.unique(block[hits]).tolist():
-            lo, hi = np.searchsorted(block, [b, b + 1])
-            have = set(h[lo:hi].tolist())
-            first: dict[int, int] = {}
-            for x in have & self.index.keys():
-                for t, k in self.index[x]:
-                    first[t] = min(first.get(t, k), k)
-            for t, k in first.items():
-                size, need = len(self.sets[t]), self.need[t]
-                if len(have) < need or size - k < need:  # length; position of the first shared token
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        hits = np.flatnonzero(self.known[at] == h)
+        ranks, of = self.rank[at[hits]], row[hits]
+        for r in np.unique(of[self.prefix[ranks]]).tolist():
+            lo, hi = np.searchsorted(of, [r, r + 1])
+            have = np.unique(ranks[lo:hi]).tolist()
+            first: dict[int, tuple[int, int]] = {}
+            for j, x in enumerate(have):
+                for t, k in self.index.get(x, ()):
+                    first.setdefault(t, (k, j))
+            for t, (k, j) in first.items():
+                need, own = self.need[t], self.sets[t]
+                # length; then what can follow the first shared word in the template and in the block; then what is shared
+                if len(have) < need or min(len(own) - k, len(have) - j) < need or sum(x in own for x in have) < need:
                     continue
-                shared = len(have & self.sets[t])
+                places = [(int(p), x) for p, x in zip(hits[lo:hi], ranks[lo:hi].tolist()) if x in own and data[starts[p] : ends[p]].tobytes().lower() == self.spelled[x]]
+                shared = most_distinct(places, self.width[t])
                 if shared >= need:
-                    yield b, t, shared / size
-
-    def best(self, t: int, some: list[int]) -> int:
-        """The most distinct words of template t that stand in so many neighbouring words as it has, and a quarter or two more."""
-        places = [(k, x) for k, x in enumerate(some) if x in self.sets[t]]
-        count: dict[int, int] = {}
-        best = lo = 0
-        for k, x in places:
-            count[x] = count.get(x, 0) + 1
-            while places[lo][0] <= k - self.width[t]:
-                old = places[lo][1]
-                count[old] -= 1
-                if not count[old]:
-                    del count[old]
-                lo += 1
-            best = max(best, len(count))
-        return best
-
-    def search_wrapped(self, h: np.ndarray, line: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(row, template, containment) for templates that neighbouring lines hold together: every window of words is tried, unless a line without words is in it."""
-        if not len(h) or not len(self.prefix):
-            return
-        new = np.r_[True, (row[1:] != row[:-1]) | (line[1:] > line[:-1] + 1)]
-        part = np.cumsum(new) - 1
-        begin = np.r_[np.flatnonzero(new), len(h)]
-        at = np.minimum(np.searchsorted(self.prefix, h), len(self.prefix) - 1)
-        for p in np.unique(part[self.prefix[at] == h]).tolist():
-            lo, hi = begin[p], begin[p + 1]
-            if line[lo] == line[hi - 1]:
-                continue
-            some = h[lo:hi].tolist()
-            have = set(some)
-            for t in {t for x in have & self.index.keys() for t, _ in self.index[x]}:
-                if len(have & self.sets[t]) >= self.need[t]:
-                    shared = self.best(t, some)
-                    if shared >= self.need[t]:
-                        yield int(row[lo]), t, shared / len(self.sets[t])
+                    yield r, t, shared / len(own)
+
+
+def most_distinct(places: list[tuple[int, int]], width: int) -> int:
+    """The most distinct values in a window of width places."""
+    count: dict[int, int] = {}
+    best = lo = 0
+    for p, x in places:
+        count[x] = count.get(x, 0) + 1
+        while places[lo][0] <= p - width:
+            old = places[lo][1]
+            count[old] -= 1
+            if not count[old]:
+                del count[old]
+            lo += 1
+        best = max(best, len(count))
+    return best
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs (doc_id, text).
 
     n_base counts all places where a phrase stands, first_word and last_word are the smallest and largest of them in words from
-    0 (else null). A block is a line, or neighbouring words over several lines with no
-    line without words among them, as many as the template has and a quarter (two at least) more; a template matches a block that holds at least threshold of its distinct words. labels are those of
+    0 (else null). A block is any run of as many words as a template has and a quarter (two at least) more, over line ends and
+    blank lines alike; a template matches a block that holds at least threshold of its distinct words, or all of them if they are fewer than SHORT. labels are those of
     phrases and templates; score is the largest containment of a match, 1 if a phrase stands there, else 0.
 
     A null text counts as empty. Null doc_ids and repeated rows pass like any other; only doc_id and text are read. Templates and phrases are
@@ -159,7 +176,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
-    frequency = token_frequencies(docs, sorted({x for t in templates.values() for x in tokens(t)})) if templates else {}
+    frequency = token_frequencies(docs, sorted({x for t in templates.values() for x in map(word_hash, map(bytes.decode, template_words(t)))})) if templates else {}
     index = Index(templates, threshold, frequency)
     coded = [([np.uint64(word_hash(w)) for w in p.split(" ")], p.encode().split(b" "), label) for p, label in phrases.items()]
 
@@ -182,13 +199,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
                             places[row[k]].append(k - int(begin[row[k]]))
                             base[row[k]].add(label)
                             score[row[k]] = 1.0
-                _, line_offsets, line_row = lines_of(part)
-                block = np.searchsorted(line_offsets, starts, "right") - 1
-                for b, t, c in index.search(h, block):
-                    r = int(line_row[b])
-                    labels[r].add(index.labels[t])
-                    score[r] = max(score[r], c)
-                for r, t, c in index.search_wrapped(h, block, row):
+                for r, t, c in index.search(data, h, starts, ends, row):
                     labels[r].add(index.labels[t])
                     score[r] = max(score[r], c)
                 yield pa.RecordBatch.from_arrays(

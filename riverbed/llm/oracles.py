@@ -46,26 +46,26 @@ SELECT doc_id, n_words::BIGINT AS n_words, (n_chars - blank)::BIGINT AS word_cha
 
 
 def licenses_sql(threshold: float = 0.8) -> str:
-    """All blocks against all templates, without filters."""
-    import math
+    """All blocks of texts that hold enough words of a template anywhere, word by word."""
     import re
 
-    from riverbed.llm.licenses import PHRASES, TEMPLATES
+    from riverbed.llm.licenses import PHRASES, TEMPLATES, needed, width
 
     lists = lambda ws: "[" + ", ".join(map(_q, ws)) + "]"
     words = lambda x: f"regexp_extract_all({x}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     phrases = ", ".join(f"({lists(p.split(' '))}, {_q(label)})" for p, label in PHRASES.items())
-    tokens = {name: sorted(set(re.findall("[0-9a-z]+", t.lower()))) for name, t in TEMPLATES.items()}
-    templates = ", ".join(f"({lists(ws)}, {_q(name)}, {math.ceil(threshold * len(ws) - 1e-9)})" for name, ws in tokens.items())
+    found = {name: re.findall("[0-9a-z]+", t.lower()) for name, t in TEMPLATES.items()}
+    templates = ", ".join(f"({lists(sorted(set(ws)))}, {_q(name)}, {needed(len(set(ws)), threshold)}, {width(len(ws))})" for name, ws in found.items())
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents),
 w AS (SELECT r, doc_id, t, {words("t")} AS w FROM d),
-p(ph, label) AS (VALUES {phrases}), m(ws, label, need) AS (VALUES {templates}),
+p(ph, label) AS (VALUES {phrases}), m(ws, label, need, wide) AS (VALUES {templates}),
 h AS (SELECT r, label, unnest(list_filter(range(0, greatest(len(w) - len(ph) + 1, 0)), lambda i: w[i + 1 : i + len(ph)] = ph)) AS place FROM w, p),
-b AS (SELECT r, list_distinct({words("line")}) AS ws FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
-c AS (SELECT r, label, len(list_intersect(b.ws, m.ws)) AS shared, len(m.ws) AS size, need FROM b, m WHERE len(b.ws) >= need),
-g AS (SELECT r, label, shared::DOUBLE / size AS score, NULL::BIGINT AS place, false AS base FROM c WHERE shared >= need UNION ALL SELECT r, label, 1.0, place, true FROM h),
+u AS (SELECT r, label, need, wide, len(ws) AS size, w, ws FROM w JOIN m ON len(list_intersect(list_distinct(w), ws)) >= need),
+x AS (SELECT r, label, need, wide, size, pos, word FROM (SELECT r, label, need, wide, size, ws, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM u) WHERE list_contains(ws, word)),
+b AS (SELECT a.r, a.label, a.need, a.size, count(DISTINCT o.word) AS shared FROM x a JOIN x o ON a.r = o.r AND a.label = o.label AND o.pos BETWEEN a.pos AND a.pos + a.wide - 1 GROUP BY a.r, a.label, a.need, a.size, a.pos),
+g AS (SELECT r, label, shared::DOUBLE / size AS score, NULL::BIGINT AS place, false AS base FROM b WHERE shared >= need UNION ALL SELECT r, label, 1.0, place, true FROM h),
 a AS (SELECT r, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
   string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM g GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
