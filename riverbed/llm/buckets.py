@@ -157,4 +157,5 @@ def link(scratch: Scratch, units: DataFrame, texts_of, threshold: float, size: i
     placed = shared.join(found, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("part"))
     torn = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).filter("p < q and n > 2").select("key")
     more = scratch.save(_cross(placed.join(torn, "key"), texts, threshold, size, multiset))
+    scratch.drop(texts)
     return (found if more.isEmpty() else components(scratch, edges.unionByName(more))), shared

@@ -96,7 +96,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     row of each component is kept: kept is doc_id = component_id.
 
     Null or wordless texts are linked with nothing. Rows with a null doc_id are linked with nothing, have component_id null and are kept. Rows that repeat a
-    doc_id count as one document, whose texts are in one component; all rows of the kept doc_id say kept. Only doc_id and text are read, so
+    doc_id count as one document, whose texts are in one component; all rows of the kept doc_id say kept. RuntimeError if components() gives up. Only doc_id and text are read, so
     other columns may have any names. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -125,6 +125,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     linked, _ = link(scratch, units, texts_of, threshold, size, multiset=True)
     grouped = units.select("uid", "key").join(linked, F.col("uid") == F.col("node"), "left").select("key", F.coalesce("root", "uid").alias("part"))
     placed = scratch.save(signed.select("doc_id", "key").join(grouped, "key", "left"))  # wordless texts have no unit and no part
+    scratch.drop(signed, units)
     told = placed.groupBy("doc_id").agg(F.min("part").alias("part"), F.max("part").alias("other"))
     # a repeated doc_id with several texts joins their components
     several = told.filter("part < other").select("doc_id", F.col("part").alias("b"))

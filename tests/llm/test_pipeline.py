@@ -105,8 +105,28 @@ def test_pipeline(spark, tmp_path):
     assert pieces(seen["packing"]) == sorted(plain) == pieces(corpus_pipeline.run(spark, where))
 
 
-@pytest.mark.parametrize("k", range(4))
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_odd_rows_and_clashing_names(spark, k):
+    names = ["key", "uid", "part", "hub", "row", "q", "start", "n", "first", "least", "removed_words", "ids", "length", "salt", "rank", "bands", "component_id", "kept"]
+    table = [*rows(), (None, "no id " * 60, None, None, None), (None, None, None, None, None), (5, None, "en", "s", None), *[r for r in rows() if r[0] in (5, 6)]]
+    docs = spark.createDataFrame([(*r, *["x"] * len(names)) for r in table], DOCS + "".join(f", {n} string" for n in names))
+    out = corpus_pipeline.STAGES[k][1](spark, docs, "")
+    got = out.collect()
+    if k < 4:
+        assert out.columns == docs.columns and all(r[n] == "x" for r in got for n in names)
+    ids = [r["doc_id"] for r in got]
+    if k == 0:
+        assert ids.count(5) == 2 and ids.count(6) == 2 and 104 not in ids
+    if k == 1:
+        assert ids.count(5) == 1 and ids.count(None) == 2 and 101 not in ids and 104 in ids and 105 in ids
+    if k in (2, 3):
+        assert len(got) == len(table)
+    if k == 4:
+        assert {(r["doc_id"], r["doc_tokens"]) for r in got} >= {(104, 1), (105, 1), (None, 1)}
+
+
+@pytest.mark.parametrize("k", range(5))
 def test_stages_take_an_empty_table(spark, k):
     docs = spark.createDataFrame([], DOCS)
     out = corpus_pipeline.STAGES[k][1](spark, docs, "")
-    assert out.columns == docs.columns and out.count() == 0
+    assert (k == 4 or out.columns == docs.columns) and out.count() == 0
