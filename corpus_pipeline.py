@@ -20,22 +20,27 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the quality rules keep. Null and empty texts have no words and go; repeated rows are judged one by one; a null doc_id or lang changes nothing but the reference."""
     return keep_good(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each group of near-duplicates, that of the smallest doc_id. Null and wordless texts are no copies of each other; rows without doc_id stay; of rows that repeat a doc_id one stays."""
     return drop_near_duplicates(docs).select(docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, text without its repeated passages. Null and empty texts, and rows without doc_id, pass as they are; rows that repeat doc_id and text count as one."""
     return _counted(drop_repeats(docs).select(docs.columns))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, each secret in text replaced by a mask. A null text stays null; every row is treated by itself."""
     return _counted(redact(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row's ids. A null text counts as empty, that is one end id; null and repeated doc_ids are packed like others."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -52,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after another, over documents; each is written and read again."""
+    """The stages, one after another, over documents; each is written and read again. An empty table gives no rows; columns beside doc_id, text, lang
+    and n_chars are carried along, whatever their names, unless these begin with an underscore."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
