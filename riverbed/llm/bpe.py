@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,32 +13,45 @@ from pyspark.sql import DataFrame
 from riverbed.llm.chunks import Cache, parts
 from riverbed.llm.common import slices
 
-#: Longer pre-tokens take a heap instead of the query, whose rows grow with the square of a pre-token's length.
-LONG = 512
+#: Bytes of pre-tokens for one query; a longer pre-token has a query of its own.
+QUERY_BYTES = 400_000
+#: The query is the same for all lengths. It forgets the rows of older steps where a pre-token has more bytes; for short ones keeping them is quicker.
+ALL_STEPS = 32
 
-# A row is a token of a word: its place, id, the id to its right (-1: none) and the merge that this pair allows.
-# A step contracts each word's leftmost pair of minimum rank and looks up anew the one or two pairs that this changes.
+# A row is a token of a word: its place, id, the place after it, the id to its right (-1: none) and the code of the merge that
+# this pair allows, 2 * id + 1 for a careful merge and 2 * id for others. Each step takes a word's least code and contracts the leftmost of its pairs that allow it,
+# and without need for care all others that do not overlap, from the left: what one after another gives, as no pair that arises comes before them.
+# With USING KEY (place) only the newest row of each place is kept; rows of tokens that were contracted away are left at an older step.
 _ENCODE = """
-WITH RECURSIVE t(step, w, place, id, right_id, merged) AS (
-    SELECT 0, s.w, s.place, s.id, s.right_id, m.id FROM start s LEFT JOIN merges m ON m.pair = (s.id::BIGINT << 17) | s.right_id
-    UNION ALL
-    (WITH best AS (
-        SELECT w, min((merged::BIGINT << 20) | place) AS rank_place FROM t WHERE merged IS NOT NULL GROUP BY w),
-     site AS (
-        SELECT b.w, (b.rank_place & 1048575)::INTEGER AS p, (b.rank_place >> 20)::INTEGER AS new_id, g.right_id AS beyond
-        FROM best b JOIN t g ON g.w = b.w AND g.place = (b.rank_place & 1048575) + 1),
+WITH RECURSIVE whole AS (SELECT p.word, v.id FROM pretokens p JOIN vocabulary v ON v.token = p.token),
+t(place, step, w, id, after, right_id, code) {key} AS (
+    SELECT s.place, 0, s.w, s.id, s.place + 1, s.right_id, m.code
+    FROM start s ANTI JOIN whole USING (word) LEFT JOIN merges m ON m.pair = (s.id::BIGINT << 17) | s.right_id
+    {union}
+    (WITH best AS (SELECT w, min(code) AS code FROM t WHERE code IS NOT NULL GROUP BY w),
+     hit AS (SELECT t.w, t.place AS p, t.after AS q, t.code FROM t JOIN best b ON b.w = t.w AND b.code = t.code),
+     leftmost AS (SELECT w, min(p) AS p, min(q) AS q, (min(code) >> 1)::INTEGER AS new_id, count(*) > 1 AND min(code) & 1 = 0 AS several FROM hit GROUP BY w),
+     nth AS (
+        SELECT h.*, row_number() OVER x AS nth, lag(h.q) OVER x AS before
+        FROM hit h SEMI JOIN (FROM leftmost WHERE several) m USING (w) WINDOW x AS (PARTITION BY h.w ORDER BY h.p)),
+     run AS (SELECT *, max(CASE WHEN before IS DISTINCT FROM p THEN nth END) OVER (PARTITION BY w ORDER BY p) AS first FROM nth),
+     site AS (SELECT p, q, (code >> 1)::INTEGER AS new_id FROM run WHERE (nth - first) % 2 = 0),
      next AS (
-        SELECT t.step + 1 AS step, t.w, t.place - (t.place > s.p)::INTEGER AS place,
-            CASE WHEN t.place = s.p THEN s.new_id ELSE t.id END AS id,
-            CASE WHEN t.place = s.p THEN s.beyond WHEN t.place = s.p - 1 THEN s.new_id ELSE t.right_id END AS right_id,
-            t.merged, t.place = s.p OR t.place = s.p - 1 AS changed
-        FROM t JOIN site s ON t.w = s.w WHERE t.place <> s.p + 1)
-     SELECT n.step, n.w, n.place, n.id, n.right_id, CASE WHEN n.changed THEN m.id ELSE n.merged END
+        SELECT CASE WHEN t.place = m.q THEN m.p ELSE t.place END AS place, t.step, t.w, CASE WHEN t.place = m.q THEN m.new_id ELSE t.id END AS id, t.after,
+            CASE WHEN t.after = m.p THEN m.new_id ELSE t.right_id END AS right_id, t.code, t.place = m.q OR t.after = m.p AS changed
+        FROM t JOIN leftmost m ON m.w = t.w WHERE NOT m.several AND t.place <> m.p
+        UNION ALL
+        SELECT coalesce(l.p, t.place), t.step, t.w, coalesce(l.new_id, t.id), t.after, coalesce(r.new_id, t.right_id), t.code, l.p IS NOT NULL OR r.p IS NOT NULL
+        FROM t SEMI JOIN (FROM leftmost WHERE several) m USING (w) ANTI JOIN site s ON s.p = t.place LEFT JOIN site l ON l.q = t.place LEFT JOIN site r ON r.p = t.after)
+     SELECT n.place, n.step + 1, n.w, n.id, n.after, n.right_id, CASE WHEN n.changed THEN m.code ELSE n.code END
      FROM next n LEFT JOIN merges m ON m.pair = CASE WHEN n.changed THEN (n.id::BIGINT << 17) | n.right_id END)
 ),
-done AS (SELECT w, step FROM t GROUP BY w, step HAVING count(merged) = 0)
-SELECT t.w, string_agg(t.id::VARCHAR, ' ' ORDER BY t.place) AS ids, unhex(string_agg(v.hex, '' ORDER BY t.place)) AS decoded
-FROM t JOIN done USING (w, step) JOIN vocabulary v ON v.id = t.id GROUP BY t.w
+done AS (SELECT w, max(step) AS step FROM t GROUP BY w),
+tokens AS (
+    SELECT s.word, t.place, t.id FROM t SEMI JOIN done USING (w, step) JOIN start s ON s.place = t.place
+    UNION ALL SELECT word, 0, id FROM whole)
+SELECT t.word, string_agg(t.id::VARCHAR, ' ' ORDER BY t.place) AS ids, unhex(string_agg(v.hex, '' ORDER BY t.place)) AS decoded
+FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.word
 """
 
 _engines: dict[tuple[str, str], Engine] = {}
@@ -53,15 +65,22 @@ class Engine:
         import regex
 
         with open(ranks_path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes = {i: t for t, i in self.ranks.items()}
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        merges = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        merges = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         l, r, i = map(np.array, zip(*merges))
-        self._table("merges", pair=pa.array((l << 17) | r, pa.int64()), id=pa.array(i, pa.int32()))
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self._table("vocabulary", id=pa.array(list(self.bytes), pa.int32()), hex=pa.array([t.hex() for t in self.bytes.values()]))
+        careful = np.zeros(max(ranks.values()) + 1, bool)  # a pair with such a token may allow a merge that comes before the token's own
+        careful[l[i < l]] = careful[r[i < r]] = True
+        self._table("merges", pair=pa.array((l << 17) | r, pa.int64()), code=pa.array(2 * i + careful[i], pa.int32()))
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self._table("vocabulary", id=pa.array(list(ranks.values()), pa.int32()), token=pa.array(list(ranks), pa.binary()), hex=pa.array([t.hex() for t in ranks]))
+        flat, ends = np.frombuffer(b"".join(ranks), np.uint8), np.cumsum([len(t) for t in ranks])
+        inner = np.ones(len(flat), bool)
+        inner[ends - 1] = False
+        at = np.flatnonzero(inner)
+        self.side_by_side = np.zeros((256, 256), bool)  # bytes that some token holds side by side; no merge crosses others
+        self.side_by_side[flat[at], flat[at + 1]] = True
         self.caches = Cache(lambda x: self.encode(x), 50_000), Cache(lambda x: self.encode([" " + t for t in x]), 250_000)
 
     def _table(self, name: str, **columns) -> None:
@@ -73,25 +92,23 @@ class Engine:
     def words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of pre-tokens: decimal ids, each followed by a space."""
         out: list = [None] * len(words)
-        rows = []
-        for w, word in enumerate(words):
-            if (whole := self.ranks.get(word)) is not None:  # a pre-token of the vocabulary is one token
-                out[w] = (b"%d " % whole, self.bytes[whole])
-            elif len(word) > LONG:
-                ids = heap_merge(word, self.ranks)
-                out[w] = (b"".join(b"%d " % i for i in ids), b"".join(self.bytes[i] for i in ids))
-            else:
-                rows.append(w)
-        if rows:
-            lengths = np.array([len(words[w]) for w in rows])
-            ends = np.cumsum(lengths)
-            ids = self.byte_ids[np.frombuffer(b"".join([words[w] for w in rows]), np.uint8)]
-            right = np.r_[ids[1:], np.int32(-1)]
-            right[ends - 1] = -1
-            place = np.arange(len(ids)) - np.repeat(ends - lengths, lengths)
-            self._table("start", **{k: pa.array(v, pa.int32()) for k, v in (("w", np.repeat(rows, lengths)), ("place", place), ("id", ids), ("right_id", right))})
-            for w, ids, decoded in self.db.execute(_ENCODE).fetchall():
-                out[w] = (ids.encode() + b" ", bytes(decoded))
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(lengths, kind="stable")  # words of a query take about as many steps
+        cut = np.diff((np.cumsum(lengths[order]) - 1) // QUERY_BYTES) | np.diff(lengths[order] > ALL_STEPS)
+        for some in np.split(order, np.flatnonzero(cut) + 1):
+            flat = np.frombuffer(b"".join([words[k] for k in some.tolist()]), np.uint8)
+            last = np.zeros(len(flat), bool)
+            last[np.cumsum(lengths[some]) - 1] = True
+            last[:-1] |= ~self.side_by_side[flat[:-1], flat[1:]]
+            w = np.cumsum(last) - last  # bytes between two cuts are merged by themselves
+            ids = self.byte_ids[flat]
+            right = np.where(last, np.int32(-1), np.r_[ids[1:], np.int32(-1)])
+            self._table("pretokens", word=pa.array(some, pa.int32()), token=pa.array([words[k] for k in some.tolist()], pa.binary()))
+            self._table("start", **{k: pa.array(v, pa.int32()) for k, v in (("place", np.arange(len(flat)) + w), ("w", w), ("word", np.repeat(some, lengths[some])), ("id", ids), ("right_id", right))})
+            newest_only = len(words[some[-1]]) > ALL_STEPS
+            query = _ENCODE.format(key="USING KEY (place)" if newest_only else "", union="UNION" if newest_only else "UNION ALL")
+            for k, ids, decoded in self.db.execute(query).fetchall():
+                out[k] = (ids.encode() + b" ", bytes(decoded))
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
@@ -105,30 +122,6 @@ class Engine:
         return [done[s[0]] if len(s) == 1 else (b"".join(done[m][0] for m in s), b"".join(done[m][1] for m in s)) for s in split]
 
 
-def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one long pre-token, by the leftmost pair of minimum rank again and again."""
-    n = len(word)
-    end, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
-    heapq.heapify(heap)
-
-    def offer(i: int) -> None:
-        if i >= 0 and end[i] < n and (rank := ranks.get(word[i : end[end[i]]])) is not None:
-            heapq.heappush(heap, (rank, i, end[end[i]]))
-
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        if not alive[i] or end[i] >= n or end[end[i]] != stop:
-            continue
-        alive[end[i]] = False
-        end[i] = stop
-        if stop < n:
-            prev[stop] = i
-        offer(i)
-        offer(prev[i])
-    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
-
-
 def engine(ranks_path: str, pattern: str) -> Engine:
     key = (ranks_path, pattern)
     if key not in _engines:

@@ -57,14 +57,15 @@ def test_bpe(docs, odd):
     assert bpe.round_trip(odd.limit(0), RANKS, P.PATTERN).count() == 0
 
 
-def test_heap_and_query_agree():
-    engine = bpe.engine(RANKS, P.PATTERN)
-    rng = random.Random(2)
-    some = [bytes(rng.choice(b"abcdehinorst") for _ in range(rng.randrange(1, 80))) for _ in range(200)]
-    for word, (ids, decoded) in zip(some, engine.words(some)):
-        if word not in engine.ranks:
-            assert list(map(int, ids.split())) == bpe.heap_merge(word, engine.ranks)
-        assert decoded == word
+def test_bpe_pre_tokens_of_any_length():
+    enc, rng = tik(), random.Random(2)
+    some = ["".join(rng.choice("abcdehinorst") for _ in range(rng.randrange(1, 80))) for _ in range(300)]
+    some += ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 600))) for _ in range(60)]
+    some += ["".join(rng.choice("éüñaß日本語の中文") for _ in range(rng.randrange(1, 200))) for _ in range(60)]
+    some += [unit * (n // len(unit.encode())) for n in (511, 512, 513, 100_000) for unit in ("a", "=", " ", "ab", "日本語の")]
+    for text, (ids, decoded) in zip(some, bpe.encode_texts(some, RANKS, P.PATTERN)):
+        assert list(map(int, ids.split())) == enc.encode_ordinary(text)
+        assert decoded == text.encode()
 
 
 def test_packing(docs, odd):
