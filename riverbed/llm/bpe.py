@@ -48,10 +48,10 @@ t(place, step, w, id, after, right_id, code) {key} AS (
 ),
 done AS (SELECT w, max(step) AS step FROM t GROUP BY w),
 tokens AS (
-    SELECT s.word, t.place, t.id FROM t SEMI JOIN done USING (w, step) JOIN start s ON s.place = t.place
-    UNION ALL SELECT word, 0, id FROM whole)
-SELECT t.word, string_agg(t.id::VARCHAR, ' ' ORDER BY t.place) AS ids, unhex(string_agg(v.hex, '' ORDER BY t.place)) AS decoded
-FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.word
+    SELECT p.word, t.place, t.id FROM t JOIN done USING (w, step) JOIN pieces p USING (w)
+    UNION ALL SELECT word, 0, id FROM whole),
+ordered AS (SELECT t.word, t.id, v.hex FROM tokens t JOIN vocabulary v ON v.id = t.id ORDER BY t.place)
+SELECT word, string_agg(id::VARCHAR, ' ') AS ids, unhex(string_agg(hex, '')) AS decoded FROM ordered GROUP BY word
 """
 
 _engines: dict[tuple[str, str], Engine] = {}
@@ -105,10 +105,14 @@ class Engine:
             right = np.where(last, np.int32(-1), np.r_[ids[1:], np.int32(-1)])
             self._table("pretokens", word=pa.array(some, pa.int32()), token=pa.array([words[k] for k in some.tolist()], pa.binary()))
             self._table("start", **{k: pa.array(v, pa.int32()) for k, v in (("place", np.arange(len(flat)) + w), ("w", w), ("word", np.repeat(some, lengths[some])), ("id", ids), ("right_id", right))})
+            ends = np.flatnonzero(last)
+            self._table("pieces", w=pa.array(np.arange(len(ends)), pa.int32()), word=pa.array(np.repeat(some, lengths[some])[ends], pa.int32()))
             newest_only = len(words[some[-1]]) > ALL_STEPS
             query = _ENCODE.format(key="USING KEY (place)" if newest_only else "", union="UNION" if newest_only else "UNION ALL")
             for k, ids, decoded in self.db.execute(query).fetchall():
-                out[k] = (ids.encode() + b" ", bytes(decoded))
+                if decoded != words[k]:  # rows are sorted by place before they are grouped; this makes sure that the groups kept the order
+                    raise ValueError("decoded bytes differ from the pre-token")
+                out[k] = (ids.encode() + b" ", decoded)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
