@@ -70,3 +70,46 @@ a AS (SELECT r, count(place) AS n_base, min(place) AS first_word, max(place) AS
   string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM g GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   coalesce(score, 0.0)::DOUBLE AS score FROM w LEFT JOIN a USING (r)"""
+
+
+MIDDLES = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[ \\x09-\\x0D]*[^ \\x09-\\x0D]+|[ \\x09-\\x0D]+') AS w, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, t, w, len(w) AS n, least(h4[1] % (len(w) + 1), h4[2] % (len(w) + 1)) AS a, greatest(h4[1] % (len(w) + 1), h4[2] % (len(w) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h4[3] % 100 >= 50 THEN 'plain' WHEN h4[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM w),
+p AS (SELECT doc_id, n, t, form, CASE WHEN form <> 'plain' THEN array_to_string(w[1:a], '') END AS prefix, CASE WHEN form <> 'plain' THEN array_to_string(w[a + 1 : b], '') END AS middle,
+  CASE WHEN form <> 'plain' THEN array_to_string(w[b + 1 :], '') END AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, length(prefix)::BIGINT AS prefix_chars, length(middle)::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def repair_sql() -> str:
+    """The grammar's states as columns (cost, audit, lines), turn after turn."""
+    far = "{'c': 1000000000::BIGINT, 'a': '', 'o': []::VARCHAR[]}"
+    step = lambda s, cost, edit, line="": f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}', 'o': {s}.o" + (f" || [{line}]" if line else "") + "}"
+    delete = lambda s: step(s, 2, "D")
+    stays = "CASE WHEN truncated THEN 5 ELSE 0 END"
+    take = lambda s, role: [f"CASE WHEN NOT useless THEN {step(s, f'1 + {stays}', 'R', f"'{role}:' || text")} END", f"CASE WHEN NOT useless AND left(role, 1) = '{role[0]}' THEN {step(s, stays, 'K', "role || ':' || text")} END"]
+    least = lambda *x: f"least({', '.join(x)})"
+    keep_system = f"CASE WHEN NOT useless AND left(role, 1) = 's' THEN {step('s0', stays, 'K', "role || ':' || text")} END"
+    b2 = least(delete("s2"), *(x for s in ("s0", "s1", "s3") for x in take(s, "user")))
+    b3 = least(delete("s3"), *take("s2", "assistant"))
+    insert = lambda s, role: step(s, 5, "I", f"'{role}:'")
+    return f"""
+WITH RECURSIVE b AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS b),
+j AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS j FROM conversations),
+k AS (SELECT conv_id, turn, role, text, xor(list_reduce([4294967295] || list_transform(range(1, length(j) + 1), lambda i: ascii(substr(j, i, 1))::BIGINT), lambda c, x: xor(b[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM j, b),
+g AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM g),
+f AS (SELECT *, NOT regexp_matches(text, '[^ \\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS open, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) || left(role, 1) AS pair FROM n),
+t AS (SELECT *, NOT blank AND again AS duplicate, blank OR again AS useless, NOT blank AND NOT again AND open AS truncated FROM f),
+r(conv_id, p, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}}, {far}, {{'c': 5::BIGINT, 'a': 'I', 'o': ['user:']}}, {{'c': 10::BIGINT, 'a': 'II', 'o': ['user:', 'assistant:']}} FROM conversations
+  UNION ALL
+  SELECT conv_id, p, s0, s1, s2, least(b3, {insert("s2", "assistant")}) FROM (
+    SELECT conv_id, p, s0, s1, least(b2, {insert("s0", "user")}, {insert("s1", "user")}, {insert("b3", "user")}) AS s2, b3 FROM (
+      SELECT r.conv_id, t.p, {delete("s0")} AS s0, {least(delete("s1"), keep_system)} AS s1, {b2} AS b2, {b3} AS b3 FROM r JOIN t ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND t.p = r.p + 1))),
+z AS (SELECT conv_id, arg_max(least(s0, s3), p) AS s FROM r GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id)
+SELECT z.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  s.c AS cost, s.a AS audit, sha256(array_to_string(s.o, chr(10))) AS repaired_sha256 FROM z LEFT JOIN c ON z.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -110,10 +110,36 @@ def op6_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty rows at most for each vec_id divisible by 20: query_id, rank, vec_id, score of the nearest found among all others."""
+    from riverbed.llm.ann import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op12_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation: faults of its damaged turns, and the cheapest edits that repair them."""
+    from riverbed.llm.conversations import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_checkpoint_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: tokens, form, code points of prefix and middle, digests of the output and of the text rebuilt from it."""
+    from riverbed.llm.fim import fill_in_middle, restored
+
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored("output", "form")).alias("restored_sha256"))
+
+
 def _oracles() -> dict[str, str]:
-    from riverbed.llm.oracles import COMPONENTS, licenses_sql, quality_sql
+    from riverbed.llm.oracles import COMPONENTS, MIDDLES, licenses_sql, quality_sql, repair_sql
 
-    return {"op6_pivot_range_join": COMPONENTS, "op7_license_join": licenses_sql(), "op10_divergence_rules": quality_sql()}
+    return {"op6_pivot_range_join": COMPONENTS, "op7_license_join": licenses_sql(), "op10_divergence_rules": quality_sql(), "op12_viterbi_repair": repair_sql(), "op13_checkpoint_fim": MIDDLES}
 
 
 ORACLES.update(_oracles())
