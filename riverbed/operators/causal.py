@@ -1,7 +1,6 @@
 """Rules of a causally correct corpus: every one is a query whose rows break it.
 
-events: source_id, branch_id, id, at_ms, kind, text, ready_ms, task_id, state, output_id, phase, generated, heard. decisions: source_id,
-branch_id, id, module, read_ms, finish_ms, seen array<string>, scope, target_text, answers.
+events: source_id, branch_id, id, at_ms, kind, text. decisions: source_id, branch_id, id, module, read_ms, finish_ms, seen array<string>, scope.
 """
 
 from __future__ import annotations
@@ -10,10 +9,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 KEYS = ["source_id", "branch_id", "id"]
-STATES = ["user_idle", "user_nonidle", "user_incomplete", "user_complete", "user_backchannel"]
 
 
 def _label(df: DataFrame, label: str) -> DataFrame:
@@ -50,38 +47,3 @@ def latest_frontend(decisions: DataFrame, events: DataFrame) -> DataFrame:
     """As-of join: the latest front-end row that a decision has seen; a tie goes to the first in seen."""
     s = seen_events(decisions, events).filter("e_kind = 'frontend' and e_at_ms <= read_ms")
     return s.groupBy(*KEYS).agg(F.max_by(F.struct("event_id", "e_at_ms", "e_text"), F.struct("e_at_ms", (-F.col("pos")).alias("p"))).alias("f")).select(*KEYS, "f.*")
-
-
-def causality(events: DataFrame) -> DataFrame:
-    """Order within a branch: times from 0, known states, ready before published, tasks opened once and closed while open, texts that only grow."""
-    order = Window.partitionBy("source_id", "branch_id").orderBy("at_ms", "id")
-    task = Window.partitionBy("source_id", "branch_id", "task_id").orderBy("at_ms", "id")
-    output = Window.partitionBy("source_id", "branch_id", "output_id").orderBy("at_ms", "id")
-    tasks = events.filter("kind = 'task'").withColumn("before", F.lag("state").over(task))
-    change = F.when(F.col("state") == "active", 1).otherwise(-1)
-    active = events.filter("kind = 'task'").withColumn("open", F.sum(change).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    outputs = events.filter("kind = 'output'").withColumn("last_text", F.lag("generated").over(output)).withColumn("last_phase", F.lag("phase").over(output))
-    return _all([
-        _label(events.filter("at_ms < 0"), "negative_time"),
-        _label(events.filter(F.col("kind").isin("frontend") & ~F.coalesce(F.col("state").isin(STATES), F.lit(False))), "unknown_state"),
-        _label(events.filter("kind = 'frontend' and ready_ms > at_ms"), "ready_after_published"),
-        _label(active.filter("open > 1"), "two_active_tasks"),
-        _label(tasks.filter("state <> 'active' and not (before <=> 'active')"), "closed_inactive_task"),
-        _label(tasks.filter("state = 'active' and before = 'active'"), "opened_twice"),
-        _label(outputs.filter(~F.col("generated").startswith(F.col("last_text"))), "generated_rewritten"),
-        _label(outputs.filter("last_phase = 'closed'"), "output_after_close"),
-    ])
-
-
-def provenance(decisions: DataFrame, events: DataFrame) -> DataFrame:
-    """Every new piece of output text has a layer-1 target of the same text that was finished by then: a semi-join with an equality, and the earliest target decides."""
-    output = Window.partitionBy("source_id", "branch_id", "output_id").orderBy("at_ms", "id")
-    o = events.filter("kind = 'output'").withColumn("suffix", F.substr(F.col("generated"), F.coalesce(F.length(F.lag("generated").over(output)), F.lit(0)) + 1)).filter("suffix <> ''")
-    first = decisions.filter("module = 'layer1' and target_text is not null").groupBy("source_id", "branch_id", F.col("target_text").alias("suffix")).agg(F.min("finish_ms").alias("ready"))
-    return _label(o.join(first, ["source_id", "branch_id", "suffix"], "left").filter("ready is null or ready > at_ms"), "no_earlier_target")
-
-
-def corpus_shape(decisions: DataFrame, modules: list[str]) -> DataFrame:
-    """Known modules, unique ids, and one target for each group that shares a prefix."""
-    again = decisions.groupBy(*KEYS).count().filter("count > 1")
-    return _all([_label(decisions.filter(~F.col("module").isin(modules)), "unknown_module"), _label(again, "duplicate_decision")])

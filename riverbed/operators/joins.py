@@ -29,11 +29,6 @@ def barrier(df: DataFrame, keys: list[str], lane: str, lanes: list[str]) -> Data
     return counts.filter(complete).select(*keys)
 
 
-def index_join(df: DataFrame, build: DataFrame, key: str) -> DataFrame:
-    """An inner join with a build side whose key is unique; Spark broadcasts it if it is small."""
-    return df.join(build, key, "inner")
-
-
 def trace_diff(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Entries of two aligned traces that differ or that one of them lacks, also where the other's value is null."""
     l, r = (df.select(*keys, F.col(value).alias(f"{side}_value"), F.lit(True).alias(f"_{side}")) for df, side in ((left, "left"), (right, "right")))

@@ -15,11 +15,22 @@ def distribution(x: Column | str, decimals: int = 6) -> list[Column]:
     return [F.count(x).alias("n"), F.round(F.percentile(x, 0.5), decimals).alias("p50"), F.round(F.percentile(x, 0.95), decimals).alias("p95"), F.max(x).alias("max")]
 
 
+def units(x: Column, per: int = 1_000_000) -> Column:
+    """x in whole parts, so many per unit, as a number whose sums are exact in any order; a sum of doubles depends on the order of its rows."""
+    return F.round(x * per).cast("decimal(20,0)")
+
+
+def exact_sum(x: Column, per: int = 1_000_000) -> Column:
+    """The sum of x, each value first rounded to so many parts per unit."""
+    return F.sum(units(x, per)).cast("double") / per
+
+
 def success_report(ok: Column, latency: Column) -> list[Column]:
-    """Rate over all rows, and the mean latency over those that have one."""
+    """Rate over all rows, and over those that have one the mean latency, in whole microseconds, halves up."""
+    mean = F.round(F.sum(units(latency)) / F.count(latency), 0).cast("double") / 1e6
     return [
         F.count("*").alias("n"), F.sum(ok.cast("int")).alias("successes"), F.round(F.avg(ok.cast("double")), 6).alias("rate"),
-        F.count(latency).alias("latency_n"), F.round(F.avg(latency), 6).alias("latency_mean"),
+        F.count(latency).alias("latency_n"), F.when(F.count(latency) > 0, mean).alias("latency_mean"),
     ]
 
 
@@ -34,12 +45,6 @@ def violations(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> Data
     return reduce(DataFrame.unionByName, [df.filter(c).select(*keys, F.lit(k).alias("label")) for k, c in rules.items()])
 
 
-def first_encounter(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in a stated order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-
-
 def drift(x: str, order: Column) -> Column:
     """Last value minus first."""
     return F.max_by(x, order) - F.min_by(x, order)

@@ -97,8 +97,8 @@ def cross_check(own: DataFrame, official: DataFrame, keys: list[str], names: lis
 
 
 def session_violations(sessions: DataFrame, dual: bool) -> DataFrame:
-    """(session_id, label) of sessions that were not cleared: flags kv, history, speech, callbacks and buffers array<int>; dual: x2_kv, x2_text, x2_callbacks, x2_counters too."""
-    flags = ["kv", "history", "speech", "callbacks", *(["x2_kv", "x2_text", "x2_callbacks", "x2_counters"] if dual else [])]
+    """(session_id, label) of sessions that were not cleared: flags kv, history, speech, callbacks and buffers array<int>; dual: asr_kv, asr_text, asr_callbacks, asr_counters too."""
+    flags = ["kv", "history", "speech", "callbacks", *(["asr_kv", "asr_text", "asr_callbacks", "asr_counters"] if dual else [])]
     rules = {f"{f}_not_cleared": ~_yes(f) for f in flags} | {"buffer_sizes": broken(F.col("buffers") == F.array(*map(F.lit, BUFFERS)))}
     return gate(sessions, ["session_id"], rules).withColumnRenamed("failure", "label")
 

@@ -90,13 +90,14 @@ def target_legality(decisions: DataFrame, events: DataFrame) -> DataFrame:
 def event_rules(events: DataFrame) -> DataFrame:
     """(source_id, branch_id, id, label) of events that break the order of a branch: states, tasks, analyses, outputs and cancellations."""
     order = Window.partitionBy(*BRANCH).orderBy("at_ms", "id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     task = Window.partitionBy(*BRANCH, "task_id").orderBy("at_ms", "id")
     output = Window.partitionBy(*BRANCH, "output_id").orderBy("at_ms", "id")
     kind = F.col("kind")
     is_task, is_output, is_analysis = kind == "task", kind == "output", kind == "analysis"
     before = lambda c, w, on: F.last(F.when(on, F.col(c)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    open_tasks = F.sum(F.when(is_task & (F.col("state") == "active"), 1).when(is_task, -1).otherwise(0)).over(so_far)
+    # a task counts while its last state is active, whatever came before: closing one that is not active changes nothing
+    was, now = F.col("task_state").eqNullSafe(F.lit("active")), F.col("state").eqNullSafe(F.lit("active"))
+    open_before = F.coalesce(F.sum(F.when(is_task, now.cast("int") - was.cast("int")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # a cancellation and the outputs of the same time: all of them come before it, the last output being that of the smallest id among the latest
     outputs = events.filter("kind = 'output'").select(*BRANCH, "output_id", F.col("at_ms").alias("o_at"), F.col("id").alias("o_id"), F.col("heard_any").alias("o_heard"), F.col("phase").alias("o_phase"))
     cancels = events.filter("kind = 'runtime' and runtime = 'cancel_confirmed'").select(*KEYS, "at_ms", "output_id", "heard_any")
@@ -108,19 +109,20 @@ def event_rules(events: DataFrame) -> DataFrame:
     cancelled = _told(told, {"cancelled_without_output": ~F.col("some"), "cancel_lost_history": F.col("some") & ~F.col("heard_any").eqNullSafe(F.col("last_heard")), "cancelled_output_reused": F.col("reused")})
     basis = events.select(*BRANCH, F.col("id").alias("basis_frontend"), F.struct("kind", "at_ms").alias("basis"))
     e = events.withColumns({
-        "open": open_tasks, "task_state": before("state", task, is_task),
+        "task_state": before("state", task, is_task), "times": F.count("*").over(Window.partitionBy(*KEYS)),
         "versions": F.count_if(is_analysis).over(task.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         "generated_before": before("generated", output, is_output), "played_before": before("played", output, is_output),
-    }).join(basis, [*BRANCH, "basis_frontend"], "left")
+    }).withColumn("open_before", open_before).join(basis, [*BRANCH, "basis_frontend"], "left")
     played = F.coalesce("played", F.lit(""))
     return _told(e, {
+        "event_repeated": F.col("times") > 1,
         "negative_time": F.col("at_ms") < 0,
         "unknown_state": (kind == "frontend") & ~_is(F.col("raw_state").isin(STATES)),
         "ready_after_published": (kind == "frontend") & (F.col("ready_ms") > F.col("at_ms")),
         "future_audio": (kind == "frontend") & (F.col("observed_ms") > F.col("ready_ms")),
         "false_complete": (kind == "frontend") & F.col("effective_complete") & ~F.col("raw_state").eqNullSafe(F.lit("user_complete")),
         "unknown_task_state": is_task & ~_is(F.col("state").isin(TASK_STATES)),
-        "two_active_tasks": is_task & (F.col("state") == "active") & (F.col("open") > 1),
+        "two_active_tasks": is_task & (F.col("state") == "active") & (F.col("open_before") > 0),
         "closed_inactive_task": is_task & (F.col("state") != "active") & ~F.col("task_state").eqNullSafe(F.lit("active")),
         "analysis_outside_task": is_analysis & ~F.col("task_state").eqNullSafe(F.lit("active")),
         "analysis_times": is_analysis & ~_is((F.col("read_ms") <= F.col("finished_ms")) & (F.col("finished_ms") <= F.col("at_ms"))),
@@ -170,6 +172,7 @@ def shape_rules(corpus: DataFrame, decisions: DataFrame, version: str, sources:
     parts = [
         told(corpus.filter(~F.col("schema_version").eqNullSafe(F.lit(version))).select("schema_version").distinct(), "schema_version", F.col("schema_version")),
         told(n, "source_count", F.col("n")), told(corpus.filter(~F.col("split").eqNullSafe(F.lit("pilot"))), "split", F.col("source_id")), told(again, "branch_repeated", F.col("branch_id")),
+        told(decisions.groupBy(*KEYS).count().filter("count > 1"), "decision_repeated", F.col("id")),
         told(missing, "coverage_missing", F.col("detail")), told(groups, "shared_prefix_conflict", F.col("prefix_group")),
     ]
     out = parts[0]

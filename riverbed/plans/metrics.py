@@ -22,7 +22,7 @@ v AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events WHERE event_type
 m AS (SELECT v.event_id, v.us, min(c.us) AS hit FROM v LEFT JOIN c ON c.user_id = v.user_id AND c.us >= v.us AND c.us <= v.us + 43200000000 GROUP BY v.event_id, v.us)
 SELECT us // 86400000000 AS day, count(*) AS n, sum(CASE WHEN hit IS NULL THEN 0 ELSE 1 END)::BIGINT AS successes,
   round(avg(CASE WHEN hit IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE), 6) AS rate, count(hit) AS latency_n,
-  round(avg(CASE WHEN hit IS NOT NULL THEN greatest((hit - us) / 1000000.0::DOUBLE, 0.0::DOUBLE) END), 6) AS latency_mean
+  ((2 * sum(greatest(hit - us, 0)) + count(hit)) // (2 * nullif(count(hit), 0)))::DOUBLE / 1e6 AS latency_mean
 FROM m GROUP BY 1""")
 def turn_report(spark, sf_dir):
     """For each view the first click of the user within 12 hours: success rate over all views, mean latency over successes, by day."""

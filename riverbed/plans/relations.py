@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from riverbed.catalog import query
 from riverbed.operators import joins as J
+from riverbed.operators import metrics as M
 from riverbed.operators import sequence as S
 from riverbed.sources.tables import events, table
 
@@ -87,13 +88,13 @@ def q_trace_diff(spark, sf_dir):
 
 
 @query("q_index_join", """
-SELECT c_mktsegment, count(c_custkey) AS n, count(*) - count(c_custkey) AS missing, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+SELECT c_mktsegment, count(c_custkey) AS n, count(*) - count(c_custkey) AS missing, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / 100 AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def q_index_join(spark, sf_dir):
     """Orders looked up in customers, and how many keys are missing; orders are summed by customer before the join."""
-    o = table(spark, sf_dir, "orders", "o_custkey", "o_totalprice").groupBy("o_custkey").agg(F.count("*").alias("k"), F.sum("o_totalprice").alias("t"))
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_totalprice").groupBy("o_custkey").agg(F.count("*").alias("k"), F.sum(M.units(F.col("o_totalprice"), 100)).alias("t"))
     j = o.join(table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
     found = F.when(F.col("c_custkey").isNotNull(), F.col("k")).otherwise(0)
-    return j.groupBy("c_mktsegment").agg(F.sum(found).alias("n"), F.sum(F.col("k") - found).alias("missing"), F.round(F.sum("t"), 2).alias("total"))
+    return j.groupBy("c_mktsegment").agg(F.sum(found).alias("n"), F.sum(F.col("k") - found).alias("missing"), (F.sum("t").cast("double") / 100).alias("total"))
 
 
 @query("q_union_sorted", """
@@ -106,10 +107,10 @@ def q_union_sorted(spark, sf_dir):
     return u.select("user_id", "event_id", "event_type", F.row_number().over(S.by(*U)).cast("long").alias("position"), "us")
 
 
-@query("q_tumbling_160ms", "SELECT epoch_us(ts) // 160000 AS bucket, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1")
+@query("q_tumbling_160ms", "SELECT epoch_us(ts) // 160000 AS bucket, count(*) AS n, sum(round(value * 1000000)::BIGINT)::DOUBLE / 1000000 AS total FROM events GROUP BY 1")
 def q_tumbling_160ms(spark, sf_dir):
     e = events(spark, sf_dir, "value")
-    return e.groupBy(F.floor(F.col("us") / 160_000).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return e.groupBy(F.floor(F.col("us") / 160_000).alias("bucket")).agg(F.count("*").alias("n"), M.exact_sum(F.col("value")).alias("total"))
 
 
 @query("q_module_projection", """
@@ -121,10 +122,10 @@ def q_module_projection(spark, sf_dir):
     return e.select("event_id", F.when(lane, F.get_json_object("props", "$.k")).alias("k"), F.when(~lane, F.col("value")).alias("value"))
 
 
-@query("q_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+@query("q_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(round(l_quantity * 100)::BIGINT)::DOUBLE / 100 AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def q_rollup(spark, sf_dir):
     """Platform breadth: subtotals."""
-    return table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_quantity").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_quantity").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), M.exact_sum(F.col("l_quantity"), 100).alias("quantity"))
 
 
 @query("q_cube", "SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY CUBE (event_type, k)")

@@ -125,11 +125,11 @@ def q_first_text(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.min_by("text", "turn").alias("text"))
 
 
-@query("q_real_time_factor", "SELECT user_id, round(sum(value) / 1000 / nullif((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0, 0), 12) AS factor FROM events GROUP BY 1")
+@query("q_real_time_factor", "SELECT user_id, round(sum(round(value * 1000000)::BIGINT)::DOUBLE / 1000000 / 1000 / nullif((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0, 0), 12) AS factor FROM events GROUP BY 1")
 def q_real_time_factor(spark, sf_dir):
     """Seconds of compute (value in milliseconds) for each second of a user's stream; null for a stream without length."""
     seconds = (F.max("us") - F.min("us")) / 1_000_000
-    return events(spark, sf_dir, "user_id", "value").groupBy("user_id").agg(F.round(F.try_divide(F.sum("value") / 1000, seconds), 12).alias("factor"))
+    return events(spark, sf_dir, "user_id", "value").groupBy("user_id").agg(F.round(F.try_divide(M.exact_sum(F.col("value")) / 1000, seconds), 12).alias("factor"))
 
 
 @query("q_first_appearance", """
@@ -197,7 +197,8 @@ def q_turn_scores(spark, sf_dir):
 
 @query("q_turn_aggregates", f"""
 WITH {SCORED} SELECT task, count(*) AS n, sum(took::INTEGER)::BIGINT AS successes, round(avg(took::INTEGER), 6) AS rate, count(*) FILTER (WHERE took AND origin IS NOT NULL) AS latency_n,
-  round(avg(greatest(first - origin, 0)) FILTER (WHERE took AND origin IS NOT NULL), 6) AS latency_mean, count(*) FILTER (WHERE took AND first < origin) AS early FROM o GROUP BY 1""")
+  ((2 * sum(round(greatest(first - origin, 0) * 1000000)::BIGINT) FILTER (WHERE took AND origin IS NOT NULL) + count(*) FILTER (WHERE took AND origin IS NOT NULL))
+    // (2 * nullif(count(*) FILTER (WHERE took AND origin IS NOT NULL), 0)))::DOUBLE / 1e6 AS latency_mean, count(*) FILTER (WHERE took AND first < origin) AS early FROM o GROUP BY 1""")
 def q_turn_aggregates(spark, sf_dir):
     """Rates and mean latencies by task over all planned turns, and successes whose first word comes before they count."""
     s = _scored(spark, sf_dir)
@@ -218,12 +219,12 @@ def q_list_equal(spark, sf_dir):
 
 @query("q_derived_lags", """
 WITH e AS (SELECT event_id, epoch_us(ts) / 1000000.0::DOUBLE - 1704067200 AS t, value FROM events)
-SELECT event_id, round((t - 10 - event_id * 1280.0::DOUBLE / 16000) * 1000, 3) AS main_lag, round(value * 1000, 3) AS compute_ms, round((t - 10 - event_id * 1280.0::DOUBLE / 16000) * 1000 - value * 1000, 3) AS state_lag FROM e""")
+SELECT event_id, round((t - 10 - event_id * 1280.0::DOUBLE / 16000) * 1000, 3) AS main_lag, round(value * 1000, 3) AS compute_ms, round((t - 10 - event_id * 1280.0::DOUBLE / 16000) * 1000 - (t - (t - value)) * 1000, 3) AS state_lag FROM e""")
 def q_derived_lags(spark, sf_dir):
     """Lag behind the stream, duration, and the lag of a state that was available (value seconds) before its release."""
     e = events(spark, sf_dir, "event_id", "value").withColumn("at", F.col("us") / 1_000_000 - 1_704_067_200)
     main = C.lag_ms(F.col("at"), F.lit(10.0), F.col("event_id") * 1280)
-    return e.select("event_id", F.round(main, 3).alias("main_lag"), F.round(F.col("value") * 1000, 3).alias("compute_ms"), F.round(main - F.col("value") * 1000, 3).alias("state_lag"))
+    return e.select("event_id", F.round(main, 3).alias("main_lag"), F.round(F.col("value") * 1000, 3).alias("compute_ms"), F.round(C.state_lag_ms(main, F.col("at"), F.col("at") - F.col("value")), 3).alias("state_lag"))
 
 
 @query("q_closed_groups", """

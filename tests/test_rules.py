@@ -85,6 +85,16 @@ def test_mutations(spark):
     assert not missed
 
 
+def test_repeated_events_and_hidden_tasks(spark):
+    """A bad close hides no later pair of active tasks, and an active task cannot become active again."""
+    c = corpus()["e"]
+    task = lambda i, at, name, state: c["t1"] | {"id": i, "at_ms": at, "task_id": name, "state": state}
+    rows = [*(c[k] for k in c if k not in ("t1", "t2", "a1")), task("t1", 250, "t", "completed"), task("t2", 260, "t", "active"), task("t3", 270, "u", "active"), task("t4", 280, "u", "failed"), task("t5", 290, "t", "active")]
+    got = {(r["id"], r["label"]) for r in T.event_rules(frame(spark, T.EVENTS, rows)).collect()}
+    assert got == {("t1", "closed_inactive_task"), ("t3", "two_active_tasks"), ("t5", "two_active_tasks")}
+    assert ("f1", "event_repeated") in {(r["id"], r["label"]) for r in T.event_rules(frame(spark, T.EVENTS, [*c.values(), c["f1"]])).collect()}
+
+
 def test_shape(spark):
     schema = "source_id string, branch_id string, split string, schema_version string, coverage array<string>"
     good = [("a", "1", "pilot", "v1", ["x"]), ("b", "1", "pilot", "v1", ["y"])]
@@ -96,6 +106,8 @@ def test_shape(spark):
     c = corpus()["d"]
     c["d8"]["action"] = "request_thinking"
     assert labels(good, frame(spark, T.DECISIONS, c.values())) == {("shared_prefix_conflict", "g")}
+    c["d8"]["action"] = "wait"
+    assert labels(good, frame(spark, T.DECISIONS, [*c.values(), c["d8"]])) == {("decision_repeated", "d8")}
 
 
 def test_conditions(spark):
@@ -151,10 +163,10 @@ def test_plans_and_figures(spark):
 
 
 def test_sessions_and_warmup(spark):
-    s = "session_id string, kv boolean, history boolean, speech boolean, callbacks boolean, buffers array<int>, x2_kv boolean, x2_text boolean, x2_callbacks boolean, x2_counters boolean"
+    s = "session_id string, kv boolean, history boolean, speech boolean, callbacks boolean, buffers array<int>, asr_kv boolean, asr_text boolean, asr_callbacks boolean, asr_counters boolean"
     rows = [("ok", True, True, True, True, [16000, 25600, 51200], True, True, True, True), ("bad", True, None, True, True, [1], True, False, True, True)]
     df = spark.createDataFrame(rows, s)
-    assert {(r["session_id"], r["label"]) for r in R.session_violations(df, True).collect()} == {("bad", "history_not_cleared"), ("bad", "x2_text_not_cleared"), ("bad", "buffer_sizes")}
+    assert {(r["session_id"], r["label"]) for r in R.session_violations(df, True).collect()} == {("bad", "history_not_cleared"), ("bad", "asr_text_not_cleared"), ("bad", "buffer_sizes")}
     assert {r["label"] for r in R.session_violations(df, False).collect()} == {"history_not_cleared", "buffer_sizes"}
     w = spark.createDataFrame([("ok", "d", 1, 124800, 0.9, 25600), ("bad", "e", 2, 124801, 0.95, 25599)], "input_id string, sha256 string, channels int, samples long, peak double, silent_tail long")
     assert {(r["input_id"], r["label"]) for r in R.warmup_violations(w, "d").collect()} == {("bad", x) for x in ("digest", "channels", "samples", "level", "tail")}
@@ -167,10 +179,10 @@ def test_small_readers(spark, tmp_path):
     assert traces.read_number(spark, f"{root}/a.exit_code.txt") == 137
     assert traces.read_number(spark, f"{root}/b.txt") is None and traces.read_number(spark, f"{root}/none.txt") is None
     assert [(r["position"], r["name"], r["size"]) for r in traces.listing(spark, f"{root}/*.txt").orderBy("position").collect()] == [(0, "a.exit_code.txt", 4), (1, "b.txt", 6)]
-    (tmp_path / "soulx" / "pause").mkdir(parents=True)
-    (tmp_path / "soulx" / "pause" / "7.json").write_text('{"a": 1}')
-    got = traces.path_keys(spark.read.json(f"{root}/soulx/*/*.json"), "([^/]+)/([^/]+)/([^/.]+)[.]json$", ["controller", "subset", "id"]).collect()
-    assert [(r["controller"], r["subset"], r["id"]) for r in got] == [("soulx", "pause", "7")]
+    (tmp_path / "condition" / "pause").mkdir(parents=True)
+    (tmp_path / "condition" / "pause" / "7.json").write_text('{"a": 1}')
+    got = traces.path_keys(spark.read.json(f"{root}/condition/*/*.json"), "([^/]+)/([^/]+)/([^/.]+)[.]json$", ["controller", "subset", "id"]).collect()
+    assert [(r["controller"], r["subset"], r["id"]) for r in got] == [("condition", "pause", "7")]
 
 
 @pytest.mark.parametrize(
