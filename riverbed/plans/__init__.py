@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars")
+MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars", "sessions")
 
 
 def load_all() -> None:
