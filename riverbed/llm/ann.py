@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -85,16 +86,20 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(query: np.ndarray, units: np.ndarray, ids: np.ndarray, uids: np.ndarray, own: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the k best of the rows that found marks, its own left out: positions of queries and rows, scores. Ties go to the smaller id."""
+def nearest(query: np.ndarray, units: np.ndarray, ids: np.ndarray, uids: np.ndarray, own: np.ndarray, found: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the k best of the rows that found marks, its own left out and those that score below least: positions of queries and rows, scores. Ties go to the smaller id."""
     found = found & (uids[None, :] != own[:, None])
     rough = np.where(found, query @ units.T, -np.inf)
-    if rough.shape[1] > k:
-        least = np.partition(rough, -k, axis=1)[:, -k]
-        slack = SLACK * np.linalg.norm(query, axis=1) * (np.linalg.norm(units, axis=1).max() if len(units) else 0.0)
+    slack = SLACK * np.linalg.norm(query, axis=1) * (np.linalg.norm(units, axis=1).max() if len(units) else 0.0)
+    if least is not None:
         found &= rough >= (least - slack)[:, None]
+    if rough.shape[1] > k:
+        found &= rough >= (np.partition(rough, -k, axis=1)[:, -k] - slack)[:, None]
     q, r = np.nonzero(found)
     s = scores(query[q], units[r])
+    if least is not None:
+        keep = s >= least[q]
+        q, r, s = q[keep], r[keep], s[keep]
     order = np.lexsort((uids[r], ids[r], -s, q))
     q, r, s = q[order], r[order], s[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -180,35 +185,53 @@ def coded(rows: DataFrame, model: Model, asks: bool) -> DataFrame:
     return rows.mapInArrow(run, "uid long, vec_id long, dims int, embedding array<double>, code array<int>")
 
 
-def search(rows: DataFrame, queries: DataFrame, model: Model, radius: int, k: int, block_rows: int, query_rows: int) -> DataFrame:
-    """asker, query_id, uid, vec_id, score: the k best rows within the radius of each query's code, in no order. Both tables as coded() gives them.
+def cell_bits(n: int, block_rows: int) -> int:
+    """Leading bits of a part that make a cell, as many as give cells of about block_rows of n rows."""
+    return min(PART, max(0, int(np.ceil(np.log2(max(1, n / block_rows))))))
+
+
+def rounds(lead: int, most: int, growth: int = 8) -> list[tuple[int, int]]:
+    """The numbers of bits by which cells may differ from a query's own, from few to many, in rounds (first, last): a round has at most growth times the cells of all before it, unless it is of one number."""
+    out, seen, now = [], 1, 0
+    first = 1
+    for bits in range(1, min(lead, most) + 1):
+        here = comb(lead, bits)
+        if bits > first and now + here > growth * seen:
+            out.append((first, bits - 1))
+            seen, now, first = seen + now, 0, bits
+        now += here
+    return [(0, 0), *out, *([(first, min(lead, most))] if min(lead, most) >= 1 else [])]
+
 
-    Each part of a code has an index: rows under (part, cell), a cell being the leading bits of the part, as many as give cells of about block_rows. A query goes to
-    the cells that hold parts within reach of its own. There it meets the rows' parts, then, where one is in reach, the whole codes, then the vectors. A
-    pair that several parts bring together counts where the first of them does. A large cell is cut by rows and by queries, so that no task grows with either.
+def probe(rows: DataFrame, queries: DataFrame, model: Model, radius: int, k: int, lead: int, near_bits: tuple[int, int], block_rows: int, query_rows: int) -> DataFrame:
+    """asker, query_id, uid, vec_id, score: at most k rows a task for each query, within the radius of its code and scoring its least or more. Both tables as coded() gives them, queries with least.
+
+    Each part of a code has an index: rows under (part, cell), a cell being the leading bits of the part. A query goes to the cells that differ from its own by near_bits and may hold
+    parts within reach. There it meets the rows' parts, then, where one is in reach, the whole codes, then the vectors. A pair that several parts bring
+    together counts where the first of them does. A large cell is cut by rows and by queries, so that no task grows with either.
     """
-    n, reach = rows.count(), model.reach(radius)
-    lead = min(PART, max(0, int(np.ceil(np.log2(max(1, n / block_rows))))))
+    reach = model.reach(radius)
     cell = lambda part: F.shiftright(part, PART - lead)
     part = F.posexplode("code").alias("part", "value")
     index = rows.select("*", part).withColumn("cell", cell(F.col("value")))
-    most = F.element_at(F.array(*map(F.lit, reach.tolist())), F.col("part") + 1)
-    near = F.filter(F.sequence(F.lit(0), F.lit((1 << lead) - 1)), lambda m: F.bit_count(m) <= most)
+    low, high = near_bits
+    most = F.least(F.lit(high), F.element_at(F.array(*map(F.lit, reach.tolist())), F.col("part") + 1))
+    near = F.filter(F.sequence(F.lit(0), F.lit((1 << lead) - 1)), lambda m: F.bit_count(m).between(F.lit(low), most))
     probes = queries.select("*", part).withColumn("near", F.explode(near)).withColumn("cell", cell(F.col("value")).bitwiseXOR(F.col("near"))).drop("near")
     # how many rows and queries meet in a cell decides into how many pieces both are cut
     cut = lambda n, size: F.ceil(n / size).cast("int")
     sizes = index.groupBy("dims", "part", "cell").agg(cut(F.count("*"), block_rows).alias("rows")).join(probes.groupBy("dims", "part", "cell").agg(cut(F.count("*"), query_rows).alias("asks")), ["dims", "part", "cell"])
     mine = lambda size, salt: F.pmod(F.xxhash64(F.lit(salt), "uid"), F.col(size)).cast("int")
     every = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
-    keep = ["dims", "part", "cell", "i", "j", "asks_for", "uid", "vec_id", "embedding", "code"]
-    left = index.join(sizes, ["dims", "part", "cell"]).withColumn("i", mine("rows", 1)).withColumn("j", every("asks")).withColumn("asks_for", F.lit(False)).select(keep)
+    keep = ["dims", "part", "cell", "i", "j", "asks_for", "uid", "vec_id", "embedding", "code", "least"]
+    left = index.join(sizes, ["dims", "part", "cell"]).withColumn("i", mine("rows", 1)).withColumn("j", every("asks")).withColumns({"asks_for": F.lit(False), "least": F.lit(0.0)}).select(keep)
     right = probes.join(sizes, ["dims", "part", "cell"]).withColumn("j", mine("asks", 2)).withColumn("i", every("rows")).withColumn("asks_for", F.lit(True)).select(keep)
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         j = key[1].as_py()
         asks = group["asks_for"].to_numpy(zero_copy_only=False)
         code, units = _matrix(group["code"]).astype(np.uint16), _matrix(group["embedding"])
-        ids, uids = group["vec_id"].to_numpy(), group["uid"].to_numpy()
+        ids, uids, least = group["vec_id"].to_numpy(), group["uid"].to_numpy(), group["least"].to_numpy()
         at = np.flatnonzero(~asks)
         at = at[np.argsort(code[at, j], kind="stable")]
         values, first = np.unique(code[at, j], return_index=True)  # the index: rows by value of this part
@@ -222,15 +245,34 @@ def search(rows: DataFrame, queries: DataFrame, model: Model, radius: int, k: in
                 gap += own
                 if i < j:
                     found &= own > reach[i]
-            q, r, s = nearest(units[some], units[at], ids[at], uids[at], uids[some], found & (gap <= radius), k)
+            q, r, s = nearest(units[some], units[at], ids[at], uids[at], uids[some], found & (gap <= radius), k, least[some])
             out.append(pa.table(_table(uids[some][q], ids[some][q], uids[at][r], ids[at][r], s)))
         return pa.concat_tables(out)
 
     return left.unionByName(right).groupBy("dims", "part", "cell", "i", "j").applyInArrow(meet, _FOUND)
 
 
+def search(scratch: Scratch, rows: DataFrame, queries: DataFrame, model: Model, radius: int, k: int, block_rows: int, query_rows: int) -> DataFrame:
+    """asker, query_id, uid, vec_id, score, rank: the k best rows within the radius of each query's code. Both tables as coded() gives them.
+
+    Cells near a query's own come first. What is found there bounds from below what its k-th neighbour scores, so that tasks of the later rounds put out only rows that reach
+    it: a number for each query that depends on how much a round adds to those before, not on how many cells there are.
+    """
+    lead, best = cell_bits(rows.count(), block_rows), None
+    plan = rounds(lead, int(model.reach(radius).max()))
+    asked = queries.withColumn("least", F.lit(float("-inf")))
+    for near_bits in plan:
+        found = probe(rows, asked, model, radius, k, lead, near_bits, block_rows, query_rows)
+        before, best = best, scratch.save(_best(found if best is None else best.drop("rank").unionByName(found), k))
+        if before is not None:
+            scratch.drop(before)
+        known = best.filter(F.col("rank") == k).select(F.col("asker").alias("uid"), F.col("score").alias("least"))
+        asked = queries.join(known, "uid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    return best
+
+
 def neighbours(
-    vectors: DataFrame, asks: Column, k: int = 20, bits: int = 64, block_rows: int = 8192, query_rows: int = 8192, sample_rows: int = 20_000, recall: float = 0.96, scratch: Scratch | None = None
+    vectors: DataFrame, asks: Column, k: int = 20, bits: int = 64, block_rows: int = 16_384, query_rows: int = 8192, sample_rows: int = 20_000, recall: float = 0.96, scratch: Scratch | None = None
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row of vectors (vec_id, embedding) for which asks holds; every other row is a candidate.
 
@@ -248,12 +290,14 @@ def neighbours(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = rows.filter(asks)
     index, asked = scratch.save(coded(rows, model, False)), scratch.save(coded(queries, model, True))
-    best = scratch.save(_best(search(index, asked, model, model.radius, k, block_rows, query_rows), k))
+    best = search(scratch, index, asked, model, model.radius, k, block_rows, query_rows)
     there = rows.groupBy("dims").agg((F.count("*") - 1).alias("others"))
     full = best.groupBy("asker").agg(F.count("*").alias("n"))
     short = asked.join(full, F.col("uid") == F.col("asker"), "left").join(there, "dims").filter(F.coalesce("n", F.lit(0)) < F.least(F.lit(k), "others")).select(asked.columns)
     short = scratch.save(short)
     if not short.isEmpty():
-        again = _best(search(index, short, model, bits, k, block_rows, query_rows), k)
-        best = scratch.save(best.join(short.select(F.col("uid").alias("asker")), "asker", "left_anti").unionByName(again))
+        again = search(scratch, index, short, model, bits, k, block_rows, query_rows)
+        first, best = best, scratch.save(best.join(short.select(F.col("uid").alias("asker")), "asker", "left_anti").unionByName(again))
+        scratch.drop(first, again)
+    scratch.drop(rows, index, asked, short)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -234,17 +234,26 @@ def test_every_row_within_the_radius_is_found(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((900, 24)))] + [(2000 + i, [1.0] * 24) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    valid = Scratch(spark).save(ann.valid(df))
+    scratch = Scratch(spark)
+    valid = scratch.save(ann.valid(df))
     model = ann.fit(valid, 10)
     code = {r["vec_id"]: np.array(r["code"], np.uint16) for r in ann.coded(valid, model, False).collect()}
     asked = ann.coded(valid.filter("vec_id % 50 = 0"), model, True)
     mine = {r["vec_id"]: np.array(r["code"], np.uint16) for r in asked.collect()}
+    index = scratch.save(ann.coded(valid, model, False))
     for radius in (0, 3, 14, 27, 64):
         want = {(q, i) for q, x in mine.items() for i, y in code.items() if q != i and np.bitwise_count(x ^ y).sum() <= radius}
-        got = [(r["query_id"], r["vec_id"]) for r in ann.search(Scratch(spark).save(ann.coded(valid, model, False)), asked, model, radius, 10_000, 64, 5).collect()]
+        got = [(r["query_id"], r["vec_id"]) for r in ann.search(scratch, index, asked, model, radius, 10_000, 64, 5).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_rounds():
+    assert ann.rounds(0, 9) == [(0, 0)] and ann.rounds(5, 0) == [(0, 0)] and ann.rounds(2, 6) == [(0, 0), (1, 2)]
+    for lead in range(17):
+        plan = ann.rounds(lead, 16)
+        assert [b for low, high in plan for b in range(low, high + 1)] == list(range(lead + 1))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(20 * k, [float(k % 3), 1.0, -1.0]) for k in range(12)] + [(1, None), (2, []), (3, [0.0, 0.0, 0.0]), (4, [nan, 1.0, 1.0]), (40, [inf, 1.0, 1.0]), (5, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (60, [9.0, 9.0]), (7, [1e30, 1.0, 1.0]), (9, [1e-30, 0.0, 0.0])]
