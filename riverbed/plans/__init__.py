@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars", "sessions")
+MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars", "sessions", "joint")
 
 
 def load_all() -> None:

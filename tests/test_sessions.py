@@ -135,3 +135,87 @@ def test_analysis_of_a_stream(spark):
     folder = files([*rows, *({**last, "id": last["id"] + k, "kind": "audio", "us": last["us"] + k, "session": -1} for k in (1, 2))], 5)
     got = streamed(spark, analysis.EVENTS, folder, lambda s: analysis.analysis_stream(s, 3, day // 2))
     assert got == want
+
+
+# joint batches and the state that readers see
+
+
+def states(df):
+    return {(r["session_id"], r["turn_id"]): (r["step_id"], r["text"]) for r in df.collect()}
+
+
+def test_spoilt_batches(spark):
+    """A row for every label, from the turns that were spoilt that way and no others; clean turns give none."""
+    from riverbed.plans import joint as P
+
+    t = P.turns(spark, SF)
+    faults = {(r["session_id"], r["turn_id"]): r["fault"] for r in t.select("session_id", "turn_id", "fault").distinct().collect()}
+    rows = P.batches(t)
+    from riverbed.operators import joint as G
+
+    assert set(G.guards()) <= {label for k in P.ALONE for label in P.SPOILT[k][1]}
+    got = {(r["session_id"], r["turn_id"], r["step_id"], r["label"]) for r in G.violations(rows).collect()}
+    want = {(s, i, P.SPOILT[f][0], x) for (s, i), f in faults.items() if f in P.ALONE for x in P.SPOILT[f][1]}
+    last = {(r["session_id"], r["turn_id"]): r["last"] for r in t.select("session_id", "turn_id", "last").distinct().collect()}
+    assert got == {w for w in want if w[2] <= last[w[:2]]}
+    clean = rows.join(t.filter("fault is null").select("session_id", "turn_id").distinct(), ["session_id", "turn_id"])
+    assert clean.count() > 0 and G.violations(clean).count() == 0
+    assert G.violations(rows.limit(0)).count() == 0
+    # a batch of nothing breaks rules instead of failing
+    nothing = spark.createDataFrame([("s", "t", *[None] * 11)], G.COLUMNS)
+    assert {"source_range", "invalid_time", "lane_missing"} <= {r["label"] for r in G.violations(nothing).collect()}
+
+
+def test_context_stream_and_latest_table(spark):
+    """A stream of calls leaves in the table what its batch form says; a replayed micro-batch changes nothing, a spoilt one leaves the row, a torn version is not seen."""
+    from riverbed.plans import joint as P
+    from riverbed.streaming import context
+    from riverbed.streaming.publish import VERSION, LatestTable
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    table = [r.asDict() for r in P.calls(spark, SF).orderBy("seq", "session_id", "turn_id").collect()]
+    table = [r for r in table if int(r["session_id"][1:]) < 8]
+    folder = files(table, 4)
+    stored = spark.createDataFrame(table, context.CALLS)
+    batch = context.context_batch(stored)
+    took = batch.filter("kind = 'batch' and label is null")
+    schema = took.schema
+    store = LatestTable(spark, f"file://{tempfile.mkdtemp(prefix='spark-')}/latest", ["session_id", "turn_id"], "step_id", buckets=8)
+    accepted = lambda df: df.filter("kind = 'batch' and label is null")
+    source = spark.readStream.schema(context.CALLS).option("maxFilesPerTrigger", 1).json(folder)
+    q = context.context_stream(source).writeStream.foreachBatch(store.sink(accepted)).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert q.exception() is None
+    want = states(took.groupBy("session_id", "turn_id").agg(F.max_by(F.struct("step_id", "text"), "step_id").alias("x")).select("session_id", "turn_id", "x.*"))
+    assert states(store.read(schema)) == want and len(want) > 40
+    done = store.versions()
+    # the same micro-batch again, and an older one: nothing changes
+    one = spark.createDataFrame(took.filter("step_id = 0").limit(1).collect(), schema)
+    assert not store.merge(one, done[-1]) and not store.merge(one.withColumn("step_id", F.lit(99).cast("long")), done[-1] - 1)
+    assert states(store.read(schema)) == want
+    # an older row does not replace a newer one, a newer does; other keys stay
+    assert store.merge(one, done[-1] + 1) and states(store.read(schema)) == want
+    new = one.withColumn("step_id", F.lit(99).cast("long")).withColumn("text", F.lit("new"))
+    assert store.merge(new, done[-1] + 2)
+    key = (one.first()["session_id"], one.first()["turn_id"])
+    assert states(store.read(schema)) == want | {key: (99, "new")}
+    # a version that was cut off is not seen, and is written anew
+    (where, fs), torn = store._folder(f"{VERSION}={done[-1] + 2}/_SUCCESS"), done[-1] + 2
+    fs.delete(where, False)
+    assert states(store.read(schema)) == want
+    assert store.merge(new, torn) and states(store.read(schema)) == want | {key: (99, "new")}
+    store.vacuum()
+    assert states(store.read(schema)) == want | {key: (99, "new")}
+
+
+def test_context_bounds(spark):
+    """A text or a state beyond its bound is refused, and the state stays."""
+    from riverbed.plans import joint as P
+    from riverbed.streaming import context
+
+    t = P.turns(spark, SF).filter("fault is null and last = 7")
+    rows = context.calls(P.batches(t.join(t.groupBy("session_id").agg(F.min("turn_id").alias("turn_id")), ["session_id", "turn_id"]))).unionByName(
+        t.filter("step = 0").select("session_id", "turn_id", F.lit(-1).cast("long").alias("seq"), F.lit("open").alias("kind"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("payload")))
+    got = {(r["seq"], r["label"]) for r in context.context_batch(rows, most_chars=7).collect() if r["kind"] == "batch"}
+    assert got == {(0, None), (1, None), (2, None), (3, None), (4, "text_limit"), (5, "out_of_step"), (6, "out_of_step"), (7, "out_of_step")}
+    assert {r["label"] for r in context.context_batch(rows, most_bytes=10).collect() if r["seq"] == 0} == {"state_limit"}
