@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars", "sessions", "joint")
+MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars", "sessions", "joint", "timing")
 
 
 def load_all() -> None:
