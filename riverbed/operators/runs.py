@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riverbed.operators.metrics import gate
 from riverbed.operators.rules import broken, ledger_violations
@@ -36,6 +37,39 @@ def condition_violations(results: DataFrame, manifest: str, cases: list[str], li
     return gate(results, ["condition"], rules).withColumnRenamed("failure", "label")
 
 
+def report_violations(reports: DataFrame, manifest: str, smoke: int = 3) -> DataFrame:
+    """(run_id, label) of reports: run_id, passed, cases, expected, manifest_sha256, scope, warmup_passed, equivalence struct<executed,status,policy,passed>, execution and backends (array) struct<cpu_threads,interop_threads>, recogniser_cpus, skip_complete.
+
+    A run passed, has as many cases as expected under the fixed manifest, and the scope that goes with their number; its warm-up passed and says that nothing was compared; it and
+    all its backends kept to their threads.
+    """
+    fits = lambda x: (x["cpu_threads"] == THREADS["cpu_threads"]) & (x["interop_threads"] == THREADS["interop_threads"])
+    e, off = F.col("equivalence"), "disabled_by_user"
+    rules = {
+        "run_failed": ~_yes("passed"), "run_cases": broken(F.col("cases") == F.col("expected")), "run_manifest": broken(F.col("manifest_sha256") == manifest),
+        "run_scope": broken(F.col("scope") == F.when(F.col("expected") == smoke, "smoke").otherwise("fixed")),
+        "run_warmup": broken(F.col("warmup_passed") & ~e["executed"] & (e["status"] == off) & (e["policy"] == off) & e["passed"].isNull()),
+        "run_budget": broken(fits(F.col("execution")) & (F.col("recogniser_cpus") == 2) & F.col("skip_complete")),
+        "backend_budget": broken(F.forall("backends", lambda x: F.coalesce(fits(x), F.lit(False)))),
+    }
+    return gate(reports, ["run_id"], rules).withColumnRenamed("failure", "label")
+
+
+def acceptance_violations(gates: DataFrame, preflight: list[str], samples: int = 30) -> DataFrame:
+    """(gate_id, label) of gates: gate_id, condition, evidence_sha256, expected_sha256, candidate, resources, dual_passed, cases array<struct<case_id,passed>>, sample_ids array<string>.
+
+    A formal run may begin under a full condition, on evidence of the expected digest in which candidate and resources were accepted and the full two-lane condition passed with the
+    preflight cases, in their order, all passed; and on so many samples, each once.
+    """
+    cases = F.coalesce("cases", F.array().cast("array<struct<case_id: string, passed: boolean>>"))
+    rules = {
+        "condition_not_full": broken(F.col("condition").isin("dual-full", "single-full")), "evidence_digest": broken(F.col("evidence_sha256") == F.col("expected_sha256")), "not_candidate": ~_yes("candidate"),
+        "resources_not_checked": ~_yes("resources"), "dual_failed": ~_yes("dual_passed"), "preflight_changed": broken(F.transform(cases, lambda x: x["case_id"]) == F.array(*map(F.lit, preflight))),
+        "preflight_failed": ~F.forall(cases, lambda x: F.coalesce(x["passed"], F.lit(False))), "sample_count": broken(F.size("sample_ids") == samples), "sample_repeated": broken(F.size(F.array_distinct("sample_ids")) == F.size("sample_ids")),
+    }
+    return gate(gates, ["gate_id"], rules).withColumnRenamed("failure", "label")
+
+
 def run_violations(cases: DataFrame, steps: DataFrame, expected: int) -> DataFrame:
     """(case_id, label) of a run: cases (case_id, passed, frames, thread_id), steps (case_id, step_id, thread_id, cpu_threads, interop_threads, skip_allowed, skipped, completion, text).
 
@@ -69,12 +103,18 @@ def recording_violations(recordings: DataFrame, frames: DataFrame) -> DataFrame:
     })
     ledger = ledger_violations(frames, ["recording_id"], ["start_sample"]).select("recording_id", "failure")
     beyond = frames.join(recordings.select("recording_id", "total"), "recording_id").filter(F.col("start_sample") + F.col("samples") > F.col("total")).select("recording_id", F.lit("beyond_end").alias("failure"))
-    # sound is covered if the frames that meet a stretch hold all of its samples; frames do not overlap, or the ledger says so
-    loud = recordings.select("recording_id", F.posexplode("loud").alias("k", "x")).select("recording_id", "k", "x.start", "x.stop")
-    meets = (F.col("l.recording_id") == F.col("f.recording_id")) & (F.col("f.start_sample") < F.col("l.stop")) & (F.col("f.start_sample") + F.col("f.samples") > F.col("l.start"))
-    held = F.least(F.col("f.start_sample") + F.col("f.samples"), F.col("l.stop")) - F.greatest("f.start_sample", "l.start")
-    covered = loud.alias("l").join(frames.alias("f"), meets, "left").groupBy("l.recording_id", "l.k", "l.start", "l.stop").agg(F.coalesce(F.sum(F.when(F.col("f.recording_id").isNotNull(), held)), F.lit(0)).alias("held"))
-    outside = covered.filter(F.col("held") < F.col("stop") - F.col("start")).select("recording_id", F.lit("sound_outside_frames").alias("failure"))
+    # samples that frames hold before a place: all of the frames that begin before it, but for what the last one holds beyond. One window over frames and places, no pairs;
+    # frames do not overlap, or the ledger says so
+    places = recordings.select("recording_id", F.posexplode("loud").alias("k", "x")).select("recording_id", "k", F.explode(F.array(F.struct(F.col("x.start").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("x.stop").alias("at"), F.lit(1).alias("sign")))).alias("p"), (F.col("x.stop") - F.col("x.start")).alias("length"))
+    places = places.select("recording_id", F.col("p.at").alias("at"), "k", "p.sign", "length", F.lit(0).cast("long").alias("samples"))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    starts = frames.select("recording_id", F.col("start_sample").alias("at"), none("k", "int"), none("sign", "int"), none("length", "long"), "samples")
+    before = Window.partitionBy("recording_id").orderBy("at", F.col("k").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c: F.last(F.when(F.col("k").isNull(), F.col(c)), ignorenulls=True).over(before)
+    marked = places.unionByName(starts).withColumns({"sum": F.sum("samples").over(before), "last_at": last("at"), "last_samples": last("samples")})
+    beyond_it = F.greatest(F.lit(0), F.coalesce(F.col("last_samples") - (F.col("at") - F.col("last_at")), F.lit(0)))
+    held = marked.filter("k is not null").groupBy("recording_id", "k", "length").agg(F.sum(F.col("sign") * (F.col("sum") - beyond_it)).alias("held"))
+    outside = held.filter(F.col("held") < F.col("length")).select("recording_id", F.lit("sound_outside_frames").alias("failure"))
     return own.unionByName(ledger).unionByName(beyond).unionByName(outside).distinct().withColumnRenamed("failure", "label")
 
 

@@ -109,7 +109,7 @@ def event_rules(events: DataFrame) -> DataFrame:
     cancelled = _told(told, {"cancelled_without_output": ~F.col("some"), "cancel_lost_history": F.col("some") & ~F.col("heard_any").eqNullSafe(F.col("last_heard")), "cancelled_output_reused": F.col("reused")})
     basis = events.select(*BRANCH, F.col("id").alias("basis_frontend"), F.struct("kind", "at_ms").alias("basis"))
     e = events.withColumns({
-        "task_state": before("state", task, is_task), "times": F.count("*").over(Window.partitionBy(*KEYS)),
+        "task_state": before("state", task, is_task), "times": F.row_number().over(Window.partitionBy(*KEYS).orderBy("at_ms", "kind")),
         "versions": F.count_if(is_analysis).over(task.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         "generated_before": before("generated", output, is_output), "played_before": before("played", output, is_output),
     }).withColumn("open_before", open_before).join(basis, [*BRANCH, "basis_frontend"], "left")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars", "sessions", "joint", "timing")
+MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars", "sessions", "joint", "timing", "rulesets")
 
 
 def load_all() -> None:

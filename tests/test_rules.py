@@ -213,3 +213,36 @@ def test_gain(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([0.1, -0.1],), ([0.001, 0.9],), ([],)], "s array<double>")
     got = [r[0] for r in df.select(C.gain(F.col("s"))).collect()]
     assert got[0] == 1.0 and abs(got[1] - 0.5) < 1e-9 and abs(got[2] - 0.05 / (0.9**2 / 2 + 1e-6 / 2) ** 0.5) < 1e-9 and got[3] is None
+
+
+def test_every_label_has_rows():
+    """The variants of corpora and traces give each label of their rule-sets."""
+    import inspect
+    import re
+
+    from riverbed.operators import audit, causal, targets
+    from riverbed.plans import corpora as L
+
+    planted = {label for variants in (L.VISIBILITY, L.EVENTS, L.GENERATION, L.TARGETS) for v in variants for _, label in v[3]}
+    source = "".join(inspect.getsource(f) for f in (targets.target_legality, targets.event_rules, targets.generation_rules))
+    known = set(re.findall(r'"([a-z_]+)": ', source)) - {"task_state", "times", "versions", "generated_before", "played_before"}
+    known |= set(re.findall(r'"([a-z_]+)"\),$', inspect.getsource(causal.visibility), re.M))
+    assert known - planted == set()
+    labels = set(re.findall(r'"([a-z_]+)": ', inspect.getsource(audit.audit)))
+    assert labels - {label for _, _, x in L.TRACE for _, label in x} <= {"end_text", "end_groups"}
+
+
+def test_reports_and_gates(spark):
+    """One row that passes, and one change for each rule; missing values break."""
+    r = "run_id string, passed boolean, cases long, expected long, manifest_sha256 string, scope string, warmup_passed boolean, equivalence struct<executed:boolean,status:string,policy:string,passed:boolean>, execution struct<cpu_threads:int,interop_threads:int>, recogniser_cpus int, skip_complete boolean, backends array<struct<cpu_threads:int,interop_threads:int>>"
+    good = ["r", True, 30, 30, "m", "fixed", True, (False, "disabled_by_user", "disabled_by_user", None), (2, 1), 2, True, [(2, 1), (2, 1)]]
+    labels = lambda row: {x["label"] for x in R.report_violations(spark.createDataFrame([tuple(row)], r), "m").collect()}
+    assert labels(good) == set() and labels(["r", True, 3, 3, "m", "smoke", *good[6:]]) == set()
+    for k, v, want in [(1, None, "run_failed"), (2, 29, "run_cases"), (4, "n", "run_manifest"), (5, "smoke", "run_scope"), (6, False, "run_warmup"), (7, (False, "disabled_by_user", "disabled_by_user", True), "run_warmup"), (7, None, "run_warmup"), (8, (2, 2), "run_budget"), (9, 1, "run_budget"), (10, False, "run_budget"), (11, [(2, 1), (4, 1)], "backend_budget"), (11, None, "backend_budget")]:
+        assert labels([*good[:k], v, *good[k + 1 :]]) == {want}, (k, v)
+    g = "gate_id string, condition string, evidence_sha256 string, expected_sha256 string, candidate boolean, resources boolean, dual_passed boolean, cases array<struct<case_id:string,passed:boolean>>, sample_ids array<string>"
+    good = ["g", "dual-full", "d", "d", True, True, True, [("a", True), ("b", True)], ["x", "y"]]
+    labels = lambda row: {x["label"] for x in R.acceptance_violations(spark.createDataFrame([tuple(row)], g), ["a", "b"], 2).collect()}
+    assert labels(good) == set() and labels([*good[:1], "single-full", *good[2:]]) == set()
+    for k, v, want in [(1, "dual-limited", "condition_not_full"), (2, None, "evidence_digest"), (4, None, "not_candidate"), (5, False, "resources_not_checked"), (6, None, "dual_failed"), (7, [("b", True), ("a", True)], "preflight_changed"), (7, None, "preflight_changed"), (7, [("a", True), ("b", None)], "preflight_failed"), (8, ["x"], "sample_count"), (8, ["x", "x"], "sample_repeated")]:
+        assert labels([*good[:k], v, *good[k + 1 :]]) == {want}, (k, v)
