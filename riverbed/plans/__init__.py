@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars", "sessions", "joint", "timing", "rulesets")
+MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars", "sessions", "joint", "timing", "rulesets", "scans")
 
 
 def load_all() -> None:
