@@ -141,6 +141,23 @@ def consume_states(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return told.withColumn("action", action)
 
 
+def consume_deltas(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """consume_states for states that bring what is new (delta) instead of the text so far: adds action, and delta is what a complete state starts with.
+
+    What came since the complete state before is put together once, so the work grows with the text, not with its square.
+    """
+    w = by(keys, order)
+    complete = F.col("accepted") & (F.col("token") == "user_complete")
+    part = F.coalesce(F.count_if(complete).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = df.withColumn("_part", part).withColumn("_complete", complete)
+    new = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("delta").alias("_d")))), lambda x: x["_d"]), "")
+    ends = F.max(F.when(F.col("_complete"), F.struct(*order)))
+    groups = told.groupBy(*keys, "_part").agg(ends.alias("_o"), F.regexp_replace(new, r"^\s+|\s+$", "").alias("_new")).filter("_o is not null").select(*keys, "_o.*", "_new")
+    told = told.drop("delta").join(groups, [*keys, *order], "left").withColumn("delta", F.when(F.col("_complete"), F.col("_new")))
+    action = F.when(F.col("_complete") & (F.col("delta") != ""), "start").when(F.col("_complete"), "complete_without_new_text").when(F.col("accepted") & (F.col("token") == "user_nonidle"), "cancel").otherwise("none")
+    return told.withColumn("action", action).drop("_part", "_complete", "_new")
+
+
 def start_replies(df: DataFrame, keys: list[str], order: list[str], tag: str = "t", seed: int = 0) -> DataFrame:
     """What happens to each command (kind start, with text, or end): adds outcome, request_id and seed.
 

@@ -164,12 +164,12 @@ d AS (SELECT *, CASE WHEN accepted AND token = 'user_complete' THEN regexp_repla
 SELECT conv_id, turn, CASE WHEN delta <> '' THEN 'start' WHEN delta = '' THEN 'complete_without_new_text' WHEN accepted AND token = 'user_nonidle' THEN 'cancel' ELSE 'none' END AS action, delta FROM d""".replace("\\\\", "\\"))
 def q_consume_states(spark, sf_dir):
     """Each published state of a growing text consumed once: starts with what is new, cancels, or nothing."""
-    from riverbed.plans.traces import cumulative
+    from riverbed.plans.traces import growth
 
-    c = cumulative(table(spark, sf_dir, "conversations"))
+    c = table(spark, sf_dir, "conversations")
     token = F.when(F.col("role") == "user", "user_complete").when(F.col("turn") % 4 == 3, "user_nonidle").otherwise("user_idle")
-    c = c.select("conv_id", "turn", (F.length("text") % 5 != 0).alias("accepted"), token.alias("token"), F.col("so_far").alias("text"))
-    return R.consume_states(c, ["conv_id"], ["turn"]).select("conv_id", "turn", "action", "delta")
+    c = c.select("conv_id", "turn", (F.length("text") % 5 != 0).alias("accepted"), token.alias("token"), growth(F.col("text")).alias("delta"))
+    return R.consume_deltas(c, ["conv_id"], ["turn"]).select("conv_id", "turn", "action", "delta")
 
 
 @query("q_start_replies", """

@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from riverbed.catalog import query
 from riverbed.operators import sequence as S
+from riverbed.operators.prefixes import prefix_hashes
+from riverbed.operators.scans import Running, scan
 from riverbed.sources.tables import events, table
 
 DAY = 86_400_000_000
@@ -21,13 +23,9 @@ def q_sequence_gaps(spark, sf_dir):
     return S.sequence_gaps(table(spark, sf_dir, "conversations", "conv_id", "turn").filter("turn <> 2"), ["conv_id"], "turn")
 
 
-CUMULATIVE = "WITH c AS (SELECT conv_id, turn, {text} AS text FROM conversations), k AS (SELECT conv_id, turn, text, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS so_far FROM c)"
-
-
-def cumulative(c, text="text"):
-    """Text of a conversation up to each turn. A conversation is short, so the list of its turns is bounded."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return c.withColumn("so_far", F.array_join(F.collect_list(text).over(w), " "))
+def growth(c):
+    """What each turn adds to the text of its conversation so far."""
+    return F.concat(F.when(F.col("turn") > 0, " ").otherwise(""), c)
 
 
 @query("q_append_only", """
@@ -36,9 +34,17 @@ m AS (SELECT conv_id, turn, CASE WHEN turn = 3 THEN upper(t) ELSE t END AS t FRO
 l AS (SELECT conv_id, turn, t, coalesce(lag(t) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b FROM m)
 SELECT conv_id, turn FROM l WHERE NOT starts_with(t, b)""")
 def q_append_only(spark, sf_dir):
-    """Rewrites of a growing text, after turn 3 was changed to upper case."""
-    k = cumulative(table(spark, sf_dir, "conversations", "conv_id", "turn", "text")).withColumn("t", F.when(F.col("turn") == 3, F.upper("so_far")).otherwise(F.col("so_far")))
-    return S.append_only(k.select("conv_id", "turn", "t"), ["conv_id"], ["turn"], "t").select("conv_id", "turn")
+    """Rewrites of a growing text, after turn 3 was changed to upper case. Prefix hashes of both spellings are compared, so that no row holds the text so far.
+
+    At turn 3 the text before must be the same in upper case, after it what had become upper case must have been so.
+    """
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    plain = prefix_hashes(c, ["conv_id"], ["turn"], growth(F.col("text")))
+    both = prefix_hashes(plain.withColumnsRenamed({"chars": "n", "a": "x", "b": "y"}), ["conv_id"], ["turn"], F.upper(growth(F.col("text"))))
+    same = (F.col("n") == F.col("chars")) & (F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))
+    told = both.withColumn("same", same).withColumn("same_before", F.lag("same").over(S.by(["conv_id"], ["turn"]))).withColumn("before", F.lag("turn").over(S.by(["conv_id"], ["turn"])))
+    rewritten = F.when(F.col("turn") == 3, ~F.col("same_before")).when(F.col("before") == 3, ~F.col("same_before"))
+    return told.filter(F.coalesce(rewritten, F.lit(False))).select("conv_id", "turn")
 
 
 @query("q_running_groups", "SELECT event_id, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS groups FROM events")
@@ -50,9 +56,9 @@ def q_running_groups(spark, sf_dir):
 @query("q_prefix_delta", "SELECT conv_id, turn, (length(text) + CASE WHEN turn = 0 THEN 0 ELSE 1 END)::BIGINT AS delta_length FROM conversations")
 def q_prefix_delta(spark, sf_dir):
     """The length of what each turn adds to the text so far: its own and one for the blank before it."""
-    k = cumulative(table(spark, sf_dir, "conversations", "conv_id", "turn", "text"))
-    delta = S.prefix_delta(F.col("so_far"), S.by(["conv_id"], ["turn"]))
-    return k.select("conv_id", "turn", F.length(delta).cast("long").alias("delta_length"))
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    so_far = scan(c.select("conv_id", "turn", F.length(growth(F.col("text"))).cast("long").alias("n")), ["conv_id"], ["turn"], {"chars": Running("sum", F.col("n"))})
+    return so_far.select("conv_id", "turn", (F.col("chars") - F.coalesce(F.lag("chars").over(S.by(["conv_id"], ["turn"])), F.lit(0))).alias("delta_length"))
 
 
 @query("q_carry_forward", """
