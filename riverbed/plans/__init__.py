@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars", "sessions", "joint", "timing", "rulesets", "scans", "queues")
+MODULES = ("metrics", "traces", "relations", "texts", "streams", "scalars", "sessions", "joint", "timing", "rulesets", "scans", "queues", "lanes")
 
 
 def load_all() -> None:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riverbed.catalog import query
 from riverbed.sources.tables import events, table
-from riverbed.streaming import analysis, growing
+from riverbed.streaming import analysis, growing, replies
 
 HALF_DAY_MS = 43_200_000
 
@@ -93,3 +94,58 @@ UNION ALL SELECT session, started + {_TIMEOUT}, NULL, 'timed_out', task, cycle,
 def q_analysis_cycles(spark, sf_dir):
     """What becomes of each user's analysis tasks: calls, results published or withheld, tasks that wait, fail, run out of calls or of time."""
     return analysis.analysis_batch(analysis_events(spark, sf_dir), budget=3, timeout_ms=HALF_DAY_MS)
+
+
+def reply_events(spark, sf_dir) -> DataFrame:
+    """Events as those of reply sessions: views, clicks and purchases publish states, errors play, signups complete or repair. Some states repeat a step, some claim another text before."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    e = events(spark, sf_dir, "event_id", "user_id", "event_type").withColumn("is_state", kind.isin("view", "click", "purchase"))
+    delta = F.when(kind == "view", F.concat(F.lit("w"), i, F.lit(" "))).when((kind == "purchase") & (i % 3 != 0), F.concat(F.lit("p"), i)).otherwise("")
+    e = e.withColumn("delta", delta).withColumn("counted", F.col("is_state") & (i % 31 != 0) & (i % 37 != 0))
+    n = F.count_if("counted").over(so_far)
+    chars = F.coalesce(F.sum(F.when(F.col("counted"), F.length("delta"))).over(before), F.lit(0))
+    asked = F.greatest(F.lit(1), F.count_if((kind == "purchase") & (i % 3 != 0)).over(so_far))
+    e = e.withColumns({"step_id": F.when(F.col("counted") | (i % 31 == 0), n - 1).otherwise(n), "chars": F.when(F.col("counted") | (i % 31 == 0), chars).otherwise(-1), "seq": F.row_number().over(w), "asked": asked})
+    state = F.col("is_state")
+    kinds = F.when(state, "state").when(kind == "error", "played").when(i % 2 == 0, "completed").otherwise("repaired")
+    none = lambda c, t: F.when(state, c).cast(t)
+    return e.select(
+        F.col("user_id").alias("session"), F.col("seq").cast("long").alias("seq"), kinds.alias("kind"), none(F.col("step_id"), "long").alias("step_id"), none(F.when(kind == "purchase", "user_complete").when(kind == "click", "user_nonidle").otherwise("user_idle"), "string").alias("token"),
+        none((kind != "click") | (i % 2 == 0), "boolean").alias("accepted"), none(F.col("delta"), "string").alias("delta"), none(F.col("chars"), "long").alias("chars"), F.lit(None).cast("long").alias("crc"), F.when(~state, F.concat(F.lit("r"), F.col("asked"))).alias("request"),
+        F.when(~state, F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("heard "), i))).alias("text"), F.when(kinds == "played", i % 3 * 160).cast("long").alias("tail"), F.when(kinds == "repaired", F.when(i % 5 == 0, 2).otherwise(1)).cast("long").alias("version"),
+    )
+
+
+_SAY = lambda action, request="NULL", text="NULL", version="NULL": f"{{'action': '{action}', 'request': {request}, 'text': {text}, 'version': {version}}}"
+
+
+@query("q_reply_session", f"""
+WITH RECURSIVE a AS (SELECT user_id AS session, event_id AS i, event_type AS t, row_number() OVER w AS seq, event_type IN ('view', 'click', 'purchase') AS st, event_type IN ('view', 'click', 'purchase') AND event_id % 31 <> 0 AND event_id % 37 <> 0 AS counted,
+    CASE WHEN event_type = 'view' THEN 'w' || event_id || ' ' WHEN event_type = 'purchase' AND event_id % 3 <> 0 THEN 'p' || event_id ELSE '' END AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)),
+b AS (SELECT *, count(*) FILTER (WHERE counted) OVER w AS n, coalesce(sum(length(delta)) FILTER (WHERE counted) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS len,
+    'r' || greatest(1, count(*) FILTER (WHERE t = 'purchase' AND i % 3 <> 0) OVER w) AS req FROM a WINDOW w AS (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT session, seq, i, t, st, delta, CASE WHEN counted OR i % 31 = 0 THEN n - 1 ELSE n END AS step_id, CASE WHEN counted OR i % 31 = 0 THEN len ELSE -1 END AS claimed, req, CASE WHEN i % 4 = 0 THEN '' ELSE 'heard ' || i END AS txt FROM b),
+r(session, seq, step, chars, pending, counter, cur, spoken, tail, role, waiting, said) AS (
+  SELECT DISTINCT session, 0::BIGINT, -1::BIGINT, 0::BIGINT, '', 0::BIGINT, '', '', 0::BIGINT, '', []::STRUCT(r VARCHAR, s VARCHAR)[], []::STRUCT(action VARCHAR, request VARCHAR, text VARCHAR, version BIGINT)[] FROM e
+  UNION ALL
+  SELECT session, seq, CASE WHEN ok THEN step + 1 ELSE step END, CASE WHEN ok THEN chars + length(delta) ELSE chars END, CASE WHEN starts THEN '' ELSE pend END, counter + starts::INTEGER,
+    CASE WHEN starts THEN 'r' || (counter + 1) WHEN stops OR ends THEN '' ELSE cur END, CASE WHEN stops OR ends THEN '' WHEN plays THEN txt ELSE spoken END, CASE WHEN stops OR ends THEN 0 WHEN plays THEN i % 3 * 160 ELSE tail END,
+    CASE WHEN starts THEN 'user' WHEN (stops OR ends) AND (trim(spoken) <> '' OR stops AND tail > 0) THEN 'assistant' ELSE role END,
+    CASE WHEN stops AND tail > 0 THEN list_append(waiting, {{'r': cur, 's': trim(spoken)}}) WHEN fixes THEN list_filter(waiting, lambda x: x.r <> req) ELSE waiting END,
+    list_filter([CASE WHEN st AND step_id <> step + 1 THEN {_SAY("missing_step")} END, CASE WHEN st AND step_id = step + 1 AND claimed <> chars THEN {_SAY("prefix_changed")} END, CASE WHEN ok AND t = 'purchase' AND NOT starts THEN {_SAY("complete_without_new_text")} END,
+      CASE WHEN stops THEN {_SAY("cancelled", "cur", "CASE WHEN t = 'click' THEN 'nonidle' ELSE 'new_complete' END")} END, CASE WHEN stops AND tail > 0 THEN {_SAY("history_pending", "cur", "NULL", "1")} END,
+      CASE WHEN (stops OR ends) AND (trim(spoken) <> '' OR stops AND tail > 0) THEN {_SAY("assistant_entry", "cur", "trim(spoken)")} END,
+      CASE WHEN starts AND CASE WHEN stops AND (trim(spoken) <> '' OR tail > 0) THEN 'assistant' ELSE role END = 'user' THEN {_SAY("user_merged", "'r' || (counter + 1)", "trim(pend)")} WHEN starts THEN {_SAY("user_entry", "'r' || (counter + 1)", "trim(pend)")} END,
+      CASE WHEN starts THEN {_SAY("reply_started", "'r' || (counter + 1)", "trim(pend)")} END, CASE WHEN t = 'error' AND NOT plays THEN {_SAY("late_audio_discarded", "req")} END,
+      CASE WHEN ends THEN {_SAY("completed", "req")} WHEN t = 'signup' AND i % 2 = 0 THEN {_SAY("stray_completion", "req")} END,
+      CASE WHEN fixes THEN {_SAY("history_repaired", "req", "trim(list_filter(waiting, lambda x: x.r = req)[1].s || ' ' || txt)", "1")} WHEN t = 'signup' AND i % 2 = 1 THEN {_SAY("repair_stale", "req")} END], lambda x: x IS NOT NULL)
+  FROM (SELECT *, cur <> '' AND (starts OR ok AND t = 'click' AND i % 2 = 0) AS stops FROM (SELECT *, ok AND t = 'purchase' AND trim(pend) <> '' AS starts FROM (
+    SELECT *, CASE WHEN ok THEN pending || delta ELSE pending END AS pend FROM (
+      SELECT e.*, r.* EXCLUDE (session, seq), st AND step_id = step + 1 AND claimed = chars AS ok, t = 'error' AND req = cur AS plays, t = 'signup' AND i % 2 = 0 AND req = cur AS ends,
+        t = 'signup' AND i % 2 = 1 AND i % 5 <> 0 AND len(list_filter(waiting, lambda x: x.r = req)) > 0 AS fixes FROM r JOIN e ON e.session = r.session AND e.seq = r.seq + 1)))))
+SELECT session, seq, s.action AS action, s.request AS request, s.text AS text, s.version AS version FROM (SELECT session, seq, unnest(said) AS s FROM r)""")
+def q_reply_session(spark, sf_dir):
+    """What becomes of users' replies: started, merged, cancelled, completed, repaired, and what came out of turn."""
+    return replies.replies_batch(reply_events(spark, sf_dir))

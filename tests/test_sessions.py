@@ -1,6 +1,7 @@
 """Folds as streams: the same rows as their batch form, whatever the micro-batches."""
 
 import json
+import os
 import random
 import tempfile
 import uuid
@@ -60,12 +61,13 @@ def test_growing_golden(pieces, want):
     assert got[-1][1:] == (None, "end" if want else "empty")
 
 
-def files(rows, parts, late=()):
+def files(rows, parts):
     """A folder of JSON lines, one file a micro-batch."""
     d = tempfile.mkdtemp(prefix="spark-")
     for k in range(parts):
         with open(f"{d}/{k:03}.json", "w") as f:
             f.writelines(json.dumps(r) + "\n" for r in rows[k * len(rows) // parts : (k + 1) * len(rows) // parts])
+        os.utime(f"{d}/{k:03}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # files are taken by their times
     return d
 
 
@@ -219,3 +221,190 @@ def test_context_bounds(spark):
     got = {(r["seq"], r["label"]) for r in context.context_batch(rows, most_chars=7).collect() if r["kind"] == "batch"}
     assert got == {(0, None), (1, None), (2, None), (3, None), (4, "text_limit"), (5, "out_of_step"), (6, "out_of_step"), (7, "out_of_step")}
     assert {r["label"] for r in context.context_batch(rows, most_bytes=10).collect() if r["seq"] == 0} == {"state_limit"}
+
+
+# replies, queues, lifecycles
+
+
+def run_replies(*rows):
+    from collections import namedtuple
+
+    from riverbed.streaming.replies import Replies
+
+    row = namedtuple("row", "seq kind step_id token accepted delta chars crc request text tail version")
+    r = Replies()
+    state, out = r.start, []
+    for k, x in enumerate(rows):
+        state, found = r.step(state, row(k, x["kind"], *(x.get(c) for c in row._fields[2:])))
+        out += [tuple(f[1:]) for f in found]
+    return out, state
+
+
+def published(step, token, delta, chars, crc=None, accepted=True):
+    return {"kind": "state", "step_id": step, "token": token, "accepted": accepted, "delta": delta, "chars": chars, "crc": crc}
+
+
+def test_replies_golden():
+    import zlib
+
+    said, _ = run_replies(
+        published(0, "user_idle", "Hi", 0), published(1, "user_complete", " there", 2), {"kind": "played", "request": "r1", "text": " Hello.", "tail": 80}, published(2, "user_complete", " again", 8),
+        {"kind": "repaired", "request": "r1", "version": 1, "text": "How"}, {"kind": "repaired", "request": "r1", "version": 1, "text": "late"}, published(3, "user_nonidle", "", 14), published(4, "user_complete", " and", 14, zlib.crc32(b"Hi there again")),
+        published(4, "user_idle", "", 18), published(5, "user_idle", "", 17), published(5, "user_idle", "", 18, 1), {"kind": "completed", "request": "r1"}, {"kind": "played", "request": "r3", "text": "Yes.", "tail": 0}, {"kind": "completed", "request": "r3"}, published(5, "user_complete", "  ", 18),
+    )
+    assert said == [
+        ("user_entry", "r1", "Hi there", None), ("reply_started", "r1", "Hi there", None),
+        # new words while a reply is busy cancel it; what was heard becomes an entry, the samples beyond it wait for repair
+        ("cancelled", "r1", "new_complete", None), ("history_pending", "r1", None, 1), ("assistant_entry", "r1", "Hello.", None), ("user_entry", "r2", "again", None), ("reply_started", "r2", "again", None),
+        ("history_repaired", "r1", "Hello. How", 1), ("repair_stale", "r1", None, None),
+        # nothing was heard of the second, so the user's next words join their last
+        ("cancelled", "r2", "nonidle", None), ("user_merged", "r3", "and", None), ("reply_started", "r3", "and", None),
+        ("missing_step", None, None, None), ("prefix_changed", None, None, None), ("prefix_changed", None, None, None), ("stray_completion", "r1", None, None),
+        ("assistant_entry", "r3", "Yes.", None), ("completed", "r3", None, None), ("complete_without_new_text", None, None, None),
+    ]
+
+
+def test_repairs_are_bounded():
+    from riverbed.streaming import replies
+
+    rows, chars = [], 0
+    for k in range(replies.MOST_REPAIRS + 2):
+        rows += [published(k, "user_complete", "x", chars), {"kind": "played", "request": f"r{k + 1}", "text": "", "tail": 1}]
+        chars += 1
+    said, state = run_replies(*rows)
+    assert [s[0] for s in said].count("too_many_repairs") == 1 and len(json.loads(state[-1])) == replies.MOST_REPAIRS
+
+
+def test_replies_of_a_stream(spark):
+    from riverbed.streaming import replies
+
+    events = sessions.reply_events(spark, SF)
+    want = replies.replies_batch(events)
+    assert {"missing_step", "prefix_changed", "cancelled", "history_pending", "assistant_entry", "user_entry", "reply_started", "late_audio_discarded", "stray_completion", "complete_without_new_text"} <= {r["action"] for r in want.select("action").distinct().collect()}
+    rows = [r.asDict() for r in events.orderBy("seq", "session").collect()]
+    assert streamed(spark, replies.EVENTS, files(rows, 3), replies.replies_stream) == sorted(map(repr, (tuple(r) for r in want.collect())))
+
+
+def test_bounded_queue(spark):
+    from riverbed.operators import queues
+
+    rng = random.Random(6)
+    jobs = {k: sorted((rng.randrange(1000), i, rng.choice((0, 5, 60, 200))) for i in range(60)) for k in (1, 2)}
+    rows = [(k, at, i, s) for k, x in jobs.items() for at, i, s in x]
+    schema = "key long, arrival long, id long, service long"
+    df = spark.createDataFrame(rows, schema)
+    want = []
+    for k, x in jobs.items():  # plainly, with the queue itself
+        starts, free = [], -1
+        for at, i, s in x:
+            if sum(t > at for t in starts) >= 2:
+                want.append((k, at, i, "refused", None))
+                continue
+            t = max(at, free)
+            starts.append(t)
+            free = t + s
+            want.append((k, at, i, "late" if t - at > 50 else "taken", t))
+    assert {w[3] for w in want} == {"taken", "late", "refused"}
+    assert sorted(map(repr, (tuple(r) for r in queues.bounded_batch(df, 50).collect()))) == sorted(map(repr, want))
+    ordered = [dict(zip(("key", "arrival", "id", "service"), r)) for r in sorted(rows, key=lambda r: r[1:])]
+    assert streamed(spark, schema, files(ordered, 3), lambda s: queues.bounded_stream(s, 50)) == sorted(map(repr, want))
+    # without a bound: by the running maximum, cut into many parts
+    got = {r["id"]: (r["start"], r["finish"], r["wait"], r["missed"]) for r in queues.waits(df.filter("key = 1"), ["key"], ["arrival", "id"], "arrival", "service", 50, part_rows=7).collect()}
+    free = -1
+    for at, i, s in jobs[1]:
+        t = max(at, free)
+        free = t + s
+        assert got[i] == (t, free, t - at, t - at > 50)
+
+
+def test_lifecycle_stream(spark):
+    """The stream tells what the window over all rows tells; keys idle beyond their time leave the state; a full state is told."""
+    import time
+
+    from riverbed.operators import rules
+    from riverbed.streaming import lifecycle
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(3), k, k, f"k{rng.randrange(9)}", rng.choice(("open", "close", "release"))) for k in range(200)]
+    table = spark.createDataFrame(rows, lifecycle.ACTIONS)
+    want = sorted(map(repr, (tuple(r) for r in rules.key_lifecycle(table, ["key"], ["us", "id"], "action", 2, ["scope"]).collect())))
+    as_dicts = [dict(zip(("scope", "us", "id", "key", "action"), r)) for r in rows]
+    assert streamed(spark, lifecycle.ACTIONS, files(as_dicts, 4), lambda s: lifecycle.lifecycle_stream(s, 2)) == want
+    full = streamed(spark, lifecycle.ACTIONS, files(as_dicts, 2), lambda s: lifecycle.lifecycle_stream(s, 2, entries=3))
+    assert sum("state_full" in r for r in full) > 0
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    folder, checkpoint = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-")
+
+    def more(k, name):
+        with open(f"{folder}/{k}.json", "w") as f:
+            f.write(json.dumps({"scope": 1, "us": k, "id": k, "key": "a", "action": "open"}) + "\n")
+        source = spark.readStream.schema(lifecycle.ACTIONS).json(folder)
+        found = []
+        q = lifecycle.lifecycle_stream(source, 9, ttl_ms=30_000 if name == "soon" else 1).writeStream.foreachBatch(lambda df, i: found.extend(r["failure"] for r in df.collect())).option("checkpointLocation", checkpoint + name).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return found
+
+    assert more(1, "soon") == [] and more(2, "soon") == ["opened_twice"]
+    assert more(3, "gone") == ["opened_twice", "opened_twice"]  # all three files, at once
+    time.sleep(2)
+    assert more(4, "gone") == []  # what was known has left the state
+
+
+# decoders, prefixes, lanes
+
+
+def test_decoders(spark):
+    from riverbed.operators import decode
+
+    rows = [("a", 0, [300, 301, 2]), ("a", 1, [5, 2, 9]), ("a", 2, [2]), ("a", 3, [7]), ("a", 4, [7, 33, 2]), ("a", 5, [9] * 63 + [2]), ("a", 6, [9] * 64 + [2]), ("a", 7, [9] * 70), ("b", 0, None)]
+    df = spark.createDataFrame(rows, "key string, seq long, tokens array<int>")
+    got = {(r["key"], r["seq"]): (r["pos"], r["delta"], r["chars"], r["failure"]) for r in decode.closed_groups(df.filter("tokens is not null"), "numbers").collect()}
+    nines = " ".join(["9"] * 63)
+    assert got == {("a", 0): (0, "300 301", 7, None), ("a", 1): (1, " 5", 9, None), ("a", 2): (None, None, 9, "empty"), ("a", 3): (None, None, 9, "no_eos"), ("a", 4): (None, None, 9, "control_token"), ("a", 5): (2, " " + nines, 10 + len(nines), None), ("a", 6): (None, None, 10 + len(nines), "too_long"), ("a", 7): (None, None, 10 + len(nines), "too_long")}
+
+    @decode.decoder("shout")
+    def shout(ids):
+        import pyarrow as pa
+
+        return pa.array([None if x is None else "A" * len(x) for x in ids.to_pylist()], pa.string())
+
+    decode.JOINERS["eats"] = lambda end, part: (1, part) if end.endswith("A") else (0, part + "A")
+    got = [(r["seq"], r["delta"], r["failure"]) for r in decode.closed_groups(df.filter("seq < 2 and key = 'a'"), "shout", "eats").orderBy("seq").collect()]
+    assert got == [(0, "AAA", None), (1, None, "rewrote")]
+    decode.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM decode_groups(array(300L, 301L), 'letters')").collect()] == [("letters", 2, "op")]
+    del decode.DECODERS["shout"], decode.JOINERS["eats"]
+
+
+def test_prefix_hashes_know_texts_however_cut(spark):
+    from riverbed.operators import prefixes as P
+
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcé日\U0001f600 ") for _ in range(400))
+    rows = []
+    for key in range(4):
+        cuts = sorted(rng.sample(range(1, 400), 9))
+        rows += [(key, k, text[a:b], text[:b]) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, 400]))]
+    df = spark.createDataFrame(rows, "key long, k long, d string, so_far string")
+    got = P.prefix_hashes(df, ["key"], ["k"], F.col("d"), part_rows=7)
+    ends = {(r["chars"], r["a"], r["b"]) for r in got.filter("k = 9").collect()}
+    assert len(ends) == 1 and next(iter(ends))[0] == 400
+    whole_hash = spark.createDataFrame([(text,)], "t string").select(P.text_hash(F.col("t")).alias("h")).first()["h"]
+    assert ends == {(whole_hash["chars"], whole_hash["a"], whole_hash["b"])}
+    assert P.rewrites(df, ["key"], ["k"], F.col("d"), F.col("so_far"), 7).count() == 0
+    other = df.withColumn("so_far", F.when((F.col("key") == 2) & (F.col("k") == 5), F.concat(F.lit("x"), F.substr("so_far", F.lit(2)))).otherwise(F.col("so_far")))
+    assert [(r["key"], r["k"]) for r in P.rewrites(other, ["key"], ["k"], F.col("d"), F.col("so_far"), 7).collect()] == [(2, 5)]
+    assert P.powers(7, 11, 5).tolist() == [1, 7, 5, 2, 3]
+
+
+def test_lanes(spark):
+    from riverbed.operators import lanes as L
+
+    packets = [("a", 2000, 0.5, False), ("a", 2000, 0.6, False), ("a", 5120, 1.0, False), ("a", 5200, 2.0, True), ("b", 2559, 0.1, False), ("c", 2560, 0.1, True), ("d", 0, 0.1, True)]
+    got = [tuple(r) for r in L.single_lane(spark.createDataFrame(packets, "run_id string, end long, at double, eof boolean"), part_rows=3).orderBy("run_id", "step_id").collect()]
+    assert got == [("a", 0, 0, 2560, 1.0), ("a", 1, 2560, 5120, 1.0), ("a", 2, 5120, 5200, 2.0), ("c", 0, 0, 2560, 0.1)]
+    windows = [("r", 0, 0, 4, [1, 2, 3, 4]), ("r", 1, 2, 6, [3, 4, 5, 6]), ("r", 2, 4, 8, [5, 7, 8, 9]), ("r", 3, 7, 11, [8, 9, 1, 1]), ("r", 4, 8, 12, [1, 1, 2, 2])]
+    df = spark.createDataFrame(windows, "run_id string, k long, begin long, end long, samples array<int>").withColumn("provenance", F.lit(4)).withColumn("sha256", L.digest(F.col("samples")))
+    assert {(r["k"], r["label"]) for r in L.window_violations(df, 4, 2).collect()} == {(2, "changed"), (3, "gap"), (4, "overlap")}
