@@ -297,7 +297,10 @@ def drop_repeats(docs: DataFrame, scratch: Scratch | None = None, **how) -> Data
     marks = marks.withColumn("_hot", F.when(F.size("_hot") > 0, F.col("_hot")))
     held = scratch.save(rows.join(marks, ["doc_id", "_digest"], "left").select(*columns, "_digest", "_gone", "_hot"))
     second.end()
-    more = repeated_windows(scratch, held).groupBy("doc_id", "_digest").agg(F.collect_set(span).alias("_more"))
+    # written before the texts are joined with it, so that windows and their shuffles are gone by then
+    third = Scratch(docs.sparkSession)
+    more = scratch.save(repeated_windows(third, held).groupBy("doc_id", "_digest").agg(F.collect_set(span).alias("_more")))
+    third.end()
     touched = held.filter("_gone is not null").join(more, ["doc_id", "_digest"], "left").select(*columns, F.concat("_gone", F.coalesce("_more", F.array().cast(SPAN))).alias("_gone"))
     schema = touched.drop("_gone").withColumn("removed", F.lit("")).schema
     text = columns.index("text")
