@@ -15,19 +15,19 @@ from riverbed.llm.common import slices
 
 #: Bytes of pre-tokens for one query; a longer pre-token has a query of its own.
 QUERY_BYTES = 400_000
-#: The query is the same for all lengths. It forgets the rows of older steps where a pre-token has more bytes; for short ones keeping them is quicker.
+#: Pre-tokens of more bytes contract all places of a merge in one step, and forget the rows of older steps; for short ones, which rarely hold a merge twice, one place a step is quicker.
 ALL_STEPS = 32
 
 # A row is a token of a word: its place, id, the place after it, the id to its right (-1: none) and the code of the merge that
 # this pair allows, 2 * id + 1 for a careful merge and 2 * id for others. Each step takes a word's least code and contracts the leftmost of its pairs that allow it,
 # and without need for care all others that do not overlap, from the left: what one after another gives, as no pair that arises comes before them.
 # With USING KEY (place) only the newest row of each place is kept; rows of tokens that were contracted away are left at an older step.
-_ENCODE = """
+_LONG = """
 WITH RECURSIVE whole AS (SELECT p.word, v.id FROM pretokens p JOIN vocabulary v ON v.token = p.token),
-t(place, step, w, id, after, right_id, code) {key} AS (
+t(place, step, w, id, after, right_id, code) USING KEY (place) AS (
     SELECT s.place, 0, s.w, s.id, s.place + 1, s.right_id, m.code
     FROM start s ANTI JOIN whole USING (word) LEFT JOIN merges m ON m.pair = (s.id::BIGINT << 17) | s.right_id
-    {union}
+    UNION
     (WITH best AS (SELECT w, min(code) AS code FROM t WHERE code IS NOT NULL GROUP BY w),
      hit AS (SELECT t.w, t.place AS p, t.after AS q, t.code FROM t JOIN best b ON b.w = t.w AND b.code = t.code),
      leftmost AS (SELECT w, min(p) AS p, min(q) AS q, (min(code) >> 1)::INTEGER AS new_id, count(*) > 1 AND min(code) & 1 = 0 AS several FROM hit GROUP BY w),
@@ -45,7 +45,25 @@ t(place, step, w, id, after, right_id, code) {key} AS (
         FROM t SEMI JOIN (FROM leftmost WHERE several) m USING (w) ANTI JOIN site s ON s.p = t.place LEFT JOIN site l ON l.q = t.place LEFT JOIN site r ON r.p = t.after)
      SELECT n.place, n.step + 1, n.w, n.id, n.after, n.right_id, CASE WHEN n.changed THEN m.code ELSE n.code END
      FROM next n LEFT JOIN merges m ON m.pair = CASE WHEN n.changed THEN (n.id::BIGINT << 17) | n.right_id END)
-),
+),"""
+
+# The same for words that contract their leftmost pair of least code only, one a step. The least number of code and place together tells both.
+_SHORT = """
+WITH RECURSIVE whole AS (SELECT p.word, v.id FROM pretokens p JOIN vocabulary v ON v.token = p.token),
+t(place, step, w, id, after, right_id, code) AS (
+    SELECT s.place, 0, s.w, s.id, s.place + 1, s.right_id, m.code
+    FROM start s ANTI JOIN whole USING (word) LEFT JOIN merges m ON m.pair = (s.id::BIGINT << 17) | s.right_id
+    UNION ALL
+    (WITH least AS (SELECT w, min((code::BIGINT << 32) | place) AS k, arg_min(after, (code::BIGINT << 32) | place) AS q FROM t WHERE code IS NOT NULL GROUP BY w),
+     next AS (
+        SELECT CASE WHEN t.place = l.q THEN (l.k & 4294967295)::INTEGER ELSE t.place END AS place, t.step + 1 AS step, t.w, CASE WHEN t.place = l.q THEN (l.k >> 33)::INTEGER ELSE t.id END AS id, t.after,
+            CASE WHEN t.after = l.k & 4294967295 THEN (l.k >> 33)::INTEGER ELSE t.right_id END AS right_id, t.code, t.place = l.q OR t.after = l.k & 4294967295 AS changed
+        FROM t JOIN least l ON l.w = t.w WHERE t.place <> l.k & 4294967295)
+     SELECT n.place, n.step, n.w, n.id, n.after, n.right_id, CASE WHEN n.changed THEN m.code ELSE n.code END
+     FROM next n LEFT JOIN merges m ON m.pair = CASE WHEN n.changed THEN (n.id::BIGINT << 17) | n.right_id END)
+),"""
+
+_TOKENS = """
 done AS (SELECT w, max(step) AS step FROM t GROUP BY w),
 tokens AS (
     SELECT p.word, t.place, t.id FROM t JOIN done USING (w, step) JOIN pieces p USING (w)
@@ -107,9 +125,7 @@ class Engine:
             self._table("start", **{k: pa.array(v, pa.int32()) for k, v in (("place", np.arange(len(flat)) + w), ("w", w), ("word", np.repeat(some, lengths[some])), ("id", ids), ("right_id", right))})
             ends = np.flatnonzero(last)
             self._table("pieces", w=pa.array(np.arange(len(ends)), pa.int32()), word=pa.array(np.repeat(some, lengths[some])[ends], pa.int32()))
-            newest_only = len(words[some[-1]]) > ALL_STEPS
-            query = _ENCODE.format(key="USING KEY (place)" if newest_only else "", union="UNION" if newest_only else "UNION ALL")
-            for k, ids, decoded in self.db.execute(query).fetchall():
+            for k, ids, decoded in self.db.execute((_LONG if len(words[some[-1]]) > ALL_STEPS else _SHORT) + _TOKENS).fetchall():
                 if decoded != words[k]:  # rows are sorted by place before they are grouped; this makes sure that the groups kept the order
                     raise ValueError("decoded bytes differ from the pre-token")
                 out[k] = (ids.encode() + b" ", decoded)
