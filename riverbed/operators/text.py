@@ -68,3 +68,9 @@ def segments(df: DataFrame, text: str, limit: int, first: int | None = None) ->
         return column.fillna("").map(one)
 
     return df.select(*[c for c in df.columns if c != text], F.posexplode(split(F.col(text))).alias("pos", "segment"))
+
+
+def messages(system: Column, asked: Column, answer: Column, uncertain: Column) -> Column:
+    """Three messages of a training row: only the answer's loss counts, and not that of an uncertain one."""
+    part = lambda role, content, weight: F.struct(F.lit(role).alias("role"), content.alias("content"), weight.cast("int").alias("loss_weight"))
+    return F.array(part("system", system, F.lit(0)), part("user", asked, F.lit(0)), part("assistant", answer, F.when(F.coalesce(uncertain, F.lit(False)), 0).otherwise(1)))

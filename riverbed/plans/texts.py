@@ -77,3 +77,29 @@ def q_sft_messages(spark, sf_dir):
     short = F.length("text") < 300
     blockers = F.array_compact(F.array(F.when(F.col("asked").isNull(), F.lit("no_user")), F.when(short, F.lit("short_answer"))))
     return c.select("conv_id", "turn", "asked", F.col("text").alias("answer"), F.when(short, 0).otherwise(1).alias("loss_weight"), F.concat_ws(",", blockers).alias("blockers"))
+
+
+@query("q_message_rows", """
+WITH c AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations),
+a AS (SELECT * FROM c WHERE role = 'assistant' AND asked IS NOT NULL)
+SELECT conv_id, turn, 0 AS pos, 'system' AS role, 'Answer briefly.' AS content, 0 AS loss_weight FROM a UNION ALL SELECT conv_id, turn, 1, 'user', asked, 0 FROM a UNION ALL SELECT conv_id, turn, 2, 'assistant', text, CASE WHEN text LIKE '%?%' THEN 0 ELSE 1 END FROM a""")
+def q_message_rows(spark, sf_dir):
+    """The messages array of each training row, opened: system, user and assistant, and the weight of each one's loss."""
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("asked", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w)).filter("role = 'assistant' and asked is not null")
+    m = T.messages(F.lit("Answer briefly."), F.col("asked"), F.col("text"), F.contains("text", F.lit("?")))
+    return c.select("conv_id", "turn", F.posexplode(m).alias("pos", "m")).select("conv_id", "turn", "pos", "m.*")
+
+
+@query("q_canonical_nested", """
+SELECT o_orderkey, '{"a":{"b":[' || o_custkey || ',null],"c":{"k":"' || o_orderstatus || '","z":null}},"m":{"' || o_orderstatus || '":1,"a":' || CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE '2' END || '},"z":"' || o_orderpriority || '"}' AS json FROM orders""")
+def q_canonical_nested(spark, sf_dir):
+    """Nested values as canonical JSON: fields and keys in order at every depth, nulls kept."""
+    from riverbed.functions.canonical import canonical
+
+    none = F.lit(None).cast("string")
+    inner = F.struct(F.struct(none.alias("z"), F.col("o_orderstatus").alias("k")).alias("c"), F.array(F.col("o_custkey"), F.lit(None).cast("long")).alias("b"))
+    pairs = F.map_from_arrays(F.array(F.lit("a"), F.col("o_orderstatus")), F.array(F.when(F.col("o_orderkey") % 2 == 1, 2), F.lit(1)))
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").withColumn("x", F.struct(F.col("o_orderpriority").alias("z"), pairs.alias("m"), inner.alias("a")))
+    return o.select("o_orderkey", canonical(F.col("x"), o.schema["x"].dataType).alias("json"))

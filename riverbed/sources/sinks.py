@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BYTES = 16 << 20
@@ -37,3 +37,24 @@ def export(artifacts: dict[str, DataFrame], root: str, most_bytes: int = MOST_BY
     for name, df in artifacts.items():
         write_trace(df, f"{root}/{name}", compress=False)
     return total
+
+
+def artifact_hashes(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """artifact, files, bytes, sha256 of exported artifacts: the digest of their files' digests in the order of names. Executors read the files; a digest and a size of each are gathered."""
+    parts = None
+    for name in names:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{root}/{name}")
+        one = found.select(F.lit(name).alias("artifact"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha"))
+        parts = one if parts is None else parts.unionByName(one)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "sha"))), lambda x: x["sha"]), "\n")
+    return parts.groupBy("artifact").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sha2(joined.cast("binary"), 256).alias("sha256"))
+
+
+def export_with_manifest(artifacts: dict[str, DataFrame], counts: DataFrame, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Exports artifacts, then writes and returns their manifest beside them: the counts of manifest() and the artifacts' digests, one JSON row. A reader that finds a manifest finds all that it names."""
+    export(artifacts, root, most_bytes)
+    spark = counts.sparkSession
+    hashes = artifact_hashes(spark, root, list(artifacts)).agg(F.array_sort(F.collect_list(F.struct("artifact", "files", "bytes", "sha256"))).alias("artifacts"), F.lit(1).alias("_one"))
+    told = counts.agg(F.array_sort(F.collect_list(F.struct(*counts.columns))).alias("counts"), F.sum("samples").alias("samples"), F.lit(1).alias("_one")).join(hashes, "_one").drop("_one")  # one row each
+    told.coalesce(1).write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{root}/manifest")
+    return spark.read.schema(told.schema).json(f"{root}/manifest")

@@ -71,3 +71,15 @@ def listing(spark: SparkSession, glob: str) -> DataFrame:
 
     found = spark.read.format("binaryFile").load(glob).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size"))
     return found.select((F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("position"), "name", "size")
+
+
+def read_fixed_samples(spark: SparkSession, path: str, sha256: str, key: str, samples: int, schema: T.StructType | str) -> DataFrame:
+    """The samples of a manifest (a JSON array of records) that is fixed: ValueError unless its bytes have that digest, and it holds so many samples, each key once."""
+    got = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    if got != sha256:
+        raise ValueError(f"{path} has the digest {got}, not {sha256}")
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    n, distinct = rows.agg(F.count("*"), F.count_distinct(key)).first()
+    if n != samples or distinct != samples:
+        raise ValueError(f"{path} holds {n} samples, {distinct} of them different, not {samples}")
+    return rows
