@@ -336,7 +336,7 @@ def test_lifecycle_stream(spark):
     # a key is known as long as something comes for it, and forgotten after its time
     folder, found = tempfile.mkdtemp(prefix="spark-"), []
     source = spark.readStream.schema(lifecycle.ACTIONS).json(folder)
-    q = lifecycle.lifecycle_stream(source, 9, ttl_ms=8_000).writeStream.foreachBatch(lambda df, i: found.extend(r["us"] for r in df.collect())).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(processingTime="1 second").start()
+    q = lifecycle.lifecycle_stream(source, 9, ttl_ms=20_000).writeStream.foreachBatch(lambda df, i: found.extend(r["us"] for r in df.collect())).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(processingTime="1 second").start()
 
     def give(k):
         with open(f"{folder}/.{k}", "w") as f:
@@ -349,7 +349,7 @@ def test_lifecycle_stream(spark):
     try:
         give(1)
         give(2)
-        time.sleep(12)
+        time.sleep(25)
         give(3)
         give(4)
     finally:
