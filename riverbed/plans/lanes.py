@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from riverbed.catalog import query
 from riverbed.operators import lanes
 from riverbed.plans.scans import PART_ROWS
-from riverbed.sources.tables import table
+from riverbed.sources.tables import events, table
+from riverbed.streaming import ledger
 
 
 def packets(spark, sf_dir) -> DataFrame:
@@ -67,3 +68,45 @@ SELECT label AS run_id, k, unnest(list_filter([CASE WHEN i % 23 = 0 THEN 'size'
 def q_window_ledger(spark, sf_dir):
     """Windows that do not make one stream: a gap, an overlap, a changed sample, another size or digest each give a row."""
     return lanes.window_violations(windows(spark, sf_dir), 2 * HOP, HOP)
+
+
+AHEAD = 640
+
+
+@query("q_joint_readiness", f"""
+WITH p AS (SELECT l_orderkey AS run_id, row_number() OVER w AS n, sum((l_quantity * 100)::BIGINT) OVER (w ROWS UNBOUNDED PRECEDING) AS e FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+t AS (SELECT run_id, max(e)::BIGINT AS total, max(n) AS n, run_id % 7 <> 0 AS eof FROM p GROUP BY run_id),
+k AS (SELECT run_id, total, n, unnest(range(0, CASE WHEN eof THEN ceil(total / 2560.0) ELSE greatest(floor((total - {AHEAD}) / 2560.0), 0) END::BIGINT)) AS step_id FROM t)
+SELECT run_id, step_id::BIGINT AS step_id, (step_id * 2560)::BIGINT AS begins, least((step_id + 1) * 2560, total)::BIGINT AS processed_until,
+  CASE WHEN (step_id + 1) * 2560 + {AHEAD} > total THEN n * 0.5::DOUBLE ELSE (SELECT min(p.n) FROM p WHERE p.run_id = k.run_id AND p.e >= (step_id + 1) * 2560 + {AHEAD}) * 0.5::DOUBLE END AS ready_at FROM k""")
+def q_joint_readiness(spark, sf_dir):
+    """When each batch of both lanes is ready: its samples and those that it looks ahead have come, or the stream has ended."""
+    p = packets(spark, sf_dir)
+    w = Window.partitionBy("run_id").orderBy("at")
+    rows = p.select("run_id", F.row_number().over(w).cast("long").alias("seq"), "at", (F.col("end") - F.coalesce(F.lag("end").over(w), F.lit(0))).alias("samples"), "eof")
+    return ledger.readiness_batch(rows, ahead=AHEAD)
+
+
+def ledger_calls(spark, sf_dir) -> DataFrame:
+    """Users' views, clicks and purchases append samples, errors and signups move one of two consumers on."""
+    e = events(spark, sf_dir, "event_id", "user_id", "event_type")
+    moves = F.col("event_type").isin("error", "signup")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")).cast("long")
+    return e.select(F.col("user_id").alias("run_id"), seq.alias("seq"), F.when(moves, "advance").otherwise("append").alias("kind"), F.when(F.col("event_type") == "error", "a").when(moves, "b").alias("consumer"),
+                    F.when(moves, (F.col("event_id") % 7 + 2) * 100).otherwise((F.col("event_id") % 5 + 1) * 100).alias("samples"))
+
+
+@query("q_sample_ledger", """
+WITH RECURSIVE e AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS seq, event_type AS t, CASE WHEN event_type IN ('error', 'signup') THEN (event_id % 7 + 2) * 100 ELSE (event_id % 5 + 1) * 100 END AS n FROM events),
+r(run_id, seq, fin, a, b, kept, said) AS (
+  SELECT DISTINCT run_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::STRUCT(s BIGINT, e BIGINT)[], []::STRUCT(action VARCHAR, s BIGINT, e BIGINT, held BIGINT)[] FROM e
+  UNION ALL
+  SELECT run_id, seq, CASE WHEN stores THEN fin + n ELSE fin END, a2, b2, CASE WHEN stores THEN list_append(kept, {'s': fin, 'e': fin + n}) ELSE list_filter(kept, lambda x: x.e > least(a2, b2)) END,
+    CASE WHEN stores THEN [{'action': 'stored', 's': fin, 'e': fin + n, 'held': held + n}] WHEN appends THEN [{'action': 'refused', 's': fin, 'e': fin + n, 'held': held}]
+      ELSE list_transform(list_filter(kept, lambda x: x.e <= least(a2, b2)), lambda y: {'action': 'evicted', 's': y.s, 'e': y.e, 'held': held - coalesce(list_sum(list_transform(list_filter(kept, lambda z: z.e <= y.e), lambda v: v.e - v.s)), 0)::BIGINT}) END
+  FROM (SELECT *, appends AND held + n <= 1500 AS stores, CASE WHEN t = 'error' THEN least(fin, a + n) ELSE a END AS a2, CASE WHEN t = 'signup' THEN least(fin, b + n) ELSE b END AS b2 FROM (
+    SELECT e.*, r.* EXCLUDE (run_id, seq), t NOT IN ('error', 'signup') AS appends, coalesce(list_sum(list_transform(kept, lambda x: x.e - x.s)), 0)::BIGINT AS held FROM r JOIN e ON e.run_id = r.run_id AND e.seq = r.seq + 1)))
+SELECT run_id, seq, s.action AS action, s.s AS start, s.e AS stop, s.held AS held FROM (SELECT run_id, seq, unnest(said) AS s FROM r)""")
+def q_sample_ledger(spark, sf_dir):
+    """What becomes of users' samples between two consumers: stored, refused for want of room, evicted when the slower one has passed."""
+    return ledger.ledger_batch(ledger_calls(spark, sf_dir), ("a", "b"), 1500)

@@ -413,3 +413,47 @@ def test_lanes(spark):
     windows = [("r", 0, 0, 4, [1, 2, 3, 4]), ("r", 1, 2, 6, [3, 4, 5, 6]), ("r", 2, 4, 8, [5, 7, 8, 9]), ("r", 3, 7, 11, [8, 9, 1, 1]), ("r", 4, 8, 12, [1, 1, 2, 2])]
     df = spark.createDataFrame(windows, "run_id string, k long, begin long, end long, samples array<int>").withColumn("provenance", F.lit(4)).withColumn("sha256", L.digest(F.col("samples")))
     assert {(r["k"], r["label"]) for r in L.window_violations(df, 4, 2).collect()} == {(2, "changed"), (3, "gap"), (4, "overlap")}
+
+
+# samples as they arrive
+
+
+def test_readiness(spark):
+    """Steps leave with the packet that completes them, at once for all that it completes; the stream tells what the batch tells, and the lane alone what the other operator finds by scans."""
+    from riverbed.operators import lanes
+    from riverbed.streaming import ledger
+
+    rng = random.Random(11)
+    rows = []
+    for run in range(6):
+        sizes = [rng.choice((0, 100, 900, 2560, 6000)) for _ in range(12)]
+        rows += [(run, k, 0.5 * k, n, k == 11 and run != 3) for k, n in enumerate(sizes)]
+    rows.append((1, 12, 6.0, 50, False))
+    df = spark.createDataFrame(rows, ledger.PACKETS)
+    want = ledger.readiness_batch(df).collect()
+    as_dicts = [dict(zip(("run_id", "seq", "at", "samples", "eof"), r)) for r in sorted(rows, key=lambda r: r[1])]
+    assert streamed(spark, ledger.PACKETS, files(as_dicts, 3), ledger.readiness_stream) == sorted(map(repr, map(tuple, want)))
+    assert [tuple(r)[1] for r in want if r["step_id"] == -1] == [-1]
+    total = {run: sum(r[3] for r in rows if r[0] == run and r[1] < 12) for run in range(6)}
+    for run in range(6):
+        mine = sorted((r for r in want if r["run_id"] == run and r["step_id"] >= 0), key=lambda r: r["step_id"])
+        assert [r["step_id"] for r in mine] == list(range(len(mine)))
+        assert len(mine) == (max(0, (total[run] - 640) // 2560) if run == 3 else -(-total[run] // 2560))
+    ends = df.filter("seq < 12").withColumn("end", F.expr("sum(samples) over (partition by run_id order by seq)"))
+    alone = lanes.single_lane(ends.select(F.col("run_id").cast("string").alias("run_id"), "end", "at", "eof"))
+    assert sorted((int(r["run_id"]), r["step_id"], r["begins"], r["processed_until"], r["ready_at"]) for r in alone.collect()) == sorted(tuple(r) for r in ledger.readiness_batch(df.filter("seq < 12"), ahead=0).collect())
+
+
+def test_sample_ledger(spark):
+    from riverbed.plans import lanes as L
+    from riverbed.streaming import ledger
+
+    calls = [(1, 0, "append", None, 600), (1, 1, "append", None, 500), (1, 2, "append", None, 400), (1, 3, "advance", "a", 9000), (1, 4, "advance", "b", 600), (1, 5, "append", None, 500), (1, 6, "advance", "c", 1), (1, 7, "advance", "b", 400)]
+    got = [tuple(r)[1:] for r in ledger.ledger_batch(spark.createDataFrame(calls, ledger.CALLS), ("a", "b"), 1000).orderBy("seq").collect()]
+    # the second would take what is held to 1100: refused, so the third stands where it would have; a consumer passes no more than has come
+    assert got == [(0, "stored", 0, 600, 600), (1, "refused", 600, 1100, 600), (2, "stored", 600, 1000, 1000), (4, "evicted", 0, 600, 400), (5, "stored", 1000, 1500, 900), (6, "unknown_consumer", None, None, 900), (7, "evicted", 600, 1000, 500)]
+    table = L.ledger_calls(spark, SF)
+    want = ledger.ledger_batch(table, ("a", "b"), 1500)
+    assert {"stored", "refused", "evicted"} == {r["action"] for r in want.select("action").distinct().collect()} and want.agg(F.max("held")).first()[0] <= 1500
+    rows = [r.asDict() for r in table.orderBy("seq", "run_id").collect()]
+    assert streamed(spark, ledger.CALLS, files(rows, 3), lambda s: ledger.ledger_stream(s, ("a", "b"), 1500)) == sorted(map(repr, (tuple(r) for r in want.collect())))
