@@ -121,6 +121,12 @@ def guards() -> dict[str, Column]:
     return rules | {name: both & rule for name, rule in lanes.items()}
 
 
+def exploded(df: DataFrame, made: str, name: str, *keep: str) -> DataFrame:
+    """keep and a row for each entry of the column made, one with null where it has none. An explode runs what it is given uncompiled, so dear entries are made in a column before; and for an inner
+    one the optimizer infers a filter, which would make them again."""
+    return df.select(*keep, F.explode_outer(made).alias(name))
+
+
 def checked(batches: DataFrame) -> DataFrame:
     """batches with failures, the labels of the guards that they break."""
     return batches.withColumn("failures", F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in guards().items()])))
@@ -128,4 +134,4 @@ def checked(batches: DataFrame) -> DataFrame:
 
 def violations(batches: DataFrame) -> DataFrame:
     """session_id, turn_id, step_id, label: a row for each guard that a batch breaks."""
-    return checked(batches).select("session_id", "turn_id", "step_id", F.explode("failures").alias("label"))
+    return exploded(checked(batches), "failures", "label", "session_id", "turn_id", "step_id").filter("label is not null")

@@ -15,6 +15,11 @@ def so_far(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int, part_rows: int = 100_000) -> DataFrame:
+    """df dealt by keys to parts whose number grows with rows, so that what a task holds does not, and no core is idle where rows are small but dear. Windows and groups over these keys and more need no other shuffle."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // part_rows)), *keys)
+
+
 def sequence_gaps(df: DataFrame, keys: list[str], step: str) -> DataFrame:
     """Rows whose step is not their position from 0; expected is the position."""
     return df.withColumn("expected", (F.row_number().over(by(keys, [step])) - 1).cast("long")).filter(F.col(step) != F.col("expected"))

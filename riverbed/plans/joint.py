@@ -8,10 +8,13 @@ from pyspark.sql.window import Window
 
 from riverbed.catalog import query
 from riverbed.operators import joint as G
-from riverbed.sources.tables import events
+from riverbed.operators.sequence import dealt
+from riverbed.sources.tables import events, table
 from riverbed.streaming import context
 
 STEPS = 8
+#: Steps of a task: a batch is dear, its step is not.
+PART_ROWS = 50_000
 #: Ways to spoil a turn: the step where it happens, and the labels that this must give.
 SPOILT = {
     "source_range": (3, ["source_range"]), "invalid_time": (3, ["invalid_time"]), "started_before_ready": (3, ["started_before_ready"]), "lane_missing": (3, ["lane_missing"]), "foreign_receipt": (3, ["foreign_receipt"]),
@@ -34,11 +37,13 @@ def turns(spark, sf_dir) -> DataFrame:
     e = e.select("user_id", F.floor(F.col("n") / STEPS).alias("turn"), (F.col("n") % STEPS).cast("long").alias("step"))
     e = e.withColumn("last", F.max("step").over(Window.partitionBy("user_id", "turn")))
     kind = (F.col("user_id") * 7 + F.col("turn")) % (len(SPOILT) + 1)
-    return e.select(F.concat(F.lit("s"), F.col("user_id")).alias("session_id"), F.concat(F.lit("t"), F.col("turn")).alias("turn_id"), "step", "last", F.get(F.array(*map(F.lit, SPOILT)), kind.cast("int")).alias("fault"))
+    t = e.select(F.concat(F.lit("s"), F.col("user_id")).alias("session_id"), F.concat(F.lit("t"), F.col("turn")).alias("turn_id"), "step", "last", F.get(F.array(*map(F.lit, SPOILT)), kind.cast("int")).alias("fault"))
+    # by turn while rows are small: what is made of them is shuffled no more
+    return dealt(t, ["session_id", "turn_id"], table(spark, sf_dir, "events").count(), PART_ROWS)
 
 
-def batches(steps: DataFrame) -> DataFrame:
-    """A batch for each step. All numbers follow from the step; the fault of a turn changes one of them."""
+def batches(steps: DataFrame, *keep: str) -> DataFrame:
+    """A batch for each step, and the columns to keep. All numbers follow from the step; the fault of a turn changes one of them."""
     c = F.col
     s, final = c("step"), c("step") == STEPS - 1
 
@@ -124,7 +129,7 @@ def batches(steps: DataFrame) -> DataFrame:
         odd("invalid_time", F.lit(-1.0), odd("started_before_ready", began + 0.001, began - 0.01)).alias("input_ready_at"), began.alias("started_at"), odd("published_early", began + 0.05, began + 0.12).alias("published_at"),
         control.cast(G.CONTROL).alias("control"), odd("lane_missing", F.lit(None).cast(G.ASR), asr.cast(G.ASR)).alias("asr"), F.struct(said.cast(G.STATE).alias("state"), steps_told.alias("progress"), texts.alias("text")).alias("staged"),
     )
-    return steps.select(F.explode(F.array(made_whole)).alias("batch")).select("batch.*")
+    return G.exploded(steps.select(*keep, F.array(made_whole).alias("made")), "made", "batch", *keep).select(*keep, "batch.*")
 
 
 _TURNS = f"""
@@ -142,20 +147,17 @@ def q_joint_guards(spark, sf_dir):
 
 
 def calls(spark, sf_dir) -> DataFrame:
-    """The calls of all turns: an opening, the batches, a close and a release, and the faults that lie in their order."""
-    t = turns(spark, sf_dir)
-    one = t.filter("step = 0")
-    call = lambda df, seq, kind, reason=None: df.select("session_id", "turn_id", F.lit(seq).cast("long").alias("seq") if isinstance(seq, int) else seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), F.lit(reason).cast("string").alias("reason"), F.lit(None).cast("string").alias("payload"))
+    """The calls of all turns: an opening, the batches, a close and a release, and the faults that lie in their order. Made step by step, so that a turn's calls stay where its steps are."""
+    s, first = F.col("step_id"), F.col("step_id") == 0
     is_ = lambda name: F.col("fault").eqNullSafe(F.lit(name))
-    rows = [
-        call(one.filter(~is_("unknown_turn")), -4, "open"), call(one.filter(is_("opened_twice")), -3, "open"), call(one.filter(is_("closed_without_reason")), -2, "close", ""), call(one.filter(is_("released_active")), -1, "release"),
-        context.calls(batches(t).withColumn("at", F.col("step_id") * 2), "at"), call(t.filter(is_("closed_turn") & (F.col("step") == 3)), 5, "close", "early"),
-        call(one, 2 * STEPS, "close", "done"), call(one, 2 * STEPS + 1, "release"),
+    call = lambda seq, kind, reason=None, payload=None: F.struct(
+        (F.lit(seq) if isinstance(seq, int) else seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.lit(reason).cast("string").alias("reason"), (F.lit(None) if payload is None else payload).cast("string").alias("payload"))
+    made = [
+        F.when(first & ~is_("unknown_turn"), call(-4, "open")), F.when(first & is_("opened_twice"), call(-3, "open")), F.when(first & is_("closed_without_reason"), call(-2, "close", "")), F.when(first & is_("released_active"), call(-1, "release")),
+        call(s * 2, "batch", payload=F.col("payload")), F.when(is_("closed_turn") & (s == 3), call(5, "close", "early")), F.when(first, call(2 * STEPS, "close", "done")), F.when(first, call(2 * STEPS + 1, "release")),
     ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    rows = context.with_payload(batches(turns(spark, sf_dir), "fault"))
+    return G.exploded(rows.withColumn("calls", F.array_compact(F.array(*made))), "calls", "c", "session_id", "turn_id").select("session_id", "turn_id", "c.*")
 
 
 @query("q_context_states", f"""
@@ -173,5 +175,5 @@ UNION ALL SELECT session_id, turn_id, 2 * step, 'batch', NULL, step, array_to_st
   CASE WHEN step = {STEPS - 1} THEN ended ELSE ended + 640 END, ended, round(1.0::DOUBLE + (k - 1) * 2 * 0.16::DOUBLE + 0.02::DOUBLE, 9), CASE WHEN step % 2 = 0 THEN round(1.0::DOUBLE + step * 0.16::DOUBLE + 0.12::DOUBLE, 9) END, round(1.0::DOUBLE + step * 0.16::DOUBLE + 0.12::DOUBLE, 9) FROM p""")
 def q_context_states(spark, sf_dir):
     """What becomes of each call: the state that readers see after a batch that took effect, the label of one that did not. A spoilt batch leaves the state, so those after it are out of step."""
-    out = context.context_batch(calls(spark, sf_dir))
+    out = context.context_batch(calls(spark, sf_dir), dealt=True)
     return out.withColumns({x: F.round(x, 9) for x in ("text_available_at", "text_published_at", "published_at")})

@@ -14,17 +14,24 @@ from riverbed.streaming.folds import Fold, fold_batch, fold_stream
 CALLS = "session_id string, turn_id string, seq long, kind string, reason string, payload string"
 
 
-def calls(batches: DataFrame, seq: str = "step_id") -> DataFrame:
-    """Batches as CALLS: what is left to check needs the state before, and is a fraction of the batch."""
+#: Of a frame, what the state before decides on; that its session, turn and step are the batch's is a guard's matter.
+_FRAME = ["frame_index", "processed_until", "observed_until", "groups", "progress_at", "decision", "text", "text_available_at", "text_observed_until"]
+
+
+def with_payload(batches: DataFrame) -> DataFrame:
+    """Batches and payload, JSON of what is left to check, which needs the state before: a fraction of the batch, and of a batch that failed the labels only."""
     state, control = F.col("control.state"), F.col("control")
-    payload = F.struct(
-        "failures", "step_id", "started_at", "published_at", F.greatest("control.completed_at", "asr.completed_at").alias("done"), state["token"].alias("token"), state["accepted"].alias("accepted"),
+    left = F.struct(
+        "step_id", "started_at", "published_at", F.greatest("control.completed_at", "asr.completed_at").alias("done"), state["token"].alias("token"), state["accepted"].alias("accepted"),
         state["processed_until"].alias("cp"), state["observed_until"].alias("co"), state["generation"].alias("generation"), control["generation_after"].alias("generation_after"),
-        F.col("asr.frames").alias("frames"), F.col("staged.text").alias("closed"),
+        F.transform(F.col("asr.frames"), lambda x: F.struct(*[x[f].alias(f) for f in _FRAME])).alias("frames"), F.col("staged.text").alias("closed"),
     )
-    drop = F.transform(F.col("p.frames"), lambda x: x.dropFields("spans", "open_tokens"))
-    rows = checked(batches).withColumn("p", payload).withColumn("p", F.col("p").withField("frames", drop))
-    return rows.select("session_id", "turn_id", F.col(seq).cast("long").alias("seq"), F.lit("batch").alias("kind"), F.lit(None).cast("string").alias("reason"), F.to_json("p").alias("payload"))
+    return checked(batches).withColumn("payload", F.when(F.size("failures") > 0, F.to_json(F.struct("failures"))).otherwise(F.to_json(left)))
+
+
+def calls(batches: DataFrame, seq: str = "step_id") -> DataFrame:
+    """Batches as CALLS."""
+    return with_payload(batches).select("session_id", "turn_id", F.col(seq).cast("long").alias("seq"), F.lit("batch").alias("kind"), F.lit(None).cast("string").alias("reason"), "payload")
 
 
 class Context(Fold):
@@ -60,21 +67,22 @@ class Context(Fold):
         batch = json.loads(row.payload)
         if batch.get("failures"):
             return say(*batch["failures"])
-        if label := self.broken(state, batch):
+        if label := self.broken(state, batch, {"session_id": row.session_id, "turn_id": row.turn_id, "step_id": batch["step_id"]}):
             return say(label)
         last, text = batch["frames"][-1], state[3]
         text_at, until = (last["text_available_at"], last["text_observed_until"]) if last["text"] != text else state[5:7]
         seen = (batch["step_id"], last["text"], last["groups"], batch["token"] if "token" in batch else None, batch["accepted"], batch["cp"], batch["co"], last["processed_until"], text_at, batch["published_at"] if last["text"] != text else None, batch["published_at"])
         if len(last["text"]) > self.most_chars:
             return say("text_limit")
-        if len(json.dumps(seen, ensure_ascii=False).encode()) > self.most_bytes:
+        # a character takes six bytes at most, and all but text and token less than 1024
+        if 6 * (len(last["text"]) + len(batch.get("token") or "")) + 1024 > self.most_bytes and len(json.dumps(seen, ensure_ascii=False).encode()) > self.most_bytes:
             return say("state_limit")
         state = (seq, "open", batch["step_id"], last["text"], last["groups"], text_at, until, batch["cp"], batch["co"], last["processed_until"], batch["generation_after"])
         return state, [(seq, "batch", None, *seen)]
 
     @staticmethod
-    def broken(state: tuple, batch: dict) -> str | None:
-        """The first rule between a batch and the state before it that does not hold."""
+    def broken(state: tuple, batch: dict, own: dict) -> str | None:
+        """The first rule between a batch, whose session, turn and step are own, and the state before it that does not hold."""
         _, status, step, text, groups, text_at, until, cp, co, ap, generation = state
         frames = batch["frames"]
         if status != "open":
@@ -91,8 +99,8 @@ class Context(Fold):
                 return "text_not_appended"
             at, seen = x.get("text_available_at"), x.get("text_observed_until")
             if x["text"] != text:
-                fields = ("session_id", "turn_id", "step_id", "frame_index", "processed_until", "observed_until", "groups", "text", "text_available_at", "text_observed_until")
-                closed.append({f: x.get(f) for f in fields} | {"delta": x["text"][len(text) :], "source": SOURCE})
+                fields = ("frame_index", "processed_until", "observed_until", "groups", "text", "text_available_at", "text_observed_until")
+                closed.append(own | {f: x.get(f) for f in fields} | {"delta": x["text"][len(text) :], "source": SOURCE})
                 if at is None or not batch["started_at"] <= at <= x["progress_at"] or seen != x["observed_until"]:
                     return "text_availability"
             elif (at, seen) != (text_at, until) and not (text_at is None and at is None and not until and not seen):
@@ -103,9 +111,9 @@ class Context(Fold):
         return "published_early" if batch["published_at"] < batch["done"] else None
 
 
-def context_batch(rows: DataFrame, **limits: int) -> DataFrame:
-    """What becomes of a table of CALLS."""
-    return fold_batch(rows, Context(**limits))
+def context_batch(rows: DataFrame, dealt: bool = False, **limits: int) -> DataFrame:
+    """What becomes of a table of CALLS. dealt: the calls of a turn lie in one partition."""
+    return fold_batch(rows, Context(**limits), dealt=dealt)
 
 
 def context_stream(rows: DataFrame, ttl_ms: int | None = None, **limits: int) -> DataFrame:

@@ -53,8 +53,9 @@ class Fold(ABC):
         return schema, [*self.keys, *(part.split()[0] for part in self.output.split(", "))]
 
 
-def fold_batch(df: DataFrame, fold: Fold, horizon_ms: int | None = None) -> DataFrame:
-    """What the fold puts out for all rows of df. State runs along a key's sorted rows within their partition, batch by batch; states past their deadline at horizon_ms expire at the end."""
+def fold_batch(df: DataFrame, fold: Fold, horizon_ms: int | None = None, dealt: bool = False) -> DataFrame:
+    """What the fold puts out for all rows of df. State runs along a key's sorted rows within their partition, batch by batch; states past their deadline at horizon_ms expire at the end.
+    dealt: a key's rows lie in one partition already, and are not shuffled again."""
     schema, names = fold.names(df)
     n = len(fold.keys)
 
@@ -77,7 +78,8 @@ def fold_batch(df: DataFrame, fold: Fold, horizon_ms: int | None = None) -> Data
             yield _frame(found, names)
         yield _frame(ended(), names)
 
-    rows = df.select(*fold.keys, *fold.columns).repartition(*fold.keys).sortWithinPartitions(*fold.keys, *fold.order)
+    rows = df.select(*fold.keys, *fold.columns)
+    rows = (rows if dealt else rows.repartition(*fold.keys)).sortWithinPartitions(*fold.keys, *fold.order)
     return rows.mapInPandas(run, schema)
 
 
