@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riverbed.operators.metrics import distribution, gate
+from riverbed.operators.sequence import dealt
 
 # Decisions and control tokens of the recogniser (and, below, the labels of the rules).
 WORD, WAIT, EOS, CONTROL = 33, 32, 2, (1, 2, 32, 33)
@@ -38,7 +39,7 @@ def _broken(c: Column) -> Column:
 def audit(rows: DataFrame, dual: bool = True, source: str | None = None) -> DataFrame:
     """Violations of the rules of a trace; dual: with the recogniser's lane and the joint snapshot."""
     by_step = Window.partitionBy("case_id").orderBy("step_id")
-    told = rows.withColumn("position", F.row_number().over(by_step) - 1).withColumn("last_release", F.coalesce(F.lag("released_at").over(by_step), F.lit(0.0)))
+    told = dealt(rows, ["case_id"], rows.count()).withColumn("position", F.row_number().over(by_step) - 1).withColumn("last_release", F.coalesce(F.lag("released_at").over(by_step), F.lit(0.0)))
     rules = {
         "controller_sequence": _broken((F.col("step_id") != F.col("position")) | (F.col("control.started_at") < F.col("last_release"))),
         "release_before_controller": _broken(F.col("control.completed_at") > F.col("released_at")),
@@ -46,24 +47,30 @@ def audit(rows: DataFrame, dual: bool = True, source: str | None = None) -> Data
     }
     if not dual:
         return gate(told, ["case_id", "step_id"], rules).withColumnRenamed("failure", "label")
-    f = told.select("case_id", "step_id", "position", F.posexplode("asr.frames").alias("offset", "f")).select("case_id", "step_id", "position", "offset", "f.*")
-    by_frame = Window.partitionBy("case_id").orderBy("step_id", "offset")
-    so_far = by_frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    f = f.withColumn("before", F.coalesce(F.lag("text").over(by_frame), F.lit(""))).withColumn("closed", F.sum((F.col("decision") == WORD).cast("long")).over(so_far))
-    word, wait = F.col("decision") == WORD, F.col("decision") == WAIT
-    frame_rules = {
-        "asr_frame_index": _broken(F.col("frame_index") != F.col("position") * 2 + F.col("offset")),
-        "invalid_eos": word & ~F.coalesce(closed_group(F.col("tokens")), F.lit(False)),
-        "invalid_wait": _broken(~word & ~(wait & (F.col("tokens") == F.array(F.lit(WAIT))))),
-        "text_or_group_integrity": _broken((F.col("groups") != F.col("closed")) | ~F.col("text").startswith(F.col("before"))),
-        "wait_changed_text": wait & _broken(F.col("text") != F.col("before")),
-    }
-    frames = gate(f, ["case_id", "step_id"], frame_rules)
-    # what the frames of a step end with, carried over steps without frames
-    ends = f.groupBy("case_id", "step_id").agg(F.max_by("text", "offset").alias("end_text"), F.max("closed").alias("end_groups"))
-    s = told.join(ends, ["case_id", "step_id"], "left")
-    carried = by_step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.withColumns({"end_text": F.coalesce(F.last("end_text", True).over(carried), F.lit("")), "end_groups": F.coalesce(F.last("end_groups", True).over(carried), F.lit(0))})
+    # frames stay in their step's row: what came before the first of them, and what the last ends with, is carried from step to step, so the rows are shuffled once and joined with nothing
+    frames = F.coalesce(F.col("asr.frames"), F.array().cast(rows.select("asr.frames").schema[0].dataType))
+    before, carried = by_step.rowsBetween(Window.unboundedPreceding, -1), by_step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = lambda xs: F.when(F.exists(xs, lambda x: x["decision"].isNotNull()), F.size(F.filter(xs, lambda x: x["decision"] == WORD)).cast("long"))
+    s = told.withColumn("frames", frames).withColumn("words", words(F.col("frames"))).withColumn("end", F.when(F.size("frames") > 0, F.struct(F.element_at("frames", -1)["text"].alias("text"))))
+    s = s.withColumns({
+        "before_text": F.coalesce(F.last("end", True).over(before)["text"], F.lit("")), "before_words": F.sum("words").over(before),
+        "end_text": F.coalesce(F.last("end.text", True).over(carried), F.lit("")), "end_groups": F.coalesce(F.sum("words").over(carried), F.lit(0)),
+    })
+
+    def frame_labels(x: Column, i: Column) -> Column:
+        so_far = words(F.slice("frames", 1, i + 1))
+        closed = F.when(so_far.isNull(), F.col("before_words")).otherwise(so_far + F.coalesce("before_words", F.lit(0)))
+        text = F.when(i == 0, F.col("before_text")).otherwise(F.coalesce(F.get("frames", i - 1)["text"], F.lit("")))
+        word, wait = x["decision"] == WORD, x["decision"] == WAIT
+        frame_rules = {
+            "asr_frame_index": _broken(x["frame_index"] != F.col("position") * 2 + i),
+            "invalid_eos": word & ~F.coalesce(closed_group(x["tokens"]), F.lit(False)),
+            "invalid_wait": _broken(~word & ~(wait & (x["tokens"] == F.array(F.lit(WAIT))))),
+            "text_or_group_integrity": _broken((x["groups"] != closed) | ~x["text"].startswith(text)),
+            "wait_changed_text": wait & _broken(x["text"] != text),
+        }
+        return F.array(*[F.when(c, F.lit(k)) for k, c in frame_rules.items()])
+
     done, published, snap = F.greatest("control.completed_at", "asr.completed_at"), F.col("snapshot.published_at"), F.col("snapshot")
     joint = (
         (snap["step_id"] == F.col("position")) & (snap["text"] == F.col("end_text")) & (snap["groups"] == F.col("end_groups")) & snap["state_token"].eqNullSafe(F.col("control.state_token"))
@@ -77,7 +84,8 @@ def audit(rows: DataFrame, dual: bool = True, source: str | None = None) -> Data
         "publication_order": _broken(~((done <= published) & (published <= F.col("released_at")) & (F.col("released_at") <= F.col("read_at")))),
         "invalid_joint_snapshot": _broken(~joint),
     }
-    return gate(s, ["case_id", "step_id"], rules).unionByName(frames).withColumnRenamed("failure", "label")
+    labels = F.concat(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), F.flatten(F.transform("frames", frame_labels)))
+    return s.select("case_id", "step_id", F.array_compact(labels).alias("labels")).select("case_id", "step_id", F.explode_outer("labels").alias("label")).filter("label is not null")
 
 
 def incomplete_cases(rows: DataFrame, planned: DataFrame, batch: int = 2560) -> DataFrame:
