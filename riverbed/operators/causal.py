@@ -30,16 +30,19 @@ def seen_events(decisions: DataFrame, events: DataFrame) -> DataFrame:
 
 def visibility(decisions: DataFrame, events: DataFrame) -> DataFrame:
     """What a decision may read: known events up to read_ms, each once, never a script, one front-end row at least; a controller sees no analysis but in its own scope."""
-    s = seen_events(decisions, events)
-    front = s.filter("e_kind = 'frontend'").select(*KEYS).distinct()
+    # an entry of its own (pos 0) stands for the decision, seen or not, so that one join and one count tell all of its labels
+    s = seen_events(decisions.withColumn("seen", F.concat(F.array(F.lit(None).cast("string")), F.coalesce("seen", F.array().cast("array<string>")))), events)
+    entry = F.col("pos") > 0
+    rules = {
+        "unknown_event": F.col("e_at_ms").isNull(), "future_event": F.col("e_at_ms") > F.col("read_ms"), "script_visible": F.col("e_kind") == "script",
+        "analysis_visible": (F.col("module") == "controller") & (F.col("e_kind") == "analysis") & ~F.col("scope").eqNullSafe(F.lit("future_control")),
+    }
+    n = s.groupBy(*KEYS).agg(*[F.count_if(entry & c).alias(k) for k, c in rules.items()], F.count_if(~entry).alias("rows"), F.count_if(entry & (F.col("e_kind") == "frontend")).alias("front"))
+    n = n.withColumn("no_frontend", F.when(F.col("front") == 0, F.col("rows")).otherwise(0))
+    labels = F.flatten(F.array(*[F.array_repeat(F.lit(k), F.col(k).cast("int")) for k in (*rules, "no_frontend")]))
     return _all([
-        _label(decisions.filter(F.size(F.array_distinct("seen")) < F.size("seen")), "duplicate_seen"),
-        _label(s.filter("e_at_ms is null"), "unknown_event"),
-        _label(s.filter("e_at_ms > read_ms"), "future_event"),
-        _label(s.filter("e_kind = 'script'"), "script_visible"),
-        _label(decisions.join(front, KEYS, "left_anti"), "no_frontend"),
-        _label(s.filter("module = 'controller' and e_kind = 'analysis' and not (scope <=> 'future_control')"), "analysis_visible"),
-        _label(decisions.filter("finish_ms < read_ms"), "finished_before_read"),
+        _label(decisions.filter(F.size(F.array_distinct("seen")) < F.size("seen")), "duplicate_seen"), _label(decisions.filter("finish_ms < read_ms"), "finished_before_read"),
+        n.select(*KEYS, F.explode(labels).alias("label")),
     ])
 
 
