@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from riverbed.operators.causal import KEYS
 from riverbed.operators.metrics import gate
+from riverbed.operators.sequence import dealt
 
 # States, phases, actions, and the fields that a module's targets may have.
 STATES = ["user_idle", "user_nonidle", "user_incomplete", "user_complete", "user_backchannel"]
@@ -40,29 +41,35 @@ def _told(df: DataFrame, rules: dict[str, Column], keys: list[str] = KEYS) -> Da
 def target_legality(decisions: DataFrame, events: DataFrame) -> DataFrame:
     """(source_id, branch_id, id, label) of targets that their module, or what the decision had seen by then, does not allow."""
     e = events.select(*BRANCH, F.col("id").alias("e_id"), F.struct(*[c for c in events.columns if c not in (*BRANCH, "id")]).alias("e"))
-    s = decisions.select(*KEYS, F.posexplode("seen").alias("pos", "e_id"), F.struct("response_key", "output_id").alias("d")).join(e, [*BRANCH, "e_id"])
-    place = F.struct(F.col("e.at_ms").alias("at"), (-F.col("pos")).alias("p"))
-    current = s.filter("e.kind = 'frontend'").groupBy(*KEYS).agg(F.max_by(F.struct("e_id", "e.effective_complete"), place).alias("current"))
-    any_of = lambda c: F.coalesce(F.bool_or(_is(c)), F.lit(False))
-    kind = F.col("e.kind")
-    told = s.join(current, KEYS, "left").groupBy(*KEYS).agg(
+    module, action, scope = F.col("module"), F.col("action"), F.col("scope")
+    first, second = module == "layer1", module == "layer2"
+    # only these look at events: an entry for each that was seen, and one (pos -1) for the decision itself, which meets its publication. One join and one group tell all.
+    looks = decisions.filter(_is(second | (first & action.isin("speak", "request_thinking", "continue_expression"))))
+    entries = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.when(second, F.col("publication")).alias("e_id"))), F.transform(F.coalesce("seen", F.array().cast("array<string>")), lambda x, i: F.struct(i.alias("pos"), x.alias("e_id"))))
+    own = F.struct("module", "action", "purpose", "analysis", "read_ms", "finish_ms")
+    s = looks.select(*KEYS, F.struct("response_key", "output_id").alias("d"), own.alias("own"), F.explode(entries).alias("x")).select(*KEYS, "d", F.when(F.col("x.pos") < 0, F.col("own")).alias("own"), "x.*")
+    s = dealt(s.join(e, [*BRANCH, "e_id"], "left"), KEYS, decisions.count())
+    kind, seen, at = F.col("e.kind"), F.col("pos") >= 0, F.struct(F.col("e.at_ms").alias("at"), (-F.col("pos")).alias("p"))
+    any_of = lambda c: F.coalesce(F.bool_or(_is(seen & c)), F.lit(False))
+    told = s.groupBy(*KEYS).agg(
+        F.max_by(F.struct("e_id", "e.effective_complete"), F.when(seen & (kind == "frontend"), at)).alias("current"),
         any_of((kind == "output") & (F.col("e.response_key") == F.col("d.response_key"))).alias("answered"),
-        any_of((kind == "controller") & (F.col("e.basis_frontend") == F.col("current.e_id")) & (F.col("e.intervention") == OPPORTUNITY)).alias("opportunity"),
+        F.collect_set(F.when(seen & (kind == "controller") & (F.col("e.intervention") == OPPORTUNITY), F.col("e.basis_frontend"))).alias("opportunities"),
         any_of((kind == "output") & (F.col("e.output_id") == F.col("d.output_id"))).alias("continued"),
         any_of((kind == "runtime") & (F.col("e.runtime") == "cancel_confirmed") & (F.col("e.output_id") == F.col("d.output_id"))).alias("cancelled"),
+        F.collect_list(F.when(seen & (kind == "task"), F.struct("e.task_id", F.struct("e.at_ms", "pos").alias("at"), "e.state"))).alias("tasks"),
+        F.collect_list(F.when(~seen, F.struct("own", F.col("e").alias("p")))).alias("rows"),
     )
-    # the last seen state of each task
-    tasks = s.filter("e.kind = 'task'").groupBy(*KEYS, "e.task_id").agg(F.max_by("e.state", F.struct("e.at_ms", "pos")).alias("state"))
-    active = tasks.groupBy(*KEYS).agg(F.bool_or(F.col("state") == "active").alias("active"))
-    published = e.select(*BRANCH, F.col("e_id").alias("publication"), F.col("e").alias("p"))
-    d = decisions.join(current, KEYS, "left").join(told, KEYS, "left").join(active, KEYS, "left").join(published, [*BRANCH, "publication"], "left")
-    module, action, scope = F.col("module"), F.col("action"), F.col("scope")
+    # active: the last seen state of a task is
+    last = lambda x: ~F.exists("tasks", lambda y: y["task_id"].eqNullSafe(x["task_id"]) & (y["at"] > x["at"]))
+    told = told.withColumn("active", F.exists("tasks", lambda x: _is(x["state"] == "active") & last(x))).withColumn("opportunity", F.array_contains("opportunities", F.col("current.e_id")))
+    d = told.select(*KEYS, F.explode("rows").alias("r"), "current", "answered", "opportunity", "continued", "cancelled", "active").select(*KEYS, "r.own.*", "r.p", "current", "answered", "opportunity", "continued", "cancelled", "active")
     allowed = F.lit(False)
     for name, fields in FIELDS.items():
         allowed = F.when(module == name, F.size(F.array_except("fields", F.array(*map(F.lit, fields)))) == 0).otherwise(allowed)
-    controller, first, second = module == "controller", module == "layer1", module == "layer2"
+    controller, ordinary, clarifies = module == "controller", first & (action == "speak") & (F.col("purpose") == "ordinary"), first & (action == "speak") & (F.col("purpose") == "clarification")
     p = F.col("p")
-    return _told(d, {
+    by_itself = _told(decisions, {
         "unknown_module": ~module.isin(list(FIELDS)),
         "finished_before_read": F.col("finish_ms") < F.col("read_ms"),
         "foreign_fields": ~allowed,
@@ -70,21 +77,23 @@ def target_legality(decisions: DataFrame, events: DataFrame) -> DataFrame:
         "silent_uncertainty": controller & F.col("user_state").isNull() & ~_is(F.col("uncertain")),
         "intervention_scope": controller & F.array_contains("fields", "intervention") & ~scope.eqNullSafe(F.lit(CONTROL_SCOPE)),
         "unknown_action": first & ~_is(action.isin(ACTIONS)),
-        "answer_without_complete": first & (action == "speak") & (F.col("purpose") == "ordinary") & ~_is(F.col("current.effective_complete")),
-        "answered_again": first & (action == "speak") & (F.col("purpose") == "ordinary") & F.col("answered"),
-        "clarification_scope": first & (action == "speak") & (F.col("purpose") == "clarification") & ~scope.eqNullSafe(F.lit(CLARIFICATION_SCOPE)),
-        "clarification_without_control": first & (action == "speak") & (F.col("purpose") == "clarification") & ~_is(F.col("opportunity")),
+        "clarification_scope": clarifies & ~scope.eqNullSafe(F.lit(CLARIFICATION_SCOPE)),
+        "internal_text": first & action.isin("wait", "request_thinking") & F.array_contains("fields", "text"),
+        "empty_analysis": second & (F.coalesce(F.col("analysis"), F.lit("")) == ""),
+    })
+    return by_itself.unionByName(_told(d, {
+        "answer_without_complete": ordinary & ~_is(F.col("current.effective_complete")),
+        "answered_again": ordinary & F.col("answered"),
+        "clarification_without_control": clarifies & ~_is(F.col("opportunity")),
         "requested_while_active": first & (action == "request_thinking") & _is(F.col("active")),
         "continued_without_output": first & (action == "continue_expression") & ~_is(F.col("continued")),
         "continued_cancelled": first & (action == "continue_expression") & _is(F.col("cancelled")),
-        "internal_text": first & action.isin("wait", "request_thinking") & F.array_contains("fields", "text"),
-        "empty_analysis": second & (F.coalesce(F.col("analysis"), F.lit("")) == ""),
         "no_publication": second & ~(_is(p["kind"] == "analysis")),
         "other_analysis": second & ~p["analysis"].eqNullSafe(F.col("analysis")),
         "other_read_time": second & ~p["read_ms"].eqNullSafe(F.col("read_ms")),
         "other_basis": second & ~p["basis_frontend"].eqNullSafe(F.col("current.e_id")),
         "other_finish_time": second & ~p["finished_ms"].eqNullSafe(F.col("finish_ms")),
-    })
+    }))
 
 
 def event_rules(events: DataFrame) -> DataFrame:
@@ -108,33 +117,37 @@ def event_rules(events: DataFrame) -> DataFrame:
     told = met.groupBy(*KEYS, "heard_any").agg(F.coalesce(F.bool_or(earlier), F.lit(False)).alias("some"), F.coalesce(F.bool_or((F.col("o_at") > F.col("at_ms")) & (F.col("o_phase") != "closed")), F.lit(False)).alias("reused")).join(last, KEYS, "left")
     cancelled = _told(told, {"cancelled_without_output": ~F.col("some"), "cancel_lost_history": F.col("some") & ~F.col("heard_any").eqNullSafe(F.col("last_heard")), "cancelled_output_reused": F.col("reused")})
     basis = events.select(*BRANCH, F.col("id").alias("basis_frontend"), F.struct("kind", "at_ms").alias("basis"))
-    e = events.withColumns({
+    met = events.filter(is_analysis).select(*KEYS, "read_ms", "basis_frontend").join(basis, [*BRANCH, "basis_frontend"], "left")
+    based = _told(met, {"unknown_basis": F.col("basis").isNull(), "future_basis": F.col("basis").isNotNull() & ~_is((F.col("basis.kind") == "frontend") & (F.col("basis.at_ms") <= F.col("read_ms")))})
+    # dealt by branch once, with the columns of these rules only: all windows lie within it
+    e = dealt(events.select(*KEYS, "at_ms", "kind", "task_id", "state", "output_id", "generated", "played", "version"), BRANCH, events.count())
+    e = e.withColumns({
         "task_state": before("state", task, is_task), "times": F.row_number().over(Window.partitionBy(*KEYS).orderBy("at_ms", "kind")),
         "versions": F.count_if(is_analysis).over(task.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         "generated_before": before("generated", output, is_output), "played_before": before("played", output, is_output),
-    }).withColumn("open_before", open_before).join(basis, [*BRANCH, "basis_frontend"], "left")
+    }).withColumn("open_before", open_before)
     played = F.coalesce("played", F.lit(""))
-    return _told(e, {
-        "event_repeated": F.col("times") > 1,
+    by_itself = _told(events, {
         "negative_time": F.col("at_ms") < 0,
         "unknown_state": (kind == "frontend") & ~_is(F.col("raw_state").isin(STATES)),
         "ready_after_published": (kind == "frontend") & (F.col("ready_ms") > F.col("at_ms")),
         "future_audio": (kind == "frontend") & (F.col("observed_ms") > F.col("ready_ms")),
         "false_complete": (kind == "frontend") & F.col("effective_complete") & ~F.col("raw_state").eqNullSafe(F.lit("user_complete")),
         "unknown_task_state": is_task & ~_is(F.col("state").isin(TASK_STATES)),
-        "two_active_tasks": is_task & (F.col("state") == "active") & (F.col("open_before") > 0),
-        "closed_inactive_task": is_task & (F.col("state") != "active") & ~F.col("task_state").eqNullSafe(F.lit("active")),
-        "analysis_outside_task": is_analysis & ~F.col("task_state").eqNullSafe(F.lit("active")),
         "analysis_times": is_analysis & ~_is((F.col("read_ms") <= F.col("finished_ms")) & (F.col("finished_ms") <= F.col("at_ms"))),
-        "unknown_basis": is_analysis & F.col("basis").isNull(),
-        "future_basis": is_analysis & F.col("basis").isNotNull() & ~_is((F.col("basis.kind") == "frontend") & (F.col("basis.at_ms") <= F.col("read_ms"))),
-        "analysis_version": is_analysis & (F.col("version") != F.col("versions")),
         "unknown_phase": is_output & ~_is(F.col("phase").isin(PHASES)),
         "heard_differs": is_output & ~F.col("heard_any").eqNullSafe(played != ""),
         "played_not_generated": is_output & ~F.col("generated").startswith(played),
+    })
+    return _told(e, {
+        "event_repeated": F.col("times") > 1,
+        "two_active_tasks": is_task & (F.col("state") == "active") & (F.col("open_before") > 0),
+        "closed_inactive_task": is_task & (F.col("state") != "active") & ~F.col("task_state").eqNullSafe(F.lit("active")),
+        "analysis_outside_task": is_analysis & ~F.col("task_state").eqNullSafe(F.lit("active")),
+        "analysis_version": is_analysis & (F.col("version") != F.col("versions")),
         "generated_rewritten": is_output & ~F.col("generated").startswith(F.col("generated_before")),
         "played_rewritten": is_output & ~played.startswith(F.col("played_before")),
-    }).unionByName(cancelled)
+    }).unionByName(by_itself).unionByName(based).unionByName(cancelled)
 
 
 def generation_rules(decisions: DataFrame, events: DataFrame) -> DataFrame:
