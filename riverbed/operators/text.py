@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A sentence mark with the white space after it, or at the end of the text.
 BOUNDARY = r"[.!?](?:\s+|$)"
@@ -55,19 +57,40 @@ def segment_ends(text: str, limit: int, first: int, final: bool = True) -> list[
     return ends
 
 
-def segments(df: DataFrame, text: str, limit: int, first: int | None = None) -> DataFrame:
-    """All segments that are not blank, in order (pos from 0). Each cut depends on the one before, so a small kernel runs along each text, over Arrow batches."""
-    start = limit if first is None else first
-
-    @F.pandas_udf("array<string>")
-    def split(column: pd.Series) -> pd.Series:
-        def one(t: str) -> list[str]:
-            ends = segment_ends(t, limit, start)
-            return [s for s in (t[a:b].strip() for a, b in zip([0, *ends], ends)) if s]
+#: Characters of segments that a worker holds before it passes them on.
+HELD = 1 << 20
 
-        return column.fillna("").map(one)
 
-    return df.select(*[c for c in df.columns if c != text], F.posexplode(split(F.col(text))).alias("pos", "segment"))
+def segments(df: DataFrame, text: str, limit: int, first: int | None = None) -> DataFrame:
+    """All segments that are not blank, in order (pos from 0). Each cut depends on the one before, so a small kernel runs along each text, over Arrow batches; it passes on segments by HELD characters,
+    so that what Python holds grows with a text, not with a batch of them."""
+    start = limit if first is None else first
+    kept = [c for c in df.columns if c != text]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest, texts = batch.select(kept), batch.column(text)
+            found: list[tuple[int, int, str]] = []
+
+            def out() -> pa.RecordBatch:
+                rows, pos, parts = zip(*found) if found else ((), (), ())
+                return pa.RecordBatch.from_arrays([*rest.take(pa.array(rows, pa.int64())).columns, pa.array(pos, pa.int32()), pa.array(parts, pa.string())], [*kept, "pos", "segment"])
+
+            held = 0
+            for k in range(batch.num_rows):
+                t, at, pos = texts[k].as_py() or "", 0, 0
+                for end in segment_ends(t, limit, start):
+                    if s := t[at:end].strip():
+                        found.append((k, pos, s))
+                        pos, held = pos + 1, held + len(s)
+                    at = end
+                    if held >= HELD:
+                        yield out()
+                        found, held = [], 0
+            yield out()
+
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("pos", T.IntegerType()), T.StructField("segment", T.StringType())])
+    return df.select(*kept, text).mapInArrow(split, schema)
 
 
 def messages(system: Column, asked: Column, answer: Column, uncertain: Column) -> Column:

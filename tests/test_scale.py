@@ -84,5 +84,5 @@ def test_segments_by_portions(spark, monkeypatch):
     held = text.segments.__globals__["HELD"]
     monkeypatch.setattr(text, "HELD", 10)
     assert [tuple(r) for r in text.segments(df, "t", 40, 5).collect()] == whole and held > 10
-    assert [r[1] for r in whole if r[0] == 1] == list(range(50)) and [len(r[2]) for r in whole if r[0] == 3] == [5, 40, 40, 10]
+    assert [r[1] for r in whole if r[0] == 1] == list(range(51)) and [len(r[2]) for r in whole if r[0] == 3] == [5, 40, 40, 10]
     assert "MapInArrow" in executed(text.segments(df, "t", 40, 5))
