@@ -9,6 +9,7 @@ from riverbed.operators.metrics import gate
 from riverbed.operators.rules import broken
 from riverbed.operators.scans import asof_scan
 from riverbed.operators.sequence import by
+from riverbed.sources.scratch import Tables
 
 BATCH = 2560
 
@@ -19,6 +20,8 @@ def single_lane(packets: DataFrame, batch: int = BATCH, part_rows: int = 1_000_0
     A step is ready with the first packet that ends at or beyond what it needs, and needs no samples ahead; the last step is ready with the end of the stream. A run
     whose end has not come has full steps only. Packets and steps are one sorted sequence of places, so no pairs are made.
     """
+    # written once: they are read for the totals, the count, the ranges and the rows
+    packets = Tables(packets.sparkSession).save(packets.select("run_id", "end", "at", "eof"))
     total = packets.groupBy("run_id").agg(F.max("end").alias("total"), F.bool_or("eof").alias("eof"), F.max(F.when(F.col("eof"), F.col("at"))).alias("ended"))
     n = F.when(F.col("eof"), F.ceil(F.col("total") / batch)).otherwise(F.floor(F.col("total") / batch)).cast("long")
     steps = total.filter(n > 0).select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("step_id"), "total", "ended")

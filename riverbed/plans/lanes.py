@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from riverbed.catalog import query
 from riverbed.operators import lanes
 from riverbed.plans.scans import PART_ROWS
+from riverbed.sources.scratch import Tables
 from riverbed.sources.tables import events, table
 from riverbed.streaming import ledger
 
@@ -40,7 +41,8 @@ WITH {_STEPS}, j AS (SELECT run_id, step_id, processed_until + CASE WHEN run_id
 SELECT coalesce(s.run_id, j.run_id) AS run_id, coalesce(s.step_id, j.step_id)::BIGINT AS step_id, CASE WHEN x IS NULL THEN 'only_in_lane' WHEN processed_until IS NULL THEN 'missing_in_lane' ELSE 'behind' END AS label FROM s FULL JOIN j ON s.run_id = j.run_id AND s.step_id = j.step_id WHERE x IS NULL OR processed_until IS NULL OR processed_until < x""")
 def q_lane_surplus(spark, sf_dir):
     """Steps that a lane alone delivers and a joint run, cut short for some orders, lacks; and those that it lacks or is behind in."""
-    lane = lanes.single_lane(packets(spark, sf_dir), part_rows=PART_ROWS)
+    # written once: the joint run is made of it twice more
+    lane = Tables(spark).save(lanes.single_lane(packets(spark, sf_dir), part_rows=PART_ROWS))
     joint = lane.filter("not (run_id % 5 = 0 and step_id >= 2)").select("run_id", "step_id", F.expr("processed_until + if(run_id % 11 = 0 and step_id = 1, 5, 0)").alias("processed_until"))
     more = lane.filter("run_id % 13 = 0 and step_id = 0").select("run_id", F.lit(1000).cast("long").alias("step_id"), F.lit(0).cast("long").alias("processed_until"))
     return lanes.surplus(lane, joint.unionByName(more))
