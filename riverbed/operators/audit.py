@@ -52,8 +52,8 @@ def audit(rows: DataFrame, dual: bool = True, source: str | None = None) -> Data
     before, carried = by_step.rowsBetween(Window.unboundedPreceding, -1), by_step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     words = lambda xs: F.when(F.exists(xs, lambda x: x["decision"].isNotNull()), F.size(F.filter(xs, lambda x: x["decision"] == WORD)).cast("long"))
     s = told.withColumn("frames", frames).withColumn("words", words(F.col("frames"))).withColumn("end", F.when(F.size("frames") > 0, F.struct(F.element_at("frames", -1)["text"].alias("text"))))
+    s = s.withColumn("before_text", F.coalesce(F.last("end", True).over(before)["text"], F.lit(""))).withColumn("before_words", F.sum("words").over(before))
     s = s.withColumns({
-        "before_text": F.coalesce(F.last("end", True).over(before)["text"], F.lit("")), "before_words": F.sum("words").over(before),
         "end_text": F.coalesce(F.last("end.text", True).over(carried), F.lit("")), "end_groups": F.coalesce(F.sum("words").over(carried), F.lit(0)),
     })
 
