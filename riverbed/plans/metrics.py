@@ -9,8 +9,8 @@ from riverbed.catalog import query
 from riverbed.functions.scalars import clamp_low
 from riverbed.operators import metrics as M
 from riverbed.operators.joins import asof
-from riverbed.operators.quantiles import exact_quantiles
-from riverbed.operators.sequence import by
+from riverbed.operators.quantiles import PART_ROWS, exact_quantiles
+from riverbed.operators.sequence import by, dealt
 from riverbed.sources.tables import events, table
 
 DAY, HOUR = 86_400_000_000, 3_600_000_000
@@ -50,9 +50,9 @@ def q_distribution_empty(spark, sf_dir):
 WITH g AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE AS gap FROM events)
 SELECT user_id, count(gap) AS n, round(quantile_cont(gap, 0.5), 3) AS p50, round(quantile_cont(gap, 0.95), 3) AS p95, max(gap) AS max FROM g GROUP BY 1""")
 def q_gap_distribution(spark, sf_dir):
-    e = events(spark, sf_dir, "event_id", "user_id")
+    e = dealt(events(spark, sf_dir, "event_id", "user_id"), ["user_id"], table(spark, sf_dir, "events").count(), PART_ROWS)
     gap = (F.col("us") - F.lag("us").over(by(["user_id"], ["us", "event_id"]))).cast("double")
-    return exact_quantiles(e.select("user_id", gap.alias("gap")), ["user_id"], "gap", {"p50": 0.5, "p95": 0.95}, 3)
+    return exact_quantiles(e.select("user_id", gap.alias("gap")), ["user_id"], "gap", {"p50": 0.5, "p95": 0.95}, 3, dealt=True)
 
 
 @query("q_value_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

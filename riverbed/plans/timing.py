@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riverbed.catalog import query
 from riverbed.operators import timing as T
-from riverbed.sources.tables import events
+from riverbed.operators.sequence import by, dealt
+from riverbed.sources.tables import events, table
+
+#: Steps that a task takes; each has about twenty measures.
+PART_STEPS = 25_000
 
 
 def trace(spark, sf_dir) -> DataFrame:
-    """Steps whose durations follow from value and event_id; errors are not published, signups have no snapshot."""
+    """Steps whose durations follow from value and event_id; errors are not published, signups have no snapshot. They are dealt by run."""
     c = F.col
-    e = events(spark, sf_dir, "event_id", "user_id", "event_type", "value").withColumn("step_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")) - 1).cast("long"))
+    e = events(spark, sf_dir, "event_id", "user_id", "event_type", "value").withColumn("run_id", F.concat(F.lit("u"), "user_id")).drop("user_id")
+    e = dealt(e, ["run_id"], table(spark, sf_dir, "events").count(), PART_STEPS).withColumn("step_id", (F.row_number().over(by(["run_id"], ["us", "event_id"])) - 1).cast("long"))
     tick = lambda n: (c("event_id") % n) / 1e3
     e = e.withColumn("ready", c("step_id") * 0.16).withColumn("began", c("ready") + c("value") / 1e3).withColumn("released", c("ready") + 0.2 + tick(31))
     event = lambda kind, took, name=None, token=None, needed=None, samples=None: F.struct(
@@ -32,7 +36,7 @@ def trace(spark, sf_dir) -> DataFrame:
 
     public = c("event_type") != "error"
     return e.select(
-        F.concat(F.lit("u"), c("user_id")).alias("run_id"), "step_id", c("ready").alias("input_ready_at"), c("released").alias("released_at"), F.when(public, c("released") - 0.01).alias("published_at"), F.when(public, c("value") / 1e6).alias("commit_seconds"),
+        "run_id", "step_id", c("ready").alias("input_ready_at"), c("released").alias("released_at"), F.when(public, c("released") - 0.01).alias("published_at"), F.when(public, c("value") / 1e6).alias("commit_seconds"),
         (c("value") * 10).alias("main_lag_ms"), (c("value") * 10 + 5).alias("observed_lag_ms"), F.when(c("event_type") != "signup", c("value") * 7).alias("asr_lag_ms"),
         F.struct(c("began").alias("started_at"), (c("began") + tick(97)).alias("completed_at"), (c("began") + tick(13)).alias("state_available_at"), happened.alias("events")).alias("control"),
         F.array(frame(0), frame(1)).alias("frames"), F.create_map(F.lit("controller"), tick(11), F.lit("asr"), tick(19)).alias("waits"),

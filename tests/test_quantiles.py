@@ -2,9 +2,11 @@
 
 import math
 import random
+import re
 
 import pytest
 
+from riverbed.operators import quantiles as Q
 from riverbed.operators.quantiles import exact_quantiles
 
 
@@ -38,3 +40,23 @@ def test_exact_quantiles(spark, few, known):
 
 def test_no_rows(spark):
     assert exact_quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", {"p50": 0.5}).count() == 0
+
+
+def test_groups_of_few_rows_are_sorted(spark, monkeypatch):
+    """No rank is looked for in groups of few rows, however many they are: no join, one shuffle, to parts whose number grows with the rows; none if they are dealt already."""
+    monkeypatch.setattr(Q, "PART_ROWS", 100, raising=False)
+    df = spark.range(2000).selectExpr("id % 300 as k", "double(id * 7919 % 1000) as v")
+    plan = exact_quantiles(df, ["k"], "v", {"p50": 0.5}, known=0)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and re.search(r"hashpartitioning\(k#\d+L?, 20\)", plan)
+    dealt = exact_quantiles(df.repartition(3, "k"), ["k"], "v", {"p50": 0.5}, known=0, dealt=True)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    values = {k: [i * 7919 % 1000 for i in range(k, 2000, 300)] for k in range(300)}
+    assert {r["k"]: (r["n"], r["p50"], r["max"]) for r in dealt.collect()} == {k: (len(vs), plain(vs, 0.5), max(vs)) for k, vs in values.items()}
+
+
+def test_few_and_many_rows_beside_nothing(spark):
+    """Groups that are sorted, one whose ranks are looked for and those without a value, in one table; each once."""
+    rows = [("large", float(i * 37 % 101)) for i in range(101)] + [("small", 2.0), ("small", 1.0), ("small", None), (None, 5.0), ("none", None), ("nan", float("nan"))]
+    for known in (100_000, 0):
+        got = exact_quantiles(spark.createDataFrame(rows, "k string, v double").repartition(3), ["k"], "v", {"p50": 0.5, "p95": 0.95}, None, 10, known).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted([("large", 101, 50.0, 95.0, 100.0), ("small", 2, 1.5, 1.95, 2.0), (None, 1, 5.0, 5.0, 5.0), ("none", 0, None, None, None), ("nan", 0, None, None, None)], key=repr)

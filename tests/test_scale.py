@@ -2,13 +2,17 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from riverbed import catalog
 from riverbed.operators import audit, causal, lanes, targets, text
 from riverbed.operators import joint as G
+from riverbed.operators import timing as T
 from riverbed.plans import corpora as L
 from riverbed.plans import joint as P
 from riverbed.plans import lanes as PL
 from riverbed.plans import load_all
+from riverbed.plans import timing as PT
 from riverbed.sources.scratch import Tables
 
 load_all()
@@ -86,3 +90,19 @@ def test_segments_by_portions(spark, monkeypatch):
     assert [tuple(r) for r in text.segments(df, "t", 40, 5).collect()] == whole and held > 10
     assert [r[1] for r in whole if r[0] == 1] == list(range(51)) and [len(r[2]) for r in whole if r[0] == 3] == [5, 40, 40, 10]
     assert "MapInArrow" in executed(text.segments(df, "t", 40, 5))
+
+
+def test_measures_are_sorted_where_they_are_made(spark, monkeypatch):
+    """Steps are dealt by run once, to parts whose number grows with the steps; their measures, twenty a step, are not shuffled or joined."""
+    monkeypatch.setattr(PT, "PART_STEPS", 50, raising=False)
+    plan = executed(catalog.QUERIES["q_timing_distributions"](spark, SF))
+    assert plan.count("Exchange") == 1 and "Join" not in plan and re.search(r"hashpartitioning\(run_id#\d+, 20\)", plan)
+
+
+def test_distributions_of_long_runs(spark):
+    """Runs of many steps, one of them without a name, beside those of few: the same distributions, each once."""
+    trace = PT.trace(spark, SF).withColumn("run_id", F.expr("nullif(run_id, 'u3')"))
+    steps = [r["count"] for r in trace.groupBy("run_id").count().collect()]
+    rows = lambda few: sorted((tuple(r) for r in T.distributions(trace, few=few).collect()), key=repr)
+    whole = rows(max(steps))
+    assert len(whole) == 24 * len(steps) and rows(sorted(steps)[len(steps) // 2]) == whole and rows(0) == whole
